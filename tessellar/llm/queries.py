@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, quality_classifier, token_counts, token_ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,22 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(table(spark, sf_dir, "documents"))
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.materialise(table(spark, sf_dir, "documents")).drop("path")
+
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op5_token_counts": op5_token_counts,
+    "op9_token_ids": op9_token_ids,
     "op4_decontamination": op4_decontamination,
 }
 
