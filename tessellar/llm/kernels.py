@@ -115,23 +115,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power_cache["power"][:n], _power_cache["inverse"][:n]
 
 
-def windows(hashes: np.ndarray, word_offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each run of k words inside a row, and the index of its first word."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+def ngrams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each position on, whatever row they belong to."""
+    n = max(len(hashes) - k + 1, 0)
     out = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in range(k if n else 0):
         out *= _PRIME
         out += hashes[j : j + n]
-    valid = np.ones(n, bool)
-    for j in range(1, k):
-        ends = word_offsets[1:] - j
-        ends = ends[(ends >= 0) & (ends < n)]
-        valid[ends] = False
-    # rows shorter than k would otherwise mark starts of earlier rows, which are invalid all the same
-    first = np.flatnonzero(valid)
-    return mix(out[first]), first
+    return mix(out)
+
+
+def window_starts(word_offsets: np.ndarray, k: int) -> np.ndarray:
+    """Positions from which k words follow in the same row."""
+    sizes = np.maximum(np.diff(word_offsets) - k + 1, 0)
+    return take_ranges(word_offsets[:-1], sizes)
 
 
 def row_of(index: np.ndarray, word_offsets: np.ndarray) -> np.ndarray:
@@ -170,3 +167,74 @@ def unpack_bytes(blob: bytes, width: int) -> np.ndarray:
 
 def binary_array(pieces: list[bytes]) -> pa.Array:
     return pa.array(pieces, pa.binary())
+
+
+class Spool:
+    """Collects records (owner, values) of many documents and hands them out as one blob row per bucket.
+
+    A row holds the owners' keys, their record counts, and one byte-plane blob
+    per value column; records keep the order in which they came.
+    """
+
+    def __init__(self, buckets: int, widths: list[int], key_columns: int = 1, limit: int = 1 << 21):
+        self.buckets, self.widths, self.key_columns, self.limit = buckets, widths, key_columns, limit
+        self.parts: list[tuple] = []
+        self.size = 0
+
+    @staticmethod
+    def schema(key_columns: int, widths: list[int]) -> str:
+        names = [f"k{i} binary" for i in range(key_columns)] + ["counts binary"] + [f"v{i} binary" for i in range(len(widths))]
+        return "bucket int, " + ", ".join(names)
+
+    def add(self, bucket: np.ndarray, keys: list[np.ndarray], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """`keys` and `values` have one entry per record."""
+        if len(bucket):
+            self.parts.append((bucket.astype(np.uint32), keys, values))
+            self.size += len(bucket)
+        if self.size >= self.limit:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        bucket = np.concatenate([p[0] for p in self.parts])
+        order = np.argsort(bucket.astype(np.uint16) if self.buckets <= 1 << 16 else bucket, kind="stable")
+        bucket = bucket[order]
+        keys = [np.concatenate([p[1][i] for p in self.parts])[order] for i in range(self.key_columns)]
+        values = [np.concatenate([p[2][i] for p in self.parts])[order] for i in range(len(self.widths))]
+        self.parts, self.size = [], 0
+        starts, sizes = runs(bucket)
+        columns: list[list] = [[] for _ in range(2 + self.key_columns + len(self.widths))]
+        for a, n in zip(starts.tolist(), sizes.tolist()):
+            columns[0].append(int(bucket[a]))
+            first, count = runs(keys[0][a : a + n])
+            for i, k in enumerate(keys):
+                columns[1 + i].append(k[a : a + n][first].astype("<i8").tobytes())
+            columns[1 + self.key_columns].append(pack_bytes(count, 4))
+            for i, w in enumerate(self.widths):
+                columns[2 + self.key_columns + i].append(pack_bytes(values[i][a : a + n], w))
+        names = ["bucket", *(f"k{i}" for i in range(self.key_columns)), "counts", *(f"v{i}" for i in range(len(self.widths)))]
+        arrays = [pa.array(columns[0], pa.int32()), *(binary_array(c) for c in columns[1:])]
+        batch = pa.RecordBatch.from_arrays(arrays, names)
+        for a in range(0, batch.num_rows, 256):
+            yield batch.slice(a, 256)
+
+    @staticmethod
+    def read(table: pa.Table, key_columns: int, widths: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Keys and values of all records of a bucket, one entry per record."""
+        def joined(name: str, decode) -> np.ndarray:
+            pieces = [decode(x.as_buffer()) for x in table.column(name)]
+            return np.concatenate(pieces) if pieces else np.empty(0, np.uint64)
+
+        counts = joined("counts", lambda b: unpack_bytes(b, 4)).astype(np.int64)
+        keys = [np.repeat(joined(f"k{i}", lambda b: np.frombuffer(b, "<i8")), counts) for i in range(key_columns)]
+        return keys, [joined(f"v{i}", lambda b, w=w: unpack_bytes(b, w)) for i, w in enumerate(widths)]
+
+
+def table_of(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches(list(batches), schema)
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in ddl.split(", ")])
