@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, ngram_join, quality_classifier, substring_dedup, token_counts, token_ids
+from . import decontamination, mixing, ngram_join, quality_classifier, substring_dedup, token_counts, token_ids, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_ngram_join": op10_ngram_join,
+    "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
 }
