@@ -143,7 +143,8 @@ def plan(sized: DataFrame, *, block_len: int = BLOCK_LEN, shard_slots: int = SHA
 def picked(slots: DataFrame, pieces: DataFrame) -> DataFrame:
     """`pieces` with `picks`, how often the mix takes their block."""
     picks = slots.groupBy("source_no", "block").agg(F.count("*").alias("picks"))
-    return pieces.join(picks, ["source_no", "block"], "left").withColumn("picks", F.coalesce("picks", F.lit(0)))
+    # the planner only sees the few drawn rows that the slots come from: keep it from broadcasting them
+    return pieces.join(picks.hint("merge"), ["source_no", "block"], "left").withColumn("picks", F.coalesce("picks", F.lit(0)))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
