@@ -14,12 +14,14 @@ similarity of at least 3/4; the result is the connected component of each.
    heap for each query (DivideSkip); a candidate is then probed in the long
    lists by binary search in its sorted set, and kept if it reaches the
    overlap that the pair requires.
-4. Components, twice. First each short list is searched only for its least
-   member: one candidate per list entry, whatever the list's length. What that
-   links is one component. Then the lists that still touch several components
-   are searched for all members of other components. Every link between
-   different components is found and links inside one change nothing, so the
-   components are exact while a list of m copies costs m, not m * m, candidates.
+4. Components, in rounds. First each short list is searched only for the least
+   member of its least component, and each query probes the candidate that most
+   of its lists hold: one pair per query, whatever the lists' lengths. What that
+   links is one component; this repeats while it links anything (STAR_ROUNDS at
+   most). Then the lists that still touch several components are searched for
+   all members of other components. Every link between different components is
+   found and links inside one change nothing, so the components are exact while
+   a list of m copies costs m, not m * m, candidates.
 
 Shingles are 64-bit hashes. Records of the sieve travel as blobs by hash bucket.
 
@@ -46,6 +48,7 @@ from .components import components
 from .shared import buckets, cut, row_uid, stored
 
 SHINGLE = 5
+STAR_ROUNDS = 4
 LAST = np.iinfo(np.int64).max
 SETS = "uid bigint, doc_id bigint, n int, digest binary, shingles binary"
 
@@ -181,26 +184,29 @@ def _postings(classes: DataFrame, n: int) -> DataFrame:
 
 
 def _heap_merge(lists: DataFrame) -> DataFrame:
-    """(x, token, y) rows -> candidates (x, y) per query x, by heap merge of its lists."""
-    out = K.arrow_schema("x bigint, y bigint")
+    """(x, token, y) rows -> candidates (x, y, hits) per query x, by heap merge of its lists."""
+    out = K.arrow_schema("x bigint, y bigint, hits bigint")
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             yield from zip(*(c.to_pylist() for c in batch.columns))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xs, ys = [], []
+        found: list[tuple[int, int, int]] = []
+
+        def batch():
+            columns = zip(*found) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=out)
+
         for x, group in groupby(rows(batches), key=lambda r: r[0]):
             per_token = [[r[2] for r in g] for _, g in groupby(group, key=lambda r: r[1])]
-            for y, _ in groupby(heapq.merge(*per_token)):
-                xs.append(x)
-                ys.append(y)
-            if len(xs) >= 1 << 14:
-                yield pa.RecordBatch.from_arrays([pa.array(xs), pa.array(ys)], schema=out)
-                xs, ys = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], schema=out)
+            found += [(x, y, sum(1 for _ in same)) for y, same in groupby(heapq.merge(*per_token))]
+            if len(found) >= 1 << 14:
+                yield batch()
+                found = []
+        yield batch()
 
-    return lists.select("x", "token", "y").repartition("x").sortWithinPartitions("x", "token", "y").mapInArrow(kernel, "x bigint, y bigint")
+    return lists.select("x", "token", "y").repartition("x").sortWithinPartitions("x", "token", "y").mapInArrow(kernel, "x bigint, y bigint, hits bigint")
 
 
 def _probe(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -239,19 +245,35 @@ def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = stored(survivors.join(heads.select(F.col("head").alias("uid")), "uid").dropDuplicates(["uid"]).select("uid", "n", "shingles"), "classes")
     lists = stored(_postings(classes, n), "lists")
 
-    leaders = lists.groupBy("token").agg(F.min(F.struct("uid", "n", "s", "rank")).alias("lead")).select("token", "lead.*")
-    star = lists.alias("a").join(leaders.alias("b"), F.expr(f"a.token = b.token AND a.uid <> b.uid AND {_REACHABLE}"))
-    near = cut(_probe(_heap_merge(star.select(F.col("a.uid").alias("x"), F.col("a.token").alias("token"), F.col("b.uid").alias("y"))), classes))
-    joined = components(near)
-
-    labelled = lists.join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    labels = cut(lists.select(F.col("uid").alias("node"), F.col("uid").alias("component")).distinct())
+    for _ in range(STAR_ROUNDS):
+        labelled = lists.join(labels.withColumnRenamed("node", "uid"), "uid")
+        least = labelled.groupBy("token").agg(F.min(F.struct("component", "uid", "n", "s", "rank")).alias("lead"), F.max("component").alias("top"))
+        leads = least.where("lead.component <> top").select("token", "lead.*")
+        star = labelled.alias("a").join(leads.alias("b"), F.expr(f"a.token = b.token AND a.component <> b.component AND {_REACHABLE}"))
+        candidates = _heap_merge(star.select(F.col("a.uid").alias("x"), F.col("a.token").alias("token"), F.col("b.uid").alias("y")))
+        best = candidates.groupBy("x").agg(F.max(F.struct("hits", "y")).alias("best")).select("x", "best.y")
+        links = cut(_probe(best, classes))
+        if links.isEmpty():
+            break
+        labels = _relabelled(labels, links)
+
+    labelled = lists.join(labels.withColumnRenamed("node", "uid"), "uid")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
     rest = labelled.join(mixed, "token")
     across = rest.alias("a").join(rest.alias("b"), F.expr(f"a.token = b.token AND a.component < b.component AND {_REACHABLE}"))
-    far = cut(_probe(_heap_merge(across.select(F.col("a.uid").alias("x"), F.col("a.token").alias("token"), F.col("b.uid").alias("y"))), classes))
-    if not far.isEmpty():
-        joined = components(near.unionByName(far))
-    return source, members, joined
+    links = cut(_probe(_heap_merge(across.select(F.col("a.uid").alias("x"), F.col("a.token").alias("token"), F.col("b.uid").alias("y"))), classes))
+    if not links.isEmpty():
+        labels = _relabelled(labels, links)
+    return source, members, labels
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components joined by links between their members."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
+    between = links.join(of("u"), "u").join(of("v"), "v").select(F.col("uc").alias("u"), F.col("vc").alias("v")).distinct()
+    merged = components(between).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return cut(labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
 
 
 def report(docs: DataFrame, *, k: int = SHINGLE, **options) -> DataFrame:
