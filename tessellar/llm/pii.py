@@ -90,7 +90,11 @@ def base_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", row_uid().alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
     none = F.array().cast(f"array<{SPAN}>")
-    spans = [F.when(F.col("text").rlike(GATES[k]), F.filter(located(F.col("text"), PATTERNS[k]), lambda s, k=k: VALID[k](s["value"]))).otherwise(none).alias(k) for k in KINDS]
+
+    def valid(kind: str) -> Column:
+        return F.filter(located(F.col("text"), PATTERNS[kind]), lambda s: VALID[kind](s["value"]))
+
+    spans = [F.when(F.col("text").rlike(GATES[k]), valid(k)).otherwise(none).alias(k) for k in KINDS]
     return rows.select("doc_id", "uid", "text", *spans)
 
 
@@ -112,9 +116,12 @@ def _base_table(docs: DataFrame, **columns) -> DataFrame:
     found = base_spans(docs, **columns)
     every = F.concat(*KINDS)
     free = lambda t: ~F.exists(F.col("every"), lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))
-    contexts = F.when(F.size(every) > 0, F.concat(*[_contexts(k) for k in KINDS]))
-    listed = F.array_join(F.concat(*[F.transform(k, lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"], s["stop"])) for k in KINDS]), ",")
-    table = found.select("doc_id", "uid", *KINDS, every.alias("every"), listed.alias("base"), contexts.alias("contexts"))
+    contexts = F.when(F.size(every) > 0, F.concat(*map(_contexts, KINDS)))
+
+    def listed(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["stop"]))
+
+    table = found.select("doc_id", "uid", *KINDS, every.alias("every"), F.array_join(F.concat(*map(listed, KINDS)), ",").alias("base"), contexts.alias("contexts"))
     cleaned = F.transform("contexts", lambda c: F.struct(c["entity"].alias("entity"), c["context"].alias("context"), F.filter(c["terms"], free).alias("terms")))
     return stored(table.withColumn("contexts", cleaned).drop("every"), "pii-base")
 
@@ -157,7 +164,11 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with base spans and generalised terms replaced by their kind in brackets, and removed terms gone."""
     found = spans(docs, id_col=id_col, text_col=text_col, **options)
-    tagged = F.sort_array(F.concat(*[F.transform(k, lambda s, k=k: F.struct(s["start"].alias("a"), s["stop"].alias("b"), F.lit(f"[{k.upper()}]").alias("new"))) for k in KINDS], F.transform("terms", lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"), F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("new")))))
+
+    def tags(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"), F.lit(f"[{kind.upper()}]").alias("new")))
+
+    tagged = F.sort_array(F.concat(*map(tags, KINDS), F.transform("terms", lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"), F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("new")))))
     edits = found.select(F.col("uid").alias("_uid"), tagged.alias("_edits")).where(F.size("_edits") > 0).dropDuplicates(["_uid"])
     key = F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), F.col(id_col).isNull(), F.col(text_col).isNull())
     text = F.col(text_col)

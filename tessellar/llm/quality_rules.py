@@ -40,7 +40,7 @@ MAX_REPEAT_PERCENT = 50
 DIMENSIONS = 4
 SCALE = 1000
 #: standard deviations (in thousandths) below which a difference does not count, per dimension
-FLOORS = (60, 350, 350, 450)
+FLOORS = (60, 350, 500, 700)
 SHARE = 0.75
 STEPS = 5
 STARTS = 3
