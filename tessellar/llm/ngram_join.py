@@ -14,9 +14,10 @@ similarity of at least 3/4; the result is the connected component of each.
    heap for each query (DivideSkip); a candidate is then probed in the long
    lists by binary search in its sorted set, and kept if it reaches the
    overlap that the pair requires.
-4. Components, in rounds. First each short list is searched only for the least
-   member of its least component, and each query probes the candidate that most
-   of its lists hold: one pair per query, whatever the lists' lengths. What that
+4. Components, in rounds. First each short list is searched only for the member
+   with the fewest shingles of its own (of a family of copies, the original), and
+   each query probes the candidate that most of its lists hold: one pair per
+   query, whatever the lists' lengths. What that
    links is one component; this repeats while it links anything (STAR_ROUNDS at
    most). Then the lists that still touch several components are searched for
    all members of other components. Every link between different components is
@@ -248,8 +249,8 @@ def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     labels = cut(lists.select(F.col("uid").alias("node"), F.col("uid").alias("component")).distinct())
     for _ in range(STAR_ROUNDS):
         labelled = lists.join(labels.withColumnRenamed("node", "uid"), "uid")
-        least = labelled.groupBy("token").agg(F.min(F.struct("component", "uid", "n", "s", "rank")).alias("lead"), F.max("component").alias("top"))
-        leads = least.where("lead.component <> top").select("token", "lead.*")
+        least = labelled.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "uid", "n", "s", "rank", "component")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+        leads = least.where("c0 <> c1").select("token", "lead.*")
         star = labelled.alias("a").join(leads.alias("b"), F.expr(f"a.token = b.token AND a.component <> b.component AND {_REACHABLE}"))
         candidates = _heap_merge(star.select(F.col("a.uid").alias("x"), F.col("a.token").alias("token"), F.col("b.uid").alias("y")))
         best = candidates.groupBy("x").agg(F.max(F.struct("hits", "y")).alias("best")).select("x", "best.y")

@@ -8,8 +8,8 @@ overlaps. Only edges that at least two documents hold matter:
    document has are unique and go no further.
 2. Edges. The other windows are gathered by hash: how often an edge occurs, the
    least document that holds it, and whether all its occurrences continue alike.
-3. Compaction. Neighbouring edges that continue alike and occur equally often
-   lie on one nonbranching path. Each document cuts its edges into such paths; a
+3. Compaction. Neighbouring edges that continue alike, occur equally often and
+   have one source lie on one nonbranching path. Each document cuts its edges into such paths; a
    Spark aggregation on the paths' words keeps one row per path with its source
    coordinates, and a join gives each occurrence its source.
 4. Verification. A path's key is a digest of its words, so an occurrence whose
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import buckets, cut, row_uid
+from .shared import buckets, cut, row_uid, stored
 
 WINDOW = 13
 SUB = 7
@@ -51,7 +51,7 @@ EDGES = [8, 2, 4]
 MARKS = [4, 5, 1, 8]
 FLAGGED = "uid bigint, sieve binary"
 REPLY = "uid bigint, marks binary"
-PATHS = "uid bigint, doc_id bigint, start int, windows int, key binary, later boolean, source bigint"
+PATHS = "uid bigint, doc_id bigint, start int, windows int, k0 bigint, k1 bigint, later boolean, source bigint"
 PROOF = "uid bigint, start int, windows int"
 
 
@@ -188,7 +188,7 @@ def _edges(sifted: DataFrame, k: int, sub: int, n: int, print_bits: int) -> Data
         first = np.repeat(starts, sizes)
         flags = branching.astype(np.uint64) | ((doc > doc[first]).astype(np.uint64) << np.uint64(1))
         uid, at, count, flags, source = uid[keep], at[keep], np.repeat(sizes, sizes)[keep].astype(np.uint64), flags[keep], uid[first][keep].view(np.uint64)
-        order = np.argsort(uid, kind="stable")
+        order = np.lexsort((at, uid))
         spool = K.Spool(n, MARKS, limit=1 << 62)
         uid = uid[order]
         list(spool.add(_bucket(uid.view(np.uint64), n), [uid], [at[order], count[order], flags[order], source[order]]))
@@ -205,7 +205,7 @@ def _paths(marked: DataFrame, k: int) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batches, "text"):
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for uid, doc_id, text, blob in zip(part.column("uid").to_pylist(), part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("marks").to_pylist()):
                 words = text.encode().split()
                 at, count, flags, source = _unpack(blob, MARKS)
@@ -217,7 +217,8 @@ def _paths(marked: DataFrame, k: int) -> DataFrame:
                 sizes = np.diff(np.append(first, len(at)))
                 for i, n in zip(first.tolist(), sizes.tolist()):
                     a = int(at[i])
-                    row = uid, doc_id, a, n, hashlib.sha256(b" ".join(words[a : a + n + k - 1])).digest(), bool(flags[i] & 2), int(source[i])
+                    digest = hashlib.sha256(b" ".join(words[a : a + n + k - 1])).digest()
+                    row = uid, doc_id, a, n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:16], "little", signed=True), bool(flags[i] & 2), int(source[i])
                     for column, value in zip(out, row):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
@@ -228,7 +229,7 @@ def _paths(marked: DataFrame, k: int) -> DataFrame:
 def unitigs(paths: DataFrame) -> DataFrame:
     """One row per compacted path: key, windows, occurrences, source document (the least) and its start."""
     rank = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "start")
-    return paths.groupBy("key").agg(F.min(rank).alias("s"), F.count("*").alias("occurrences"), F.min("windows").alias("windows")).select("key", "windows", "occurrences", F.col("s.d").alias("source_id"), F.col("s.start").alias("source_start"))
+    return paths.groupBy("k0", "k1").agg(F.min(rank).alias("s"), F.count("*").alias("occurrences"), F.min("windows").alias("windows")).select("k0", "k1", "windows", "occurrences", F.col("s.d").alias("source_id"), F.col("s.start").alias("source_start"))
 
 
 def _proven_by_window(unproven: DataFrame, source: DataFrame, k: int) -> DataFrame:
@@ -268,10 +269,12 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     source = _source(docs, id_col, text_col)
     n = buckets(docs.sparkSession)
     flagged = cut(_sift(source, k, sub, n))
+    # one plan: the exchange of the texts serves both joins
     marks = _edges(source.join(flagged, "uid"), k, sub, n, print_bits)
-    paths = cut(_paths(source.join(marks, "uid"), k).distinct())
-    later = paths.where("later").select("uid", F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "start", "windows", "key", "source")
-    traced = cut(later.join(unitigs(paths).select("key", "source_id"), "key").select("uid", "start", "windows", "source", (F.col("source_id") < F.col("rank")).alias("proven")))
+    paths = stored(_paths(source.join(marks, "uid"), k), "paths")
+    del marks, flagged
+    later = paths.where("later").select("uid", F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "start", "windows", "k0", "k1", "source")
+    traced = stored(later.join(unitigs(paths).select("k0", "k1", "source_id"), ["k0", "k1"]).select("uid", "start", "windows", "source", (F.col("source_id") < F.col("rank")).alias("proven")), "traced")
     proven = traced.where("proven").select("uid", "start", "windows")
     unproven = traced.where("NOT proven")
     if not unproven.isEmpty():
