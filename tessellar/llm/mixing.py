@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .permutation import feistel
-from .shared import cut, row_uid
+from .shared import cut, fresh, keyed, row_uid
 
 BLOCK_LEN = 256
 SHARD_SLOTS = 4096
@@ -166,9 +166,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """
     sized = cut(sizes(docs, id_col=id_col, text_col=text_col, source_col=source_col))
     _, slots, pieces = plan(sized, **options)
-    wanted = picked(slots, pieces).where("picks > 0").groupBy("uid", "position").agg(F.collect_list(F.struct("piece_start", "piece_len", "picks")).alias("_pieces")).withColumnRenamed("uid", "_uid").drop("position")
-    key = F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), F.col(id_col).isNull(), F.col(text_col).isNull())
-    joined = docs.withColumn("_uid", key).dropDuplicates(["_uid"]).join(wanted, "_uid").drop("_uid")
+    docs_keyed, key = keyed(docs, id_col, text_col)
+    taken = fresh(docs_keyed, "pieces")
+    wanted = picked(slots, pieces).where("picks > 0").groupBy("uid", "position").agg(F.collect_list(F.struct("piece_start", "piece_len", "picks")).alias(taken)).select(F.col("uid").alias(key), taken)
+    joined = docs_keyed.dropDuplicates([key]).join(wanted, key)
     columns = docs.columns
     place = columns.index(text_col)
     count = columns.index(chars_col) if chars_col in columns else None
@@ -176,18 +177,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batches, text_col):
             index, texts = [], []
-            for i, (text, found) in enumerate(zip(part.column(text_col).to_pylist(), part.column("_pieces").to_pylist())):
+            for i, (text, found) in enumerate(zip(part.column(text_col).to_pylist(), part.column(taken).to_pylist())):
                 words = text.encode().split()
                 for c in range(1, max(p["picks"] for p in found) + 1):
                     spans = sorted((p["piece_start"], p["piece_len"]) for p in found if p["picks"] >= c)
                     index.append(i)
                     whole = sum(n for _, n in spans) == len(words)
                     texts.append(text if whole else b" ".join(w for a, n in spans for w in words[a : a + n]).decode())
-            rows = part.drop_columns(["_pieces"]).take(pa.array(index, pa.int64()))
+            rows = part.drop_columns([taken]).take(pa.array(index, pa.int64()))
             arrays = list(rows.columns)
             arrays[place] = pa.array(texts, arrays[place].type)
             if count is not None:
                 arrays[count] = pa.array([len(t) for t in texts], arrays[count].type)
             yield pa.RecordBatch.from_arrays(arrays, schema=rows.schema)
 
-    return joined.select(*columns, "_pieces").mapInArrow(kernel, docs.schema)
+    return joined.select(*columns, taken).mapInArrow(kernel, docs.schema)

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import buckets, cut, row_uid, stored
+from .shared import buckets, cut, keyed, row_uid, stored
 
 SHINGLE = 5
 STAR_ROUNDS = 4
@@ -298,7 +298,6 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     source, members, joined = classes_and_links(docs, id_col=id_col, text_col=text_col, k=k)
     placed = members.join(joined.withColumnRenamed("node", "head"), "head", "left").select("uid", "doc_id", F.coalesce("component", "head").alias("component"))
     best = placed.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("uid").alias("u"))).alias("best"))
-    losers = placed.join(best, "component").where(F.col("uid") != F.col("best.u")).select(F.col("uid").alias("_uid")).distinct()
-    keyed = docs.withColumn("_uid", F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col), F.col(id_col).isNull(), F.col(text_col).isNull()))
-    kept = keyed.join(losers, "_uid", "left_anti")
-    return kept.dropDuplicates(["_uid"]).select(*docs.columns)
+    docs_keyed, key = keyed(docs, id_col, text_col)
+    losers = placed.join(best, "component").where(F.col("uid") != F.col("best.u")).select(F.col("uid").alias(key)).distinct()
+    return docs_keyed.join(losers, key, "left_anti").dropDuplicates([key]).select(*docs.columns)

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, row_uid, stored
+from .shared import cut, fresh, keyed, row_uid, stored
 
 #: fixed patterns. Possessive, and anchored where a run begins: an earlier start in the same run would match or fail alike
 PATTERNS = {
@@ -169,8 +169,9 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return F.transform(kind, lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"), F.lit(f"[{kind.upper()}]").alias("new")))
 
     tagged = F.sort_array(F.concat(*map(tags, KINDS), F.transform("terms", lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"), F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("new")))))
-    edits = found.select(F.col("uid").alias("_uid"), tagged.alias("_edits")).where(F.size("_edits") > 0).dropDuplicates(["_uid"])
-    key = F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), F.col(id_col).isNull(), F.col(text_col).isNull())
+    docs_keyed, key = keyed(docs, id_col, text_col)
+    made = fresh(docs_keyed, "edits")
+    edits = found.select(F.col("uid").alias(key), tagged.alias(made)).where(F.size(made) > 0).dropDuplicates([key])
     text = F.col(text_col)
 
     def step(state: Column, e: Column) -> Column:
@@ -178,6 +179,6 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         out = F.when(fresh, F.concat(state["out"], F.substring(text, state["at"] + 1, e["a"] - state["at"]), e["new"])).otherwise(state["out"])
         return F.struct(F.greatest(state["at"], e["b"]).alias("at"), out.alias("out"))
 
-    state = F.aggregate("_edits", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    whole = F.when(F.col("_edits").isNull(), text).otherwise(F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
-    return docs.withColumn("_uid", key).join(edits, "_uid", "left").withColumn(text_col, whole).select(*docs.columns)
+    state = F.aggregate(made, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    whole = F.when(F.col(made).isNull(), text).otherwise(F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
+    return docs_keyed.join(edits, key, "left").withColumn(text_col, whole).select(*docs.columns)

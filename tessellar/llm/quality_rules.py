@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, row_uid, stored
+from .shared import cut, keyed, row_uid, stored
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -162,6 +162,6 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def select(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that are kept."""
-    good = verdicts(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("uid").alias("_uid"))
-    key = F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), F.col(id_col).isNull(), F.col(text_col).isNull())
-    return docs.withColumn("_uid", key).join(good, "_uid", "left_semi").select(*docs.columns)
+    docs_keyed, key = keyed(docs, id_col, text_col)
+    good = verdicts(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("uid").alias(key))
+    return docs_keyed.join(good, key, "left_semi").select(*docs.columns)

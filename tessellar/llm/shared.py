@@ -65,3 +65,18 @@ def buckets(spark: SparkSession) -> int:
 def row_uid(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Key of a row by content: rows equal in id and text share it, and share every per-document result."""
     return F.xxhash64(F.col(doc_id), F.col(text), F.col(doc_id).isNull(), F.col(text).isNull())
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that `df` does not have."""
+    name = f"_{stem}"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """`docs` with the row key in a new column, and that column's name."""
+    name = fresh(docs, "uid")
+    doc_id, text = F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
+    return docs.withColumn(name, F.xxhash64(doc_id, text, doc_id.isNull(), text.isNull())), name
