@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.functions import scalars
-from tessellar.operators import editing, graphs, matrices, metrics, spatial, spectral, statistics, topology, volumes
+from tessellar.operators import composites, editing, graphs, matrices, metrics, spatial, spectral, statistics, topology, volumes
 from tessellar.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -733,6 +733,79 @@ def resample_spheroid(spark, sf_dir):
     return rounded(spectral.resample_spheroid(_modes(spark, sf_dir), 0.5), "psi")
 
 
+# composites
+
+
+@query("face_values", f"{FIELD} SELECT f_id, {R('sum(w) / 3')} AS value FROM fv JOIN v USING (v_id) GROUP BY f_id")
+def face_values(spark, sf_dir):
+    mesh = fx.height_field(spark, sf_dir)
+    return rounded(composites.face_values(mesh, mesh.vertices.select("v_id", F.col("w").alias("value"))), "value")
+
+
+@query("edge_weights", f"{FIELD}, t AS (SELECT f_id, sum(w) / 3 AS value FROM fv JOIN v USING (v_id) GROUP BY f_id), s AS (SELECT src, dst, sum(value) AS w FROM he JOIN t USING (f_id) GROUP BY src, dst) SELECT least(src, dst) AS i, greatest(src, dst) AS j, {R('max(w)')} AS w FROM s GROUP BY 1, 2")
+def edge_weights(spark, sf_dir):
+    mesh = fx.height_field(spark, sf_dir)
+    return rounded(composites.edge_weights(mesh, composites.face_values(mesh, mesh.vertices.select("v_id", F.col("w").alias("value")))), "w")
+
+
+@query("eta_squared", f"{MATRIX} SELECT a.i, b.i AS j, {R('1 - sum((a.value - b.value) ^ 2 / 2) / (sum(a.value ^ 2 + b.value ^ 2) - sum(a.value + b.value) ^ 2 / (2 * count(*)))')} AS w FROM m a JOIN m b USING (pos) WHERE a.label = 3 AND b.label = 3 AND a.i < b.i GROUP BY a.i, b.i")
+def eta_squared(spark, sf_dir):
+    return rounded(composites.eta_squared(_rows(spark, sf_dir)), "w")
+
+
+@query("calc_gradients")
+def calc_gradients(spark, sf_dir):
+    return rounded(composites.calc_gradients(_rows(spark, sf_dir), 3), "value")
+
+
+@query("cortical_projection", f"{MATRIX}, c AS (SELECT a.i, b.i AS j, {_PEARSON.format('a.value', 'b.value')} AS r FROM m a JOIN m b USING (pos) WHERE a.label = 3 AND b.label = 4 GROUP BY a.i, b.i), k AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY r DESC, i) AS q FROM c) SELECT k.j AS i, {R('value')} AS value FROM k JOIN m ON m.i = k.i AND pos = 0 WHERE q = 1")
+def cortical_projection(spark, sf_dir):
+    gradient = fx.matrix(spark, sf_dir).where("label = 3 AND pos = 0")
+    return rounded(composites.cortical_projection(_rows(spark, sf_dir), fx.matrix(spark, sf_dir).where("label = 4"), gradient), "value")
+
+
+@query("masked_eigenmodes")
+def masked_eigenmodes(spark, sf_dir):
+    mesh = fx.height_field(spark, sf_dir)
+    mask = mesh.vertices.select("v_id", (F.col("y") > 0).cast("int").alias("keep"))
+    modes = composites.surface_eigenmodes(mesh, mask, 6)
+    return rounded(modes.groupBy("k", "lambda").agg(F.count("*").alias("n_vertices"), F.count_if(F.col("psi") == 0).alias("n_zero")), "lambda")
+
+
+@query("rft_threshold", f"""{FIELD}, z AS (SELECT z AS cut FROM (SELECT *, row_number() OVER (ORDER BY z) AS k FROM (SELECT z, (SELECT sum(nn) / 2 FROM g3) / 36 * {_EC} * z * exp(-z * z / 2) AS ec FROM (SELECT i * (50e0 / 9999) AS z FROM range(10000) t(i))) WHERE ec <= 0.05) WHERE k = 2)
+SELECT v_id, {R("CASE WHEN v.z >= cut THEN v.z ELSE 0 END")} AS value FROM v, z""")
+def rft_threshold(spark, sf_dir):
+    mesh = fx.height_field(spark, sf_dir)
+    return rounded(composites.rft_threshold(mesh, mesh.vertices.select("v_id", F.col("z").alias("value")), 6.0), "value")
+
+
+_SUBJECTS = MAPS + ", md AS (SELECT subject % 5 AS subject, subject % 3 AS k, v_id, avg(value) AS psi FROM maps GROUP BY ALL)"
+
+
+def _subject_modes(spark, sf_dir):
+    return fx.subject_maps(spark, sf_dir).groupBy((F.col("subject") % 5).alias("subject"), (F.col("subject") % 3).alias("k"), "v_id").agg(F.avg("value").alias("psi"))
+
+
+@query("mode_similarity", f"{_SUBJECTS}, c AS (SELECT a.k, a.subject, b.subject AS t, abs({_PEARSON.format('a.psi', 'b.psi')}) AS r FROM md a JOIN md b ON a.k = b.k AND a.v_id = b.v_id AND a.subject < b.subject GROUP BY ALL) SELECT k, {R('avg(r)')} AS mean, {R('avg(r) - 1.96e0 * stddev_pop(r) / sqrt(count(r))')} AS low, {R('avg(r) + 1.96e0 * stddev_pop(r) / sqrt(count(r))')} AS high FROM c GROUP BY k")
+def mode_similarity(spark, sf_dir):
+    return rounded(composites.mode_similarity(_subject_modes(spark, sf_dir)), "mean", "low", "high")
+
+
+@query("betas_and_accuracy", f"{_SUBJECTS}, d AS (SELECT user_id % 7 AS subject, v_id, avg(value) AS value FROM (SELECT *, CAST(hour(ts) AS INTEGER) AS v_id FROM events) GROUP BY ALL), p AS (SELECT k, v_id, psi FROM md WHERE subject = 1), b AS (SELECT d.subject, k, sum(psi * value) AS beta FROM d JOIN p USING (v_id) GROUP BY ALL), q AS (SELECT b.subject, v_id, sum(beta * psi) AS recon FROM b JOIN p USING (k) GROUP BY ALL) SELECT subject, {R(_PEARSON.format('recon', 'value'))} AS r FROM q JOIN d USING (subject, v_id) GROUP BY subject")
+def betas_and_accuracy(spark, sf_dir):
+    events = fx.table(spark, sf_dir, "events")
+    data = events.groupBy((F.col("user_id") % 7).alias("subject"), F.hour("ts").alias("v_id")).agg(F.avg("value").alias("value"))
+    modes = _subject_modes(spark, sf_dir).where("subject = 1").select("k", "v_id", "psi")
+    return rounded(composites.betas_and_accuracy(data, modes), "r")
+
+
+@query("variogram", f"{FIELD}, p AS (SELECT sqrt((p.x - q.x) ^ 2 + (p.y - q.y) ^ 2 + (p.z - q.z) ^ 2) AS d, (p.w - q.w) ^ 2 / 2 AS g FROM v p JOIN v q ON p.v_id < q.v_id) SELECT CAST(least(floor(d * 3 / 1.7), 2) AS BIGINT) AS bin, count(*) AS n, {R('avg(g) / 1e6')} AS gamma FROM p WHERE d <= 1.7 GROUP BY 1")
+def variogram(spark, sf_dir):
+    v = fx.height_field(spark, sf_dir).vertices
+    out = statistics.variogram(v, v.select("v_id", F.col("w").alias("value")), 3, 1.7)
+    return rounded(out.select(F.col("bin").cast("bigint").alias("bin"), "n", (F.col("gamma") / 1e6).alias("gamma")), "gamma")
+
+
 # scalars
 
 
