@@ -21,8 +21,10 @@ from tessellar.operators.metrics import cornered, cross, dot, minus, norm, point
 
 
 def fem_stiffness(mesh: Mesh) -> DataFrame:
-    """(i, j, w): linear stiffness matrix of a triangle mesh from the cotangents of the angles."""
+    """(i, j, w): linear stiffness matrix, of triangles from the cotangents of the angles, of tetrahedra from the shape gradients."""
     faces = cornered(mesh)
+    if mesh.polyshape == 4:
+        return _tet_stiffness(faces)
     parts = []
     for apex, p, q in (("a", "b", "c"), ("b", "c", "a"), ("c", "a", "b")):
         u, v = minus(point(p), point(apex)), minus(point(q), point(apex))
@@ -33,8 +35,25 @@ def fem_stiffness(mesh: Mesh) -> DataFrame:
     return cots.select(F.inline(entries)).groupBy("i", "j").agg(F.sum("w").alias("w"))
 
 
+def _tet_stiffness(tets: DataFrame) -> DataFrame:
+    """Gradient of a corner's shape function: the opposite side's normal over six volumes."""
+    a, b, c, d = (point(k) for k in "abcd")
+    normals = {"a": cross(minus(d, b), minus(c, b)), "b": cross(minus(c, a), minus(d, a)), "c": cross(minus(d, a), minus(b, a)), "d": cross(minus(b, a), minus(c, a))}
+    six = dot(minus(d, a), cross(minus(b, a), minus(c, a)))
+    columns = [F.abs(six).alias("_six")] + [x.alias(f"_{k}{i}") for k, n in normals.items() for i, x in enumerate(n)]
+    flat = tets.select(*"abcd", *columns)
+    grad = {k: tuple(F.col(f"_{k}{i}") for i in range(3)) for k in "abcd"}
+    entries = F.array(*[F.struct(F.col(p).alias("i"), F.col(q).alias("j"), F.try_divide(dot(grad[p], grad[q]), 6 * F.col("_six")).alias("w")) for p in "abcd" for q in "abcd"])
+    return flat.select(F.inline(entries)).groupBy("i", "j").agg(F.sum("w").alias("w"))
+
+
 def fem_mass(mesh: Mesh, lump: bool = True) -> DataFrame:
     """(i, j, w): lumped (diagonal) or consistent mass matrix."""
+    if mesh.polyshape == 4:
+        tets = metrics.tet_volumes(mesh).select("f_id", F.abs("signed_volume").alias("v")).join(mesh.faces, "f_id")
+        pairs = [(p, p, 4) for p in "abcd"] if lump else [(p, q, 10 if p == q else 20) for p in "abcd" for q in "abcd"]
+        parts = F.array(*[F.struct(F.col(p).alias("i"), F.col(q).alias("j"), (F.col("v") / k).alias("w")) for p, q, k in pairs])
+        return tets.select(F.inline(parts)).groupBy("i", "j").agg(F.sum("w").alias("w"))
     if lump:
         return metrics.vertex_areas(mesh).select(F.col("v_id").alias("i"), F.col("v_id").alias("j"), F.col("area").alias("w"))
     faces = metrics.tria_areas(mesh).join(mesh.faces, "f_id")

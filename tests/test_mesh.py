@@ -120,6 +120,18 @@ def test_eigenmodes_of_the_sphere(sphere):
     assert one(rows) < 1e-9
 
 
+def test_tetrahedral_elements(spark):
+    """The energy of a linear function is its squared slope times the volume; masses add up to the volume."""
+    mesh = mesh_of(spark, [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)], [(0, 1, 2, 3)]).refine(1)
+    k = mesh.fem_stiffness()
+    f = mesh.vertices.select("v_id", (2 * F.col("x") - F.col("y") + 3 * F.col("z")).alias("f"))
+    energy = k.join(f.withColumnRenamed("v_id", "i").withColumnRenamed("f", "p"), "i").join(f.withColumnRenamed("v_id", "j").withColumnRenamed("f", "q"), "j").agg(F.sum(F.col("w") * F.col("p") * F.col("q")))
+    assert one(energy) == pytest.approx(14 / 6)
+    for lump in (True, False):
+        assert one(mesh.fem_mass(lump).agg(F.sum("w"))) == pytest.approx(1 / 6)
+    assert mesh.eigenmodes(3).where("k = 0").first()["lambda"] == pytest.approx(0, abs=1e-9)
+
+
 def test_geodesic_distance_of_the_sphere(sphere):
     far = sphere.geodesic_distance(sphere.vertices.where("v_id = 0").select("v_id"))
     p = sphere.vertices.where("v_id = 0").first()
