@@ -246,9 +246,9 @@ def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = stored(survivors.join(heads.select(F.col("head").alias("uid")), "uid").dropDuplicates(["uid"]).select("uid", "n", "shingles"), "classes")
     lists = stored(_postings(classes, n), "lists")
 
-    labels = cut(lists.select(F.col("uid").alias("node"), F.col("uid").alias("component")).distinct())
+    labels = None  # every class is its own component at first
     for _ in range(STAR_ROUNDS):
-        labelled = lists.join(labels.withColumnRenamed("node", "uid"), "uid")
+        labelled = _labelled(lists, labels)
         least = labelled.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "uid", "n", "s", "rank", "component")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1"))
         leads = least.where("c0 <> c1").select("token", "lead.*")
         star = labelled.alias("a").join(leads.alias("b"), F.expr(f"a.token = b.token AND a.component <> b.component AND {_REACHABLE}"))
@@ -259,22 +259,37 @@ def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             break
         labels = _relabelled(labels, links)
 
-    labelled = lists.join(labels.withColumnRenamed("node", "uid"), "uid")
+    labelled = _labelled(lists, labels)
     mixed = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
     rest = labelled.join(mixed, "token")
     across = rest.alias("a").join(rest.alias("b"), F.expr(f"a.token = b.token AND a.component < b.component AND {_REACHABLE}"))
     links = cut(_probe(_heap_merge(across.select(F.col("a.uid").alias("x"), F.col("a.token").alias("token"), F.col("b.uid").alias("y"))), classes))
     if not links.isEmpty():
         labels = _relabelled(labels, links)
+    if labels is None:
+        labels = lists.select(F.col("uid").alias("node"), F.col("uid").alias("component")).limit(0)
     return source, members, labels
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Components joined by links between their members."""
+def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """`lists` with the component of each class; one that links have not reached is its own."""
+    if labels is None:
+        return lists.withColumn("component", F.col("uid"))
+    return lists.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) of all classes that links have reached so far."""
+    if labels is None:
+        return cut(components(links))
     of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
-    between = links.join(of("u"), "u").join(of("v"), "v").select(F.col("uc").alias("u"), F.col("vc").alias("v")).distinct()
-    merged = components(between).select(F.col("node").alias("component"), F.col("component").alias("into"))
-    return cut(labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
+    named = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    between = named.select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v")).distinct()
+    merged = cut(components(between))
+    into = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    old = labels.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    # a component's name is its least class, which is a node of its own
+    return cut(old.unionByName(merged).groupBy("node").agg(F.min("component").alias("component")))
 
 
 def report(docs: DataFrame, *, k: int = SHINGLE, **options) -> DataFrame:

@@ -85,14 +85,19 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return rows.select("doc_id", "uid", "g", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *[F.round(SCALE * v).cast("bigint").alias(x) for v, x in zip(vector, _X)])
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Mean, Cholesky factor of the (floored) covariance and log determinant per group and start, from exact sums."""
-    sums = [F.sum("n").alias("n")]
-    sums += [F.sum(F.col("n") * F.col(x)).alias(f"s_{x}") for x in _X]
-    sums += [F.sum(F.col("n") * F.col(_X[i]) * F.col(_X[j])).alias(f"s_{i}{j}") for i, j in _PAIRS]
-    out = rows.groupBy("g", "k").agg(*sums)
+def _sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """Exact counts, sums and sums of products of the vectors per key."""
+    products = [F.sum(F.col("n") * F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}{j}") for i, j in _PAIRS]
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(x)).alias(f"s{i}") for i, x in enumerate(_X)], *products)
+
+
+_SUMS = ["n", *[f"s{i}" for i in range(DIMENSIONS)], *[f"q{i}{j}" for i, j in _PAIRS]]
+
+
+def _moments(sums: DataFrame) -> DataFrame:
+    """Mean, Cholesky factor of the (floored) covariance and log determinant per group and start."""
     n = F.col("n").cast("double")
-    out = out.select("g", "k", *[(F.col(f"s_{x}") / n).alias(f"m{i}") for i, x in enumerate(_X)], *[(F.col(f"s_{i}{j}") / n).alias(f"q{i}{j}") for i, j in _PAIRS])
+    out = sums.select("g", "k", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(DIMENSIONS)], *[(F.col(f"q{i}{j}") / n).alias(f"q{i}{j}") for i, j in _PAIRS])
     for i, j in _PAIRS:
         value = F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
         if i == j:
@@ -118,33 +123,29 @@ def _bin(d2: Column) -> Column:
     return F.floor(BINS * F.log(d2 + 1e-3)).cast("int")
 
 
-def _quantile_bins(rows: DataFrame, share: float) -> DataFrame:
-    """Per group and start the least bin that, with those below, holds `share` of the rows."""
-    counts = rows.groupBy("g", "k", "bin").agg(F.sum("n").alias("n"))
-    below = Window.partitionBy("g", "k").orderBy("bin")  # bins of one group: bounded by the range of a logarithm
-    whole = Window.partitionBy("g", "k")
-    return counts.select("g", "k", "bin", F.sum("n").over(below).alias("c"), F.sum("n").over(whole).alias("total")).where(F.col("c") >= share * F.col("total")).groupBy("g", "k").agg(F.min("bin").alias("edge"))
+def _binned(vectors: DataFrame, current: DataFrame) -> DataFrame:
+    """Sums per group, start and distance bin, with `below`, the rows of smaller bins, and `total`."""
+    placed = _distance(vectors.join(current, "g")).withColumn("bin", _bin(F.col("d2")))
+    smaller = Window.partitionBy("g", "k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # bins of one group: bounded by the range of a logarithm
+    return _sums(placed, "g", "k", "bin").select("*", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy("g", "k")).alias("total"))
 
 
 def estimates(stats: DataFrame) -> DataFrame:
     """Per group: mean, Cholesky factor, and `scale`, the squared distance's median over the chi-square one."""
     vectors = cut(stats.where("NOT base_failed").groupBy("g", *_X).agg(F.count("*").alias("n")))
     # starts: all vectors, and small samples by hash, one vector per draw
-    draws = [F.min(F.struct(F.xxhash64(F.lit(100 * k + d), *_X).alias("h"), *_X)).alias(f"d{k}_{d}") for k in range(1, STARTS) for d in range(DIMENSIONS + 1)]
-    drawn = vectors.groupBy("g").agg(*draws)
+    draws = [F.min(F.struct(F.md5(F.concat_ws("-", F.lit(100 * k + d), *_X)).alias("h"), *_X)).alias(f"d{k}_{d}") for k in range(1, STARTS) for d in range(DIMENSIONS + 1)]
     picks = F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"d{k}_{d}.{x}").alias(x) for x in _X]) for k in range(1, STARTS) for d in range(DIMENSIONS + 1)])
-    sampled = drawn.select("g", F.explode(picks).alias("p")).select("g", "p.k", *[f"p.{x}" for x in _X], F.lit(1).cast("bigint").alias("n"))
-    current = cut(_moments(vectors.withColumn("k", F.lit(0)).select("g", "k", *_X, "n").unionByName(sampled)))
+    sampled = vectors.groupBy("g").agg(*draws).select("g", F.explode(picks).alias("p")).select("g", "p.k", *[f"p.{x}" for x in _X], F.lit(1).cast("bigint").alias("n"))
+    current = cut(_moments(_sums(vectors.withColumn("k", F.lit(0)).select("g", "k", *_X, "n").unionByName(sampled), "g", "k")))
     for _ in range(STEPS):
-        placed = _distance(vectors.join(current, "g")).withColumn("bin", _bin(F.col("d2")))
-        edges = _quantile_bins(placed, SHARE)
-        current = cut(_moments(placed.join(edges, ["g", "k"]).where("bin <= edge").select("g", "k", *_X, "n")))
+        near = _binned(vectors, current).where(F.col("below") < SHARE * F.col("total"))
+        current = cut(_moments(near.groupBy("g", "k").agg(*[F.sum(c).alias(c) for c in _SUMS])))
     best = current.groupBy("g").agg(F.min(F.struct("logdet", "k")).alias("b")).select("g", F.col("b.k").alias("k"))
     chosen = current.join(best, ["g", "k"])
-    middle = _quantile_bins(_distance(vectors.join(chosen, "g")).withColumn("bin", _bin(F.col("d2"))), 0.5)
-    size = vectors.groupBy("g").agg(F.sum("n").alias("members"))
+    middle = _binned(vectors, chosen).where(F.col("below") < 0.5 * F.col("total")).groupBy("g").agg(F.max("bin").alias("edge"), F.max("total").alias("members"))
     scale = F.greatest(F.exp((F.col("edge") + 1) / BINS) / MEDIAN, F.lit(1.0))
-    return cut(chosen.join(middle, ["g", "k"]).join(size, "g").withColumn("scale", scale).drop("k", "edge", "logdet"))
+    return cut(chosen.join(middle, "g").withColumn("scale", scale).drop("k", "edge", "logdet"))
 
 
 def verdicts(docs: DataFrame, *, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, **columns) -> DataFrame:

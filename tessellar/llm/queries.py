@@ -67,7 +67,62 @@ QUERIES = {
 #: DuckDB RE2 classes of the words in the contracts, and texts with ASCII capitals lowered
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _quality_sql() -> str:
+    """The concentration steps written out, one set of common table expressions per step."""
+    q = quality_rules
+    dims, pairs = range(q.DIMENSIONS), q._PAIRS
+
+    def sums(keys: str) -> str:
+        parts = ["CAST(sum(n) AS DOUBLE) AS n"] + [f"CAST(sum(n * x{i}) AS DOUBLE) AS s{i}" for i in dims] + [f"CAST(sum(n * x{i} * x{j}) AS DOUBLE) AS q{i}{j}" for i, j in pairs]
+        return f"{keys}, {', '.join(parts)}"
+
+    def moments(source: str) -> str:
+        columns = [f"s{i} / n AS m{i}" for i in dims]
+        for i, j in pairs:
+            value = f"(q{i}{j} / n - m{i} * m{j})"
+            if i == j:
+                value = f"(greatest({value}, 0e0) + {float(q.FLOORS[i] ** 2)!r})"
+            value += "".join(f" - l{i}{p} * l{j}{p}" for p in range(j))
+            columns.append(f"sqrt(greatest({value}, 1e0)) AS l{i}{j}" if i == j else f"({value}) / l{j}{j} AS l{i}{j}")
+        return f"SELECT g, k, {', '.join(columns)}, round({' + '.join(f'ln(l{i}{i})' for i in dims)}, 9) AS logdet FROM ({source})"
+
+    def placed(rows: str, current: str) -> str:
+        columns = []
+        for i in dims:
+            columns.append(f"(x{i} - m{i}{''.join(f' - l{i}{p} * y{p}' for p in range(i))}) / l{i}{i} AS y{i}")
+        return f"SELECT *, {', '.join(columns)}, {' + '.join(f'y{i} * y{i}' for i in dims)} AS d2, CAST(floor({q.BINS} * ln(d2 + 1e-3)) AS INTEGER) AS bin FROM {rows} {current}"
+
+    def binned(current: str) -> str:
+        return f"SELECT *, coalesce(sum(n) OVER (PARTITION BY g, k ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n) OVER (PARTITION BY g, k) AS total FROM (SELECT {sums('g, k, bin')} FROM ({placed('vec', f'JOIN {current} USING (g)')}) GROUP BY g, k, bin)"
+
+    draws = " UNION ALL ".join(f"SELECT g, {k} AS k, x0, x1, x2, x3, 1 AS n FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY md5(concat_ws('-', {100 * k + d}, x0, x1, x2, x3))) AS r FROM vec) WHERE r = 1" for k in range(1, q.STARTS) for d in range(q.DIMENSIONS + 1))
+    whole = ", ".join(f"sum({c}) AS {c}" for c in q._SUMS)
+    steps = [f"c0 AS MATERIALIZED ({moments(f'SELECT {sums("g, k")} FROM (SELECT g, 0 AS k, x0, x1, x2, x3, n FROM vec UNION ALL {draws}) GROUP BY g, k')})"]
+    for step in range(1, q.STEPS + 1):
+        steps.append(f"c{step} AS MATERIALIZED ({moments(f'SELECT g, k, {whole} FROM ({binned(f"c{step - 1}")}) WHERE below < {q.SHARE} * total GROUP BY g, k')})")
+    return rf"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || lang, 'null') || chr(1) || coalesce('=' || source, 'null') AS g, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
+again AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win JOIN twice USING (doc_id, k)) GROUP BY doc_id),
+base AS (SELECT doc_id, g, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '{q.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words FROM doc LEFT JOIN again USING (doc_id)),
+st AS MATERIALIZED (SELECT doc_id, g, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  CAST(round({q.SCALE} * ln(greatest(word_chars, 1) / greatest(n_words, 1))) AS BIGINT) AS x0, CAST(round({q.SCALE} * ln(1 + 100 * n_symbols / greatest(word_chars, 1))) AS BIGINT) AS x1,
+  CAST(round({q.SCALE} * ln(1 + n_dup_lines)) AS BIGINT) AS x2, CAST(round({q.SCALE} * ln(1 + 100 * n_repeat_words / greatest(n_words, 1))) AS BIGINT) AS x3 FROM base),
+vec AS MATERIALIZED (SELECT g, x0, x1, x2, x3, count(*) AS n FROM st WHERE NOT base_failed GROUP BY ALL),
+{", ".join(steps)},
+best AS MATERIALIZED (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY logdet, k) AS r FROM c{q.STEPS}) WHERE r = 1),
+middle AS (SELECT g, greatest(exp((max(bin) + 1) / {float(q.BINS)}) / {q.MEDIAN}, 1e0) AS scale, max(total) AS members FROM ({binned("best")}) WHERE below < 0.5 * total GROUP BY g)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN members >= {q.MIN_GROUP} AND NOT base_failed THEN round(d2 / scale, 6) END AS distance,
+  NOT base_failed AND NOT coalesce(distance > {q.CUTOFF}, FALSE) AS kept
+FROM ({placed("st", "LEFT JOIN best USING (g)")}) LEFT JOIN middle USING (g)
+"""
+
+
 ORACLE_SQL = {
+    "op6_quality_rules": _quality_sql(),
     "op4_decontamination": rf"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -90,5 +145,31 @@ WITH doc AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op2_warc": r"""
+WITH page AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), least AS (SELECT html, min(page_id) AS first FROM page GROUP BY html)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS verified
+FROM page JOIN least USING (html)
+""",
+    "op7_substring_dedup": r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc WHERE len(w) >= 13)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN least USING (k) WHERE doc_id > m),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM doc),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM doc LEFT JOIN kept USING (doc_id)
+""",
+    "op10_ngram_join": rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (k) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT x, y FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+both_ AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, r) AS (SELECT DISTINCT x, x FROM both_ UNION SELECT reach.doc_id, y FROM reach JOIN both_ ON x = r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
 """,
 }
