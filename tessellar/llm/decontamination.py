@@ -214,16 +214,6 @@ def find(data: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.nd
     return which[right], at[right], rows, (starts, ends)
 
 
-def merged(at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of [at, at + length) as disjoint spans."""
-    if not len(at):
-        return at, at
-    order = np.argsort(at, kind="stable")
-    start, stop = at[order], np.maximum.accumulate((at + length)[order])
-    new = np.concatenate(([True], start[1:] > stop[:-1]))
-    return start[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(stop) - 1)]
-
-
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
     """Broadcast phrase tables; the number of blocks follows the measured size of the benchmark."""
     spark = benchmark.sparkSession
@@ -253,7 +243,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
             spans, names = [[] for _ in range(len(shard))], [set() for _ in range(len(shard))]
             # a span never leaves its row, but spans of neighbouring rows may touch: merge row by row
             row = K.row_of(at, rows)
-            start, stop = merged(at + row, length)
+            start, stop = K.merged(at + row, length)
             owner = K.row_of(start - np.searchsorted(rows[1:-1] + np.arange(1, len(rows) - 1), start, "right"), rows) if len(start) else start
             for r, s, e in zip(owner.tolist(), start.tolist(), stop.tolist()):
                 base = int(rows[r]) + r

@@ -152,6 +152,16 @@ def take_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + shift
 
 
+def merged(at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of [at, at + length) as disjoint spans."""
+    if not len(at):
+        return at, at
+    order = np.argsort(at, kind="stable")
+    start, stop = at[order], np.maximum.accumulate((at + length)[order])
+    new = np.concatenate(([True], start[1:] > stop[:-1]))
+    return start[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(stop) - 1)]
+
+
 def pack_bytes(values: np.ndarray, width: int) -> bytes:
     """Low `width` bytes of each unsigned value, byte planes one after another (planes compress better)."""
     planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]

@@ -9,13 +9,13 @@ overlaps. Only edges that at least two documents hold matter:
 2. Edges. The other windows are gathered by hash: how often an edge occurs, the
    least document that holds it, and whether all its occurrences continue alike.
 3. Compaction. Neighbouring edges that continue alike, occur equally often and
-   have one source lie on one nonbranching path. Each document cuts its edges into such paths; a
-   Spark aggregation on the paths' words keeps one row per path with its source
-   coordinates, and a join gives each occurrence its source.
-4. Verification. A path's key is a digest of its words, so an occurrence whose
-   source lies in a smaller document is proven by content. Edges that the hash
-   calls repeated but whose path found no source (cut differently) are proven
-   window by window against the text of the source document.
+   have one source lie on one nonbranching path. Each document cuts its edges
+   into such paths, keyed by a digest of their words; a Spark aggregation makes
+   one row of all occurrences of a path (`unitigs` also lists its source).
+4. Verification. A path with an occurrence in the source document is proven by
+   content. Edges that the hash calls repeated but whose path has none there
+   (cut differently) are joined with the text of the source document and proven
+   window by window.
 
 Records travel as blobs by hash bucket (a few bytes per window), so a shuffle
 row costs little and no task holds more than a bucket. Text is exchanged once,
@@ -47,11 +47,12 @@ SUB = 7
 LAST = np.iinfo(np.int64).max
 
 SIFT = [6]
-EDGES = [8, 2, 4]
+EDGES = [8, 4, 4]
 MARKS = [4, 5, 1, 8]
 FLAGGED = "uid bigint, sieve binary"
 REPLY = "uid bigint, marks binary"
-PATHS = "uid bigint, doc_id bigint, start int, windows int, k0 bigint, k1 bigint, later boolean, source bigint"
+PATH = "start int, windows int, k0 bigint, k1 bigint, later boolean, source bigint"
+PATHS = "uid bigint, doc_id bigint, spans array<struct<start:int,stop:int>>, paths array<struct<start:int,windows:int,k0:bigint,k1:bigint,later:boolean,source:bigint>>"
 PROOF = "uid bigint, start int, windows int"
 
 
@@ -200,13 +201,19 @@ def _edges(sifted: DataFrame, k: int, sub: int, n: int, print_bits: int) -> Data
 
 
 def _paths(marked: DataFrame, k: int) -> DataFrame:
-    """Step 3, in each document: maximal runs of edges on one nonbranching path."""
-    arrow = K.arrow_schema(PATHS)
+    """Step 3, in each document: maximal runs of edges on one nonbranching path, and the words that later edges cover."""
+    span = pa.schema([("start", pa.int32()), ("stop", pa.int32())])
+    path = K.arrow_schema(PATH)
+
+    def lists(columns: list[list], schema: pa.Schema, sizes: list[int]) -> pa.Array:
+        structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], fields=list(schema))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), structs)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batches, "text"):
-            out: list[list] = [[] for _ in range(8)]
-            for uid, doc_id, text, blob in zip(part.column("uid").to_pylist(), part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("marks").to_pylist()):
+            spans, paths = [[], []], [[] for _ in path]
+            n_spans, n_paths = [], []
+            for text, blob in zip(part.column("text").to_pylist(), part.column("marks").to_pylist()):
                 words = text.encode().split()
                 at, count, flags, source = _unpack(blob, MARKS)
                 _, order = np.unique(at, return_index=True)  # identical rows share a key and bring their records twice
@@ -215,21 +222,27 @@ def _paths(marked: DataFrame, k: int) -> DataFrame:
                 breaks[1:] = (at[1:] != at[:-1] + 1) | (flags[:-1] & 1 == 1) | (count[1:] != count[:-1]) | (flags[1:] >> 1 != flags[:-1] >> 1) | (source[1:] != source[:-1])
                 first = np.flatnonzero(breaks)
                 sizes = np.diff(np.append(first, len(at)))
-                for i, n in zip(first.tolist(), sizes.tolist()):
-                    a = int(at[i])
-                    digest = hashlib.sha256(b" ".join(words[a : a + n + k - 1])).digest()
-                    row = uid, doc_id, a, n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:16], "little", signed=True), bool(flags[i] & 2), int(source[i])
-                    for column, value in zip(out, row):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
+                digests = [hashlib.sha256(b" ".join(words[a : a + n + k - 1])).digest()[:16] for a, n in zip(at[first].tolist(), sizes.tolist())]
+                halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                for column, values in zip(paths, (at[first], sizes, halves[:, 0], halves[:, 1], flags[first] & 2 > 0, source[first])):
+                    column.append(values)
+                later = at[flags & 2 > 0]
+                start, stop = K.merged(later, np.full(len(later), k))
+                spans[0].append(start)
+                spans[1].append(stop)
+                n_paths.append(len(first))
+                n_spans.append(len(start))
+            joined = lambda c: np.concatenate(c) if c else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), lists(list(map(joined, spans)), span, n_spans), lists(list(map(joined, paths)), path, n_paths)], ["uid", "doc_id", "spans", "paths"])
 
     return marked.mapInArrow(kernel, PATHS)
 
 
 def unitigs(paths: DataFrame) -> DataFrame:
-    """One row per compacted path: key, windows, occurrences, source document (the least) and its start."""
+    """One row per compacted path: key, windows, occurrences, source document (the least) and its start, and whether that is no later one."""
     rank = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "start")
-    return paths.groupBy("k0", "k1").agg(F.min(rank).alias("s"), F.count("*").alias("occurrences"), F.min("windows").alias("windows")).select("k0", "k1", "windows", "occurrences", F.col("s.d").alias("source_id"), F.col("s.start").alias("source_start"))
+    each = paths.select("doc_id", F.explode("paths").alias("p")).select("doc_id", "p.*")
+    return each.groupBy("k0", "k1").agg(F.min(rank).alias("s"), F.count("*").alias("occurrences"), F.min("windows").alias("windows"), F.bool_or(~F.col("later")).alias("sourced")).select("k0", "k1", "windows", "occurrences", F.col("s.d").alias("source_id"), F.col("s.start").alias("source_start"), "sourced")
 
 
 def _proven_by_window(unproven: DataFrame, source: DataFrame, k: int) -> DataFrame:
@@ -259,13 +272,13 @@ def _proven_by_window(unproven: DataFrame, source: DataFrame, k: int) -> DataFra
                     rows.append({"uid": r["uid"], "start": r["start"], "windows": 1})
             yield pa.RecordBatch.from_pylist(rows, K.arrow_schema(PROOF))
 
-    spelled = unproven.select("uid", "start", "windows", "source").join(source, "uid").select("uid", "source", "start", "windows", "text").mapInArrow(spell, "uid bigint, source bigint, start int, key binary")
+    spelled = stored(source.join(unproven.select("uid", "start", "windows", "source"), "uid").select("uid", "source", "start", "windows", "text").mapInArrow(spell, "uid bigint, source bigint, start int, key binary"), "spelled")
     texts = source.select(F.col("uid").alias("source"), "text")
-    return spelled.join(texts, "source").sortWithinPartitions("source").select("uid", "source", "start", "key", "text").mapInArrow(compare, PROOF).distinct()
+    return texts.join(spelled, "source").sortWithinPartitions("source").select("uid", "source", "start", "key", "text").mapInArrow(compare, PROOF).distinct()
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, sub: int = SUB, print_bits: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(rows with their key, spans of windows to remove per key: uid, spans array<struct<start,windows>>)."""
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, sub: int = SUB, print_bits: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(rows with their key, words to remove per key: uid, spans array<struct<start,stop>>)."""
     source = _source(docs, id_col, text_col)
     n = buckets(docs.sparkSession)
     flagged = cut(_sift(source, k, sub, n))
@@ -273,13 +286,19 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     marks = _edges(source.join(flagged, "uid"), k, sub, n, print_bits)
     paths = stored(_paths(source.join(marks, "uid"), k), "paths")
     del marks, flagged
-    later = paths.where("later").select("uid", F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "start", "windows", "k0", "k1", "source")
-    traced = stored(later.join(unitigs(paths).select("k0", "k1", "source_id"), ["k0", "k1"]).select("uid", "start", "windows", "source", (F.col("source_id") < F.col("rank")).alias("proven")), "traced")
-    proven = traced.where("proven").select("uid", "start", "windows")
-    unproven = traced.where("NOT proven")
-    if not unproven.isEmpty():
-        proven = proven.unionByName(_proven_by_window(unproven, source, k))
-    return source, proven.groupBy("uid").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    spans = paths.select("uid", "spans").where(F.size("spans") > 0).dropDuplicates(["uid"])
+    each = paths.select("uid", F.explode("paths").alias("p")).select("uid", "p.*")
+    # a later occurrence is proven by one of the same words that is not later: its document is the least with the edge
+    unsourced = stored(each.groupBy("k0", "k1").agg(F.bool_or(~F.col("later")).alias("sourced")).where("NOT sourced").select("k0", "k1"), "unsourced")
+    if not unsourced.isEmpty():
+        # stored, so the planner knows the size: a few rows are broadcast to the texts, many are joined by exchange
+        bad = stored(each.join(unsourced, ["k0", "k1"], "left_semi").where("later").distinct(), "unproven")
+        touched = bad.select("uid").distinct()
+        sound = each.where("later").join(touched, "uid", "left_semi").join(unsourced, ["k0", "k1"], "left_anti").select("uid", "start", "windows")
+        kept = sound.unionByName(_proven_by_window(bad, source, k))
+        again = kept.groupBy("uid").agg(F.collect_list(F.struct(F.col("start"), (F.col("start") + F.col("windows") + k - 1).alias("stop"))).alias("spans"))
+        spans = spans.join(touched, "uid", "left_anti").unionByName(again)
+    return source, spans
 
 
 def deduplicate(docs: DataFrame, *, k: int = WINDOW, **options) -> DataFrame:
@@ -297,7 +316,7 @@ def deduplicate(docs: DataFrame, *, k: int = WINDOW, **options) -> DataFrame:
                 if found:
                     edge = np.zeros(total + 1, np.int64)
                     np.add.at(edge, [s["start"] for s in found], 1)
-                    np.add.at(edge, [s["start"] + s["windows"] + k - 1 for s in found], -1)
+                    np.add.at(edge, [s["stop"] for s in found], -1)
                     words = list(compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
                 kept = b" ".join(words)
                 for column, value in zip(out, (total, total - len(words), hashlib.sha256(kept).hexdigest(), kept.decode())):
