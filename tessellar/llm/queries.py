@@ -102,12 +102,14 @@ def _quality_sql() -> str:
     for step in range(1, q.STEPS + 1):
         steps.append(f"c{step} AS MATERIALIZED ({moments(f'SELECT g, k, {whole} FROM ({binned(f"c{step - 1}")}) WHERE below < {q.SHARE} * total GROUP BY g, k')})")
     return rf"""
-WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || lang, 'null') || chr(1) || coalesce('=' || source, 'null') AS g, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || lang, 'null') || chr(1) || coalesce('=' || source, 'null') AS g, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) >= 3)),
 twice AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
 again AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win JOIN twice USING (doc_id, k)) GROUP BY doc_id),
 base AS (SELECT doc_id, g, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '{q.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
-  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words FROM doc LEFT JOIN again USING (doc_id)),
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words FROM doc LEFT JOIN again USING (doc_id)),
 st AS MATERIALIZED (SELECT doc_id, g, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
   CAST(round({q.SCALE} * ln(greatest(word_chars, 1) / greatest(n_words, 1))) AS BIGINT) AS x0, CAST(round({q.SCALE} * ln(1 + 100 * n_symbols / greatest(word_chars, 1))) AS BIGINT) AS x1,
   CAST(round({q.SCALE} * ln(1 + n_dup_lines)) AS BIGINT) AS x2, CAST(round({q.SCALE} * ln(1 + 100 * n_repeat_words / greatest(n_words, 1))) AS BIGINT) AS x3 FROM base),
@@ -121,7 +123,50 @@ FROM ({placed("st", "LEFT JOIN best USING (g)")}) LEFT JOIN middle USING (g)
 """
 
 
+def _pii_sql() -> str:
+    """Spans from lengths of matches and gaps, validity, contexts, and the disclosure rule."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({digits}), i, 1) AS INTEGER) ELSE (2 * CAST(substr(reverse({digits}), i, 1) AS INTEGER)) % 10 + CAST(substr(reverse({digits}), i, 1) AS INTEGER) // 5 END)) % 10 = 0"
+    valid = {
+        "email": "TRUE",
+        "ip": "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0",
+        "card": f"length({digits}) BETWEEN 13 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+    }
+
+    def located(rows: str, keys: str, text: str, pattern: str) -> str:
+        """Matches of `text` in `rows` with code-point bounds."""
+        order = f"(PARTITION BY {keys} ORDER BY i"
+        return f"""SELECT {keys}, v, CAST(sum(length(gap)) OVER {order} ROWS UNBOUNDED PRECEDING) + coalesce(sum(length(v)) OVER {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, start + length(v) AS stop
+    FROM (SELECT {keys}, unnest(m) AS v, unnest(gaps[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {keys}, regexp_extract_all({text}, '{pattern}') AS m, regexp_split_to_array({text}, '{pattern}') AS gaps FROM {rows}))"""
+
+    kinds = " UNION ALL ".join(f"SELECT doc_id, {no} AS no, '{k}' AS kind, v, start, stop FROM ({located('doc', 'doc_id', 't', patterns[k])}) WHERE {valid[k]}" for no, k in enumerate(pii.KINDS))
+    term = r"\p{L}{4,}"
+    keys = "doc_id, entity, l, r, first, stop0"
+    return f"""
+WITH doc AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents), span AS MATERIALIZED ({kinds}),
+near AS MATERIALIZED (SELECT doc_id, kind || ':' || lower(v) AS entity, greatest(start - {pii.REACH}, 0) AS first, stop AS stop0, substr(t, greatest(start - {pii.REACH}, 0) + 1, start - greatest(start - {pii.REACH}, 0)) AS l, substr(t, stop + 1, {pii.REACH}) AS r FROM span JOIN doc USING (doc_id)),
+found AS (SELECT doc_id, entity, l, r, lower(v) AS term, start + first AS start, stop + first AS stop FROM ({located("near", keys, "l", term)}) WHERE start > 0 OR first = 0
+  UNION ALL SELECT doc_id, entity, l, r, lower(v), start + stop0, stop + stop0 FROM ({located("near", keys, "r", term)}) WHERE stop < {pii.REACH}),
+free AS MATERIALIZED (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM span s WHERE s.doc_id = f.doc_id AND s.start < f.stop AND f.start < s.stop)),
+e AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM free GROUP BY entity), et AS (SELECT entity, term, count(DISTINCT doc_id) AS n_et, count(DISTINCT (l, r)) AS seen FROM free GROUP BY ALL HAVING count(DISTINCT (l, r)) >= {pii.SUPPORT}),
+freq AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '{term}'))) AS term FROM doc) GROUP BY term), total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM doc),
+told AS (SELECT entity, term FROM et JOIN e USING (entity) JOIN freq USING (term), total WHERE ln(n / n_e) > 0 AND ln(n * n_et / (n_e * greatest(n_t, n_et))) >= {pii.DISCLOSURE} * ln(n / n_e)),
+terms AS (SELECT DISTINCT doc_id, start, stop FROM free JOIN told USING (entity, term)),
+b AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY no, start) AS base, {", ".join(f"count(*) FILTER (no = {no}) AS n_{k}" for no, k in enumerate(pii.KINDS))} FROM span GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg('term:' || start || ':' || stop, ',' ORDER BY start, stop) AS added, count(*) AS n_terms FROM terms GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, concat_ws(',', base, added) AS spans, coalesce(n_terms, 0) AS n_terms FROM doc LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 ORACLE_SQL = {
+    "op8_pii": _pii_sql(),
     "op6_quality_rules": _quality_sql(),
     "op4_decontamination": rf"""
 WITH doc AS (

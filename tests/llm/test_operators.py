@@ -5,12 +5,13 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessellar.llm import decontamination, kernels, mixing, ngram_join, permutation, pii, quality_classifier, quality_rules, substring_dedup, token_counts, token_ids, warc
+from tessellar.llm import decontamination, kernels, mixing, ngram_join, permutation, pii, quality_classifier, quality_rules, queries, substring_dedup, token_counts, token_ids, warc
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -257,7 +258,14 @@ def test_pii_base(odd_docs, no_docs, spark):
 def test_pii_terms_that_disclose(spark):
     rows = [(i, f"{'abcdefgh'[i]}{i} zorblatt wrote from kim@corp.com about item{i} today") for i in range(8)]
     rows += [(100 + i, f"about other things today number {i}") for i in range(60)]
-    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    report = pii.report(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = {r.doc_id: r.spans for r in report.collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.execute(queries.ORACLE_SQL["op8_pii"])
+    names = [d[0] for d in con.description]
+    assert rows_of(report.select(*names)) == sorted(con.fetchall(), key=repr)
     text = rows[0][1]
     a = text.index("zorblatt")
     assert f"term:{a}:{a + 8}" in got[0].split(",") and "today" not in [text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[0].split(",")]
