@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellar.mesh import Mesh
 from tessellar.operators import topology
+from tessellar.operators.ordering import global_rank
 
 
 def apply_mask(mesh: Mesh, mask: DataFrame) -> Mesh:
@@ -51,7 +52,7 @@ def threshold_minimum(edges: DataFrame) -> float:
     from tessellar.operators.graphs import component_count
 
     whole = component_count(edges, edges)
-    weights = edges.select("w").distinct().withColumn("r", F.row_number().over(Window.orderBy("w")))
+    weights = global_rank(edges.select("w").distinct(), ["w"], "p").select("w", (F.col("p") + 1).alias("r"))
     low, high = 1, weights.count()
     while low < high:
         middle = (low + high + 1) // 2
@@ -84,7 +85,7 @@ def split_surface(mesh: Mesh, labels: DataFrame, how: str = "any") -> DataFrame:
 def sort_verts(mesh: Mesh, criterion: str = "x") -> DataFrame:
     """(v_id, position): order by x, y, z, norm or a data column, ties by id."""
     key = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) if criterion == "norm" else F.col(criterion)
-    return mesh.vertices.select("v_id", (F.row_number().over(Window.orderBy(key, "v_id")) - 1).cast("bigint").alias("position"))
+    return global_rank(mesh.vertices, [key, "v_id"]).select("v_id", "position")
 
 
 def decimate(mesh: Mesh, factor: float = 0.1) -> Mesh:
@@ -93,7 +94,7 @@ def decimate(mesh: Mesh, factor: float = 0.1) -> Mesh:
 
     keep = int(mesh.vertices.count() * factor)
     near = nearest_neighbor(mesh.vertices, mesh.vertices, exclude_self=True)
-    chosen = near.orderBy("distance", "v_id").limit(keep).select("v_id")
+    chosen = global_rank(near, ["distance", "v_id"]).where(F.col("position") < keep).select("v_id")
     return topology.reindexed(Mesh(mesh.vertices.join(chosen, "v_id", "left_semi"), mesh.faces))
 
 

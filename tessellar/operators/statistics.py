@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tessellar.operators.ordering import average_ranks, global_rank
+
 
 def pearson(x: Column | str, y: Column | str) -> Column:
     """Aggregate: Pearson correlation, null if either side is constant."""
@@ -64,7 +66,7 @@ def compare_images(source: DataFrame, target: DataFrame, *, metric: str = "pears
     elif nan_policy == "omit":
         both = both.where(~missing)
     if metric == "spearmanr":
-        both = both.select(average_rank("x").alias("x"), average_rank("y").alias("y"))
+        both = average_ranks(average_ranks(both, "x", "rx"), "y", "ry").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
     return both.agg(pearson("x", "y").alias("r"), F.count("*").alias("n"))
 
 
@@ -81,7 +83,7 @@ def shuffled(rows: DataFrame, n_perm: int, seed: int, id_col: str = "v_id") -> D
 
 def permtest_metric(pairs: DataFrame, n_perm: int = 1000, seed: int = 0) -> DataFrame:
     """One row (r, p) of (v_id, x, y): p = (1 + nulls at least as large) / (n_perm + 1)."""
-    places = pairs.withColumn("place", F.row_number().over(Window.orderBy("v_id")) - 1).select("place", "x")
+    places = global_rank(pairs, ["v_id"], "place").select("place", "x")
     order = shuffled(pairs, n_perm, seed).join(pairs.select("v_id", "y"), "v_id")
     nulls = order.join(places, "place").groupBy("perm").agg(pearson("x", "y").alias("null"))
     true = pairs.agg(pearson("x", "y").alias("r"))
