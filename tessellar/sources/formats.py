@@ -285,11 +285,13 @@ def _rows(name: str, vertices: np.ndarray, faces: np.ndarray) -> Iterator[pa.Rec
 
 
 def read_surface(spark: SparkSession, path: str, kind: str | None = None):
-    """A Mesh of one surface file."""
+    """A Mesh of one surface file; tetrahedra keep their fourth corner."""
     from tessellar.mesh import Mesh
 
     rows = surfaces(spark, path, kind)
-    return Mesh(rows.where("part = 'v'").select("id", "x", "y", "z").withColumnRenamed("id", "v_id"), rows.where("part = 'f'").select("id", "a", "b", "c").withColumnRenamed("id", "f_id"))
+    faces = rows.where("part = 'f'")
+    corners = ["a", "b", "c"] if faces.where("d IS NOT NULL").isEmpty() else ["a", "b", "c", "d"]
+    return Mesh(rows.where("part = 'v'").select("id", "x", "y", "z").withColumnRenamed("id", "v_id"), faces.select("id", *corners).withColumnRenamed("id", "f_id"))
 
 
 def write_surface(mesh, path: str, kind: str | None = None) -> None:
