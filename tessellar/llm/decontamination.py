@@ -32,6 +32,7 @@ from . import kernels as K
 WINDOW = 10
 SAMPLE = 8
 BLOCK_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 SCHEMA = "doc_id bigint, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>"
 
@@ -234,7 +235,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in K.slices(batches, "text"):
+        for shard in K.slices(batches, "text", SHARD_BYTES):
             data, offsets = K.utf8(shard.column("text"))
             found = [(part.value, *find(data, offsets, part.value)) for part in parts]
             rows = found[0][3]
@@ -305,7 +306,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", char
         return changed
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in K.slices(batches, text_col):
+        for shard in K.slices(batches, text_col, SHARD_BYTES):
             column = shard.column(place)
             data, offsets = K.utf8(column)
             raw = data.tobytes()

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PRIME_INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
 
@@ -107,7 +107,7 @@ _power_cache: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_power_cache.get("power", ())) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = 1 << max(n - 1, SLICE_BYTES).bit_length()
         for name, base in (("power", _PRIME), ("inverse", _PRIME_INVERSE)):
             values = np.full(size, base, np.uint64)
             values[0] = 1
@@ -144,12 +144,15 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def take_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Concatenation of arange(start, start + length)."""
+    """Concatenation of arange(start, start + length), in 32 bits where they suffice."""
     total = int(lengths.sum())
     if not total:
         return np.empty(0, np.int64)
-    shift = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-    return np.arange(total) + shift
+    ends = np.cumsum(lengths)
+    kind = np.int32 if max(total, int((starts + lengths).max())) < 1 << 31 else np.int64
+    out = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def merged(at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +189,7 @@ class Spool:
     per value column; records keep the order in which they came.
     """
 
-    def __init__(self, buckets: int, widths: list[int], key_columns: int = 1, limit: int = 1 << 21):
+    def __init__(self, buckets: int, widths: list[int], key_columns: int = 1, limit: int = 1 << 19):
         self.buckets, self.widths, self.key_columns, self.limit = buckets, widths, key_columns, limit
         self.parts: list[tuple] = []
         self.size = 0

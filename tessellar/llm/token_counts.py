@@ -33,6 +33,7 @@ from . import kernels as K
 
 MARK = "▁"
 CACHE = 400_000
+WIDE = 16 << 20  # bytes of text dictionary-encoded together
 UNKNOWN_PENALTY = 10.0
 
 
@@ -103,7 +104,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, seen = _counter(path, byte_fallback)
-        for part in K.slices(batches, "text", 4 * K.SLICE_BYTES):
+        for part in K.slices(batches, "text", WIDE):
             whole = pc.fill_null(part.column("text"), "")
             some = pc.not_equal(whole, "")
             # marks and spaces are the same; a text that starts with one gets no other: every chunk has exactly one

@@ -48,6 +48,7 @@ from .shared import scratch, stored
 SEQ_LEN = 2048
 SHARD_SLOTS = 1024
 SEED = 20
+WIDE = 8 << 20  # bytes of text tokenised together
 
 SEQUENCES = "slot bigint, shard bigint, n_tokens int, doc_ids array<bigint>, ids binary"
 MANIFEST = "slot bigint, shard bigint, byte_offset bigint, n_tokens int, doc_ids array<bigint>, tokens_sha256 string, path string"
@@ -173,11 +174,12 @@ class BatchCoder:
 
 def _texts(batches: Iterator[pa.RecordBatch], tokenizer: tuple[str, str]) -> Iterator[tuple[int | None, np.ndarray]]:
     coder = BatchCoder(tokenizer)
-    for part in K.slices(batches, "text", 4 * K.SLICE_BYTES):
+    for part in K.slices(batches, "text", WIDE):
         counts, ids = coder.encode(part.column("text"))
         ends = np.cumsum(counts)
         for doc_id, a, b in zip(part.column("doc_id").to_pylist(), (ends - counts).tolist(), ends.tolist()):
             yield doc_id, ids[a:b]
+    pa.default_memory_pool().release_unused()
 
 
 def counts(source: DataFrame, tokenizer: tuple[str, str], seq_len: int) -> dict[int, int]:
@@ -185,7 +187,7 @@ def counts(source: DataFrame, tokenizer: tuple[str, str], seq_len: int) -> dict[
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, total = BatchCoder(tokenizer), 0
-        for part in K.slices(batches, "text", 4 * K.SLICE_BYTES):
+        for part in K.slices(batches, "text", WIDE):
             total += int(coder.encode(part.column("text"), want_ids=False)[0].sum()) + len(part)
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [-(-total // seq_len)]}, pa.schema([("part", pa.int64()), ("n", pa.int64())]))
 
