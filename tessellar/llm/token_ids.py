@@ -48,7 +48,7 @@ from .shared import scratch, stored
 SEQ_LEN = 2048
 SHARD_SLOTS = 1024
 SEED = 20
-WIDE = 8 << 20  # bytes of text tokenised together
+WIDE = 12 << 20  # bytes of text tokenised together
 
 SEQUENCES = "slot bigint, shard bigint, n_tokens int, doc_ids array<bigint>, ids binary"
 MANIFEST = "slot bigint, shard bigint, byte_offset bigint, n_tokens int, doc_ids array<bigint>, tokens_sha256 string, path string"
