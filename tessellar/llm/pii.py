@@ -153,17 +153,17 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
     return base.drop("contexts").join(added, "uid", "left").withColumn("terms", F.coalesce("terms", none))
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
+def report(docs: DataFrame, *, method=spans, **options) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
-    found = spans(docs, **options)
+    found = method(docs, **options)
     terms = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["stop"]))
     everything = F.array_join(F.concat(F.filter(F.split("base", ","), lambda x: x != ""), terms), ",")
     return found.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS], F.sha2("base", 256).alias("base_sha256"), everything.alias("spans"), F.size("terms").cast("bigint").alias("n_terms"))
 
 
-def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", method=spans, **options) -> DataFrame:
     """`docs` with base spans and generalised terms replaced by their kind in brackets, and removed terms gone."""
-    found = spans(docs, id_col=id_col, text_col=text_col, **options)
+    found = method(docs, id_col=id_col, text_col=text_col, **options)
 
     def tags(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"), F.lit(f"[{kind.upper()}]").alias("new")))

@@ -1,0 +1,166 @@
+"""Disclosing terms of rare personal data, over whole texts (native).
+
+As in `pii`, a term t tells PMI(e; t) = log(N n(e,t) / (n(e) n(t))) of the
+information content IC(e) = log(N / n(e)) of entity e, by counts of documents,
+and discloses e from `disclosure` of it on (it is removed from `removal` on).
+There is no least number of contexts: a pair counts if its co-occurrence is
+significant. With k of the entity's c distinct contexts in documents that hold t,
+
+    P(k or more) <= C(c, k) n(t)...(n(t) - k + 1) / (N...(N - k + 1))
+
+(or Chernoff's bound where that is less), times the number of terms of more than one
+document (no other can pass), must be at most `alpha`: an entity gets a chance term with
+that probability. Copies of a context are one, so copies of a document prove nothing.
+
+An entity that no term could prove even if it stood with it always and nowhere
+else (one context, say) is judged as its pool: the e-mail's domain, the first
+three parts of the address, the card's issuer, the phone number without its last
+four digits; their counts are those of all values in the pool.
+
+Terms and entities are counted per document, over the whole text without its base
+spans, and every occurrence of a disclosing term is marked in the documents that
+hold the entity. Pairs combine before the shuffle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import pii
+from .pii import DISCLOSURE, KINDS, REACH, REMOVAL
+from .shared import cut, stored
+
+ALPHA = 0.05
+#: factors of the bound; a smaller k bounds a larger one
+FACTORS = 64
+TOKEN = pii.TERM
+
+MARKS = "array<struct<start:int,stop:int,action:string>>"
+_ARROW = pa.schema([("uid", pa.int64()), ("terms", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("action", pa.string())])))])
+
+_DIGITS = {"card", "phone"}
+POOL = {
+    "email": lambda v: F.substring_index(v, "@", -1),
+    "ip": lambda v: F.substring_index(v, ".", 3),
+    "card": lambda v: F.substring(v, 1, 6),
+    "phone": lambda v: F.substring(v, F.lit(1), F.length(v) - 4),
+}
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with its spans blanked; positions stay."""
+
+    def step(state: Column, s: Column) -> Column:
+        a, b = F.greatest(s["start"], state["at"]), F.greatest(s["stop"], state["at"])
+        return F.struct(b.alias("at"), F.concat(state["out"], F.substring(text, state["at"] + 1, a - state["at"]), F.repeat(F.lit(" "), b - a)).alias("out"))
+
+    state = F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
+
+
+def words(text: Column) -> Column:
+    """Distinct terms of a lower-case text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), 0))
+
+
+def _held(kind: str) -> Column:
+    """Entity, pool and context of each span of a kind."""
+
+    def one(span: Column) -> Column:
+        value = pii._digits(span["value"]) if kind in _DIGITS else F.lower(span["value"])
+        first = F.greatest(span["start"] - REACH, F.lit(0))
+        context = F.xxhash64(F.substring(F.col("text"), first + 1, span["start"] - first), F.substring(F.col("text"), span["stop"] + 1, F.lit(REACH)))
+        return F.struct(F.concat(F.lit(f"{kind}:"), value).alias("value"), F.concat(F.lit(f"{kind} pool:"), POOL[kind](value)).alias("pool"), context.alias("context"))
+
+    return F.transform(kind, one)
+
+
+def _base_table(docs: DataFrame, **columns) -> DataFrame:
+    """Base spans, and of texts that have any, the entities and the blanked text."""
+    every = F.concat(*KINDS)
+    listed = lambda kind: F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["stop"]))
+    base = F.array_join(F.concat(*map(listed, KINDS)), ",")
+    some = lambda c: F.when(F.size(every) > 0, c)
+    found = pii.base_spans(docs, **columns)
+    return stored(found.select("doc_id", "uid", *KINDS, base.alias("base"), some(F.concat(*map(_held, KINDS))).alias("held"), some(masked(F.col("text"), every)).alias("masked")), "pii-terms-base")
+
+
+def log_chance(c: Column, k: Column, n_t: Column, n: Column) -> Column:
+    """Logarithm of a bound on the chance that k or more of c contexts stand in the n_t of n documents with a term."""
+    c, k, n_t = (x.cast("double") for x in (c, k, n_t))
+    steps = F.sequence(F.lit(0), F.least(k.cast("int"), F.lit(FACTORS)) - 1)
+    union = F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.log((c - i) * F.greatest(n_t - i, F.lit(1.0)) / ((i + 1) * F.greatest(n - i, F.lit(1.0)))))
+    mean = c * n_t / n
+    chernoff = F.when(k > mean, k - mean - k * F.log(k / mean)).otherwise(0.0)
+    return F.least(union, chernoff)
+
+
+def disclosing(docs: DataFrame, base: DataFrame, *, text_col: str = "text", alpha: float = ALPHA, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
+    """(uid, terms): the disclosing terms, with their actions, of the entities that a row holds."""
+    frequency = cut(docs.select(F.explode(words(F.lower(F.col(text_col).cast("string")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
+    tests, n = F.lit(float(max(frequency.where("n_t > 1").count(), 1))), F.lit(float(max(base.count(), 1)))
+    some = base.where("masked IS NOT NULL")
+    held = cut(some.select("uid", F.explode("held").alias("h")).groupBy("uid", "h.value", "h.pool").agg(F.min("h.context").alias("context")))
+    both = held.select("uid", "context", F.explode(F.array("value", "pool")).alias("entity")).groupBy("uid", "entity").agg(F.min("context").alias("context"))
+    counts = both.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("context").alias("c"))
+    able = cut(counts.where(log_chance(F.col("c"), F.col("c"), F.col("c"), n) + F.log(tests) <= F.log(F.lit(alpha))))
+    names = able.select("entity")
+    proven = held.join(names.select(F.col("entity").alias("value"), F.lit(True).alias("able")), "value", "left")
+    judged = cut(proven.select("uid", F.when(F.col("able"), F.col("value")).otherwise(F.col("pool")).alias("entity")).distinct().join(names, "entity", "left_semi"))
+    # counts of a pool include all its values
+    members = both.join(judged.select("entity").distinct(), "entity", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("entity", "context")).alias("members"))
+    texts = some.dropDuplicates(["uid"]).select("uid", words(F.lower("masked")).alias("words")).join(members, "uid")
+    pairs = texts.select("members", F.explode("words").alias("term")).select(F.explode("members").alias("m"), "term").select("m.entity", "m.context", "term")
+    seen = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("k"))
+    rated = seen.join(able, "entity").where(log_chance(F.col("c"), F.col("k"), F.col("k"), n) + F.log(tests) <= F.log(F.lit(alpha))).join(frequency, "term")
+    often = F.greatest("n_t", "n_et")
+    content = F.log(n / F.col("n_e"))
+    told = F.log(n * F.col("n_et") / (F.col("n_e") * often))
+    sure = log_chance(F.col("c"), F.col("k"), often, n) + F.log(tests) <= F.log(F.lit(alpha))
+    decided = rated.where((content > 0) & (told >= disclosure * content) & sure)
+    decided = cut(decided.groupBy("entity").agg(F.collect_list(F.struct("term", F.when(told >= removal * content, "remove").otherwise("generalise").alias("action"))).alias("terms")))
+    return judged.join(decided, "entity").groupBy("uid").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bounds of every occurrence of a row's terms; a row at a time, as it may be long."""
+    for batch in batches:
+        rows = []
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            actions: dict[str, str] = {}
+            for t in row["terms"]:
+                actions[t["term"]] = max(t["action"], actions.get(t["term"], ""))
+            at, out = 0, []
+            for value, length, gap in zip(row["found"], row["lengths"], row["gaps"]):
+                at += gap
+                if value in actions:
+                    out.append({"start": at, "stop": at + length, "action": actions[value]})
+                at += length
+            rows.append({"uid": row["uid"], "terms": out})
+        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+
+def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Base table with `terms`, the sorted disclosing spans of each row (empty where none)."""
+    base = _base_table(docs, id_col=id_col, text_col=text_col)
+    told = disclosing(docs, base, text_col=text_col, **options)
+    found = F.regexp_extract_all("masked", F.lit(TOKEN), 0)
+    texts = base.where("masked IS NOT NULL").dropDuplicates(["uid"]).select("uid", "masked").join(told, "uid")
+    parts = texts.select("uid", "terms", F.transform(found, F.lower).alias("found"), F.transform(found, F.length).alias("lengths"), F.transform(F.split("masked", TOKEN, -1), F.length).alias("gaps"))
+    added = parts.mapInArrow(_mark, f"uid bigint, terms {MARKS}")
+    return base.drop("held", "masked").join(added, "uid", "left").withColumn("terms", F.coalesce("terms", F.array().cast(MARKS)))
+
+
+def report(docs: DataFrame, **options) -> DataFrame:
+    """`pii.report` with these terms."""
+    return pii.report(docs, method=spans, **options)
+
+
+def sanitise(docs: DataFrame, **options) -> DataFrame:
+    """`pii.sanitise` with these terms."""
+    return pii.sanitise(docs, method=spans, **options)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_counts, token_ids, warc
+from . import decontamination, mixing, ngram_join, pii, pii_terms, quality_classifier, quality_rules, substring_dedup, token_counts, token_ids, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_terms.report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.materialise(table(spark, sf_dir, "documents")).drop("path")
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_pii_terms": op8_pii_terms,
     "op8_pii": op8_pii,
     "op9_token_ids": op9_token_ids,
     "op10_ngram_join": op10_ngram_join,
