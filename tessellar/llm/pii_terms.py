@@ -17,16 +17,15 @@ else (one context, say) is judged as its pool: the e-mail's domain, the first
 three parts of the address, the card's issuer, the phone number without its last
 four digits; their counts are those of all values in the pool.
 
-Terms and entities are counted per document, over the whole text without its base
-spans, and every occurrence of a disclosing term is marked in the documents that
-hold the entity. Pairs combine before the shuffle.
+Terms are words of letters and digits of any length; runs in scripts without spaces
+are read as overlapping pairs of characters. Terms and entities are counted per
+document, over the whole text without its base spans, and every occurrence of a
+disclosing term is marked in the documents that hold the entity. Pairs combine
+before the shuffle. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +36,15 @@ from .shared import cut, stored
 ALPHA = 0.05
 #: factors of the bound; a smaller k bounds a larger one
 FACTORS = 64
-TOKEN = pii.TERM
+#: scripts written without spaces: their runs are read as overlapping pairs of characters
+RUN = r"\u0E01-\u0E3A\u0E40-\u0E4E\u0E50-\u0E59\u0E81-\u0ED9\u0EDC-\u0EDF\u1000-\u1049\u1050-\u109F\u1780-\u17D3\u17E0-\u17E9\u3005-\u3007\u3041-\u3096\u3099-\u309F\u30A1-\u30FA\u30FC-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{1B000}-\x{1B16F}\x{20000}-\x{3FFFF}"
+PLAIN = r"[\p{L}\p{M}\p{N}]++"
+WORD = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{RUN}]]++"
+PAIR = rf"(?=([{RUN}]{{2}}))"
+LONE = rf"(?<![{RUN}])[{RUN}](?![{RUN}])"
+TOKEN = rf"[{RUN}]++|{WORD}"
 
 MARKS = "array<struct<start:int,stop:int,action:string>>"
-_ARROW = pa.schema([("uid", pa.int64()), ("terms", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("action", pa.string())])))])
 
 _DIGITS = {"card", "phone"}
 POOL = {
@@ -63,8 +67,9 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Distinct terms of a lower-case text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), 0))
+    """Distinct terms of a lower-case text: words of any length, and pairs of characters (or a lone one) in runs without spaces."""
+    every = lambda pattern, group=0: F.regexp_extract_all(text, F.lit(pattern), group)
+    return F.array_distinct(F.when(text.rlike(f"[{RUN}]"), F.concat(every(WORD), every(PAIR, 1), every(LONE))).otherwise(every(PLAIN)))
 
 
 def _held(kind: str) -> Column:
@@ -126,33 +131,31 @@ def disclosing(docs: DataFrame, base: DataFrame, *, text_col: str = "text", alph
     return judged.join(decided, "entity").groupBy("uid").agg(F.flatten(F.collect_list("terms")).alias("terms"))
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bounds of every occurrence of a row's terms; a row at a time, as it may be long."""
-    for batch in batches:
-        rows = []
-        for i in range(batch.num_rows):
-            row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-            actions: dict[str, str] = {}
-            for t in row["terms"]:
-                actions[t["term"]] = max(t["action"], actions.get(t["term"], ""))
-            at, out = 0, []
-            for value, length, gap in zip(row["found"], row["lengths"], row["gaps"]):
-                at += gap
-                if value in actions:
-                    out.append({"start": at, "stop": at + length, "action": actions[value]})
-                at += length
-            rows.append({"uid": row["uid"], "terms": out})
-        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+def _marks(text: Column, words_: Column, removed: Column) -> Column:
+    """Bounds and actions of every occurrence of the words; those of `removed` are removed."""
+    found = F.regexp_extract_all(text, F.lit(TOKEN), 0)
+    gaps = F.slice(F.transform(F.split(text, TOKEN, -1), F.length), F.lit(1), F.size(found))
+
+    def step(state: Column, token: Column) -> Column:
+        a, value, length = state["at"] + token["gap"], token["value"], token["length"]
+        whole = F.array(F.struct(a.alias("start"), (a + length).alias("stop"), value.alias("word")))
+        pairs = F.transform(F.sequence(F.lit(0), length - 2), lambda i: F.struct((a + i).alias("start"), (a + i + 2).alias("stop"), F.substring(value, i + 1, F.lit(2)).alias("word")))
+        hits = F.filter(F.when((length > 2) & value.rlike(f"[{RUN}]"), pairs).otherwise(whole), lambda p: F.array_contains(words_, p["word"]))
+        marks = F.transform(hits, lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), F.when(F.array_contains(removed, p["word"]), "remove").otherwise("generalise").alias("action")))
+        return F.struct((a + length).alias("at"), F.when(F.size(hits) > 0, F.concat(state["out"], marks)).otherwise(state["out"]).alias("out"))
+
+    tokens = F.zip_with(found, gaps, lambda v, g: F.struct(F.lower(v).alias("value"), F.length(v).alias("length"), g.alias("gap")))
+    return F.aggregate(tokens, F.struct(F.lit(0).alias("at"), F.array().cast(MARKS).alias("out")), step)["out"]
 
 
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Base table with `terms`, the sorted disclosing spans of each row (empty where none)."""
     base = _base_table(docs, id_col=id_col, text_col=text_col)
     told = disclosing(docs, base, text_col=text_col, **options)
-    found = F.regexp_extract_all("masked", F.lit(TOKEN), 0)
+    names = lambda terms: F.array_intersect(words(F.lower("masked")), F.transform(terms, lambda t: t["term"]))
     texts = base.where("masked IS NOT NULL").dropDuplicates(["uid"]).select("uid", "masked").join(told, "uid")
-    parts = texts.select("uid", "terms", F.transform(found, F.lower).alias("found"), F.transform(found, F.length).alias("lengths"), F.transform(F.split("masked", TOKEN, -1), F.length).alias("gaps"))
-    added = parts.mapInArrow(_mark, f"uid bigint, terms {MARKS}")
+    present = texts.select("uid", "masked", names(F.col("terms")).alias("words"), names(F.filter("terms", lambda t: t["action"] == "remove")).alias("removed"))
+    added = present.where(F.size("words") > 0).select("uid", _marks(F.col("masked"), F.col("words"), F.col("removed")).alias("terms"))
     return base.drop("held", "masked").join(added, "uid", "left").withColumn("terms", F.coalesce("terms", F.array().cast(MARKS)))
 
 

@@ -2,7 +2,6 @@
 
 import math
 import re
-from collections import defaultdict
 
 from tessellar.llm import pii, pii_terms
 
@@ -37,3 +36,35 @@ def test_chance_bounds_the_hypergeometric_tail(spark):
     for (c, k, t, n), r in zip(cases, df.select(pii_terms.log_chance(F.col("c"), F.col("k"), F.col("t"), F.col("n")).alias("p")).collect()):
         tail = sum(math.comb(t, j) * math.comb(int(n) - t, c - j) for j in range(k, min(c, t) + 1)) / math.comb(int(n), c)
         assert tail <= math.exp(r.p) * (1 + 1e-9)
+
+
+def test_whole_texts_short_names_codes_and_unsegmented_scripts(spark):
+    """A name far from the address, a code and a name within an unsegmented run are marked wherever they stand."""
+    rows = [(i, filler(i) + " 今日は天気がいいので山へ行く") for i in range(300)]
+    rows += [(1000 + i, f"Kim {filler(500 + i, 30)} KIM x7y9 {filler(600 + i, 30)} 今日は龍馬が来た。龍馬 {filler(650 + i)} at kx@corp.com {filler(700 + i)}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = {r.doc_id: [s.split(":")[1:] for s in r.spans.split(",") if s.startswith("term")] for r in pii_terms.report(docs).collect()}
+    for i, text in rows[-4:]:
+        found = [(int(a), int(b)) for a, b in spans[i]]
+        covered = {p for a, b in found for p in range(a, b)}
+        for name in ("Kim", "KIM", "x7y9", "龍馬"):
+            places = [m.start() for m in re.finditer(name, text)]
+            assert places and all(set(range(p, p + len(name))) <= covered for p in places), name
+        day = text.index("今日")
+        assert not {day, day + 1} & covered
+    clean = {r.doc_id: r.text for r in pii_terms.sanitise(docs).collect()}
+    assert not any(re.search("kim|x7y9|龍馬|corp", clean[1000 + i], re.I) for i in range(4)) and clean[5] == rows[5][1]
+
+
+def test_words_in_plain_python(spark):
+    """Distinct terms, by an independent reading."""
+    from pyspark.sql import functions as F
+
+    texts = ["ann lee a1-b2 é", "日本語 x日本y 語", "", "ไทย foo", "a_b naïve"]
+    got = [set(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(pii_terms.words(F.col("t"))).collect()]
+    assert got == [{"ann", "lee", "a1", "b2", "é"}, {"日本", "本語", "x", "y", "語"}, set(), {"ไท", "ทย", "foo"}, {"a", "b", "naïve"}]
+
+
+def test_odd_rows_and_empty_tables(odd_docs, no_docs):
+    assert pii_terms.report(odd_docs).count() == odd_docs.count() == pii_terms.sanitise(odd_docs).count()
+    assert pii_terms.report(no_docs).count() == 0
