@@ -14,8 +14,8 @@ from tessellar.llm.shared import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
-    return quality_rules.select(docs)
+    """Documents that pass the base rules and are no outliers of their language and source, or of a wider pool where those are few."""
+    return quality_rules.select(docs, pool=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ one row per group and start.
 
 Defined cases: null and wordless texts have zero counts and fail the base
 rules; null language or source is a group of its own; a group of fewer than
-`min_group` documents past the base rules rejects none; repeated rows get equal
+`min_group` documents past the base rules is judged by its language, or by all
+documents, with `pool`, and rejects none without; repeated rows get equal
 verdicts; an empty table gives an empty result; extra columns are ignored by
 `report` and carried by `select`.
 """
@@ -73,16 +74,16 @@ def base_counts(text: Column) -> dict[str, Column]:
 
 
 def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(doc_id, uid, g, base counts, base_failed, x0..x3): g names the group, x are thousandths."""
+    """(doc_id, uid, g, lang, base counts, base_failed, x0..x3): g names the group, x are thousandths."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.concat_ws("\x01", part(lang_col), part(source_col)).alias("g"))
-    rows = rows.select("doc_id", "g", row_uid().alias("uid"), "text")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.concat_ws("\x01", part(lang_col), part(source_col)).alias("g"), part(lang_col).alias("lang"))
+    rows = rows.select("doc_id", "g", "lang", row_uid().alias("uid"), "text")
     for name, value in base_counts(F.col("text")).items():
         rows = rows.withColumn(name, value)
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     vector = (F.log(chars / words), F.log1p(100 * F.col("n_symbols") / chars), F.log1p(F.col("n_dup_lines").cast("double")), F.log1p(100 * F.col("n_repeat_words") / words))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return rows.select("doc_id", "uid", "g", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *[F.round(SCALE * v).cast("bigint").alias(x) for v, x in zip(vector, _X)])
+    return rows.select("doc_id", "uid", "g", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *[F.round(SCALE * v).cast("bigint").alias(x) for v, x in zip(vector, _X)])
 
 
 def _sums(rows: DataFrame, *keys: str) -> DataFrame:
@@ -130,9 +131,31 @@ def _binned(vectors: DataFrame, current: DataFrame) -> DataFrame:
     return _sums(placed, "g", "k", "bin").select("*", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy("g", "k")).alias("total"))
 
 
-def estimates(stats: DataFrame) -> DataFrame:
+def _vectors(stats: DataFrame) -> DataFrame:
+    """Distinct vectors per group past the base rules, with their count."""
+    return cut(stats.where("NOT base_failed").groupBy("g", "lang", *_X).agg(F.count("*").alias("n")))
+
+
+def pooled(vectors: DataFrame, min_group: int) -> tuple[DataFrame, DataFrame]:
+    """(g, p): the pool that judges each group; and the vectors of the pools.
+
+    A group of `min_group` documents is its own pool; a smaller one is judged by
+    its language, and by all documents if its language has fewer. Names of wider
+    pools begin with a letter that no group's begins with.
+    """
+    sizes = cut(vectors.groupBy("g").agg(F.sum("n").alias("members"), F.min("lang").alias("lang")))
+    tongues = sizes.groupBy("lang").agg(F.sum("members").alias("speakers"))
+    wider = F.when(F.col("speakers") >= min_group, F.concat(F.lit("lang"), "lang")).otherwise(F.lit("all"))
+    pools = cut(sizes.join(tongues, "lang").select("g", "lang", F.when(F.col("members") >= min_group, F.col("g")).otherwise(wider).alias("p")))
+    names = pools.select("p").distinct()
+    # a vector is in its group, its language and all documents, where these judge anyone
+    every = F.explode(F.array("g", F.concat(F.lit("lang"), "lang"), F.lit("all"))).alias("p")
+    used = vectors.select(every, *_X, "n").groupBy("p", *_X).agg(F.sum("n").alias("n")).join(names, "p", "left_semi")
+    return pools.select("g", "p"), cut(used.withColumnRenamed("p", "g"))
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
     """Per group: mean, Cholesky factor, and `scale`, the squared distance's median over the chi-square one."""
-    vectors = cut(stats.where("NOT base_failed").groupBy("g", *_X).agg(F.count("*").alias("n")))
     # starts: all vectors, and small samples by hash, one vector per draw
     draws = [F.min(F.struct(F.md5(F.concat_ws("-", F.lit(100 * k + d), *_X)).alias("h"), *_X)).alias(f"d{k}_{d}") for k in range(1, STARTS) for d in range(DIMENSIONS + 1)]
     picks = F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"d{k}_{d}.{x}").alias(x) for x in _X]) for k in range(1, STARTS) for d in range(DIMENSIONS + 1)])
@@ -148,11 +171,18 @@ def estimates(stats: DataFrame) -> DataFrame:
     return cut(chosen.join(middle, "g").withColumn("scale", scale).drop("k", "edge", "logdet"))
 
 
-def verdicts(docs: DataFrame, *, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, **columns) -> DataFrame:
-    """`statistics` with `distance` (squared, scaled; null in small groups) and `kept`."""
+def verdicts(docs: DataFrame, *, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, pool: bool = False, **columns) -> DataFrame:
+    """`statistics` with `distance` (squared, scaled) and `kept`; small groups are judged by a wider `pool`, or have no distance."""
     stats = stored(statistics(docs, **columns), "statistics")
-    judged = _distance(stats.join(estimates(stats), "g", "left"))
-    distance = F.when((F.col("members") >= min_group) & ~F.col("base_failed"), F.round(F.col("d2") / F.col("scale"), 6))
+    vectors = _vectors(stats)
+    if pool:
+        names, vectors = pooled(vectors, min_group)
+        judged = _distance(stats.join(names, "g", "left").join(estimates(vectors).withColumnRenamed("g", "p"), "p", "left"))
+        judges = ~F.col("base_failed")
+    else:
+        judged = _distance(stats.join(estimates(vectors.drop("lang")), "g", "left"))
+        judges = (F.col("members") >= min_group) & ~F.col("base_failed")
+    distance = F.when(judges, F.round(F.col("d2") / F.col("scale"), 6))
     return judged.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False)))
 
 

@@ -1,0 +1,25 @@
+"""Small groups are judged by their language, then by all documents."""
+
+import numpy as np
+
+import corpus_pipeline
+from tessellar.llm import quality_rules
+
+SCHEMA = "doc_id bigint, text string, lang string, source string"
+
+
+def test_every_document_past_the_base_rules_gets_a_distance(spark):
+    rng = np.random.default_rng(4)
+    clean = lambda: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(120))
+    junk = " ".join("ab###$$$" for _ in range(20)) + " " + " ".join(f"z{i}q{i}%%" for i in range(60))
+    rows = [(i, clean(), "en", "s") for i in range(60)]
+    rows += [(100 + i, clean(), "en", f"tail{i}") for i in range(5)] + [(200 + i, clean(), None, None) for i in range(3)]
+    rows += [(300, junk, "en", "tail1"), (301, junk, "xx", "rare"), (302, junk, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in quality_rules.report(docs, pool=True).collect()}
+    assert all(r.distance is not None for r in got.values() if not r.base_failed)
+    assert {i for i, r in got.items() if not r.kept} == {300, 301, 302}
+    own = {r.doc_id: r for r in quality_rules.report(docs).collect()}
+    assert all(own[i].distance == got[i].distance for i in range(60)) and own[300].kept  # large groups keep their estimates
+    stage = corpus_pipeline.quality(spark, docs, "")
+    assert {r.doc_id for r in stage.collect()} == set(got) - {300, 301, 302}
