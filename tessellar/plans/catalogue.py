@@ -241,6 +241,11 @@ def euclidean_distmat(spark, sf_dir):
     return rounded(type(mesh)(mesh.vertices.where("label = 1"), mesh.faces).euclidean_distmat(), "distance")
 
 
+@query("euclidean_distmat_all", f"{FIELD} SELECT p.v_id AS i, q.v_id AS j, {R('sqrt((p.x - q.x) ^ 2 + (p.y - q.y) ^ 2 + (p.z - q.z) ^ 2)')} AS distance FROM v p JOIN v q ON p.v_id < q.v_id")
+def euclidean_distmat_all(spark, sf_dir):
+    return rounded(fx.height_field(spark, sf_dir).euclidean_distmat(), "distance")
+
+
 # masks, thresholds, parcels
 
 
@@ -515,6 +520,26 @@ def spearman_pairwise(spark, sf_dir):
     return rounded(statistics.spearman_pairwise(_rows(spark, sf_dir)), "r")
 
 
+def _all_rows(spark, sf_dir):
+    return fx.matrix(spark, sf_dir).select("i", "pos", "value")
+
+
+@query("pearson_pairwise_all", f"{MATRIX} SELECT a.i, b.i AS j, {R(_PEARSON.format('a.value', 'b.value'))} AS r FROM m a JOIN m b USING (pos) WHERE a.i < b.i GROUP BY a.i, b.i")
+def pearson_pairwise_all(spark, sf_dir):
+    return rounded(statistics.pairwise_r(_all_rows(spark, sf_dir)), "r")
+
+
+@query("pearson_cross_all", f"{MATRIX} SELECT a.i, b.i AS j, {R(_PEARSON.format('a.value', 'b.value'))} AS r FROM m a JOIN m b USING (pos) WHERE a.i % 2 = 0 AND b.i % 2 <> 0 GROUP BY a.i, b.i")
+def pearson_cross_all(spark, sf_dir):
+    rows = _all_rows(spark, sf_dir)  # two halves that cover the table
+    return rounded(statistics.pearsonr(rows.where("i % 2 = 0"), rows.where("i % 2 <> 0")), "r")
+
+
+@query("spearman_pairwise_all", f"{MATRIX}, k AS (SELECT i, pos, rank() OVER (PARTITION BY i ORDER BY value) + (count(*) OVER (PARTITION BY i, value) - 1) / 2e0 AS v FROM m) SELECT a.i, b.i AS j, {R(_PEARSON.format('a.v', 'b.v'))} AS r FROM k a JOIN k b USING (pos) WHERE a.i < b.i GROUP BY a.i, b.i")
+def spearman_pairwise_all(spark, sf_dir):
+    return rounded(statistics.spearman_pairwise(_all_rows(spark, sf_dir)), "r")
+
+
 def _pair(spark, sf_dir):
     maps = fx.subject_maps(spark, sf_dir)
     return maps.groupBy("v_id").agg(F.avg(F.when(F.col("grp") == "HC", F.col("value"))).alias("x"), F.avg(F.when(F.col("grp") == "P", F.col("value"))).alias("y"))
