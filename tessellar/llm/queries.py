@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, ngram_join, pii, pii_terms, quality_classifier, quality_rules, substring_dedup, token_counts, token_ids, warc
+from . import decontamination, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_counts, token_ids, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +49,6 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-def op8_pii_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_terms.report(table(spark, sf_dir, "documents"))
-
-
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.materialise(table(spark, sf_dir, "documents")).drop("path")
 
@@ -65,7 +63,6 @@ QUERIES = {
     "op6_quality_rules_pooled": op6_quality_rules_pooled,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
-    "op8_pii_terms": op8_pii_terms,
     "op8_pii": op8_pii,
     "op9_token_ids": op9_token_ids,
     "op10_ngram_join": op10_ngram_join,
@@ -134,7 +131,7 @@ FROM ({placed("st", "LEFT JOIN best USING (g)")}) LEFT JOIN middle USING (g)
 
 
 def _pii_sql() -> str:
-    """Spans from lengths of matches and gaps, validity, contexts, and the disclosure rule."""
+    """Spans from lengths of matches and gaps, validity, contexts, and both disclosure rules."""
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
         "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -157,18 +154,46 @@ def _pii_sql() -> str:
     FROM (SELECT {keys}, unnest(m) AS v, unnest(gaps[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {keys}, regexp_extract_all({text}, '{pattern}') AS m, regexp_split_to_array({text}, '{pattern}') AS gaps FROM {rows}))"""
 
     kinds = " UNION ALL ".join(f"SELECT doc_id, {no} AS no, '{k}' AS kind, v, start, stop FROM ({located('doc', 'doc_id', 't', patterns[k])}) WHERE {valid[k]}" for no, k in enumerate(pii.KINDS))
-    term = r"\p{L}{4,}"
-    keys = "doc_id, entity, l, r, first, stop0"
+    run = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", pii.RUN)
+    letters = r"\p{L}\p{M}\p{N}"
+    plain = "regexp_replace(v, '[^0-9]', '', 'g')"
+    pool = f"CASE kind WHEN 'email' THEN list_extract(string_split(lower(v), '@'), -1) WHEN 'ip' THEN array_to_string(string_split(v, '.')[1:3], '.') WHEN 'card' THEN substr({plain}, 1, 6) ELSE substr({plain}, 1, length({plain}) - 4) END"
+    value = f"CASE WHEN kind IN ('card', 'phone') THEN {plain} ELSE lower(v) END"
+
+    def tokens(text: str) -> str:
+        return f"flatten(list_transform(regexp_extract_all({text}, '[{letters}{run}]+'), lambda x: regexp_extract_all(x, '[{run}]+|[^{run}]+')))"
+
+    def words(text: str) -> str:
+        return f"list_distinct(flatten(list_transform({tokens(text)}, lambda x: CASE WHEN length(x) > 2 AND regexp_matches(x, '^[{run}]') THEN list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) ELSE [x] END)))"
+
+    def chance(c: str, k: str, t: str) -> str:
+        union = f"list_sum(list_transform(range(0, least({k}, {pii.FACTORS})), lambda i: ln(({c} - i) * greatest(CAST({t} AS DOUBLE) - i, 1) / ((i + 1) * greatest(n - i, 1)))))"
+        mean = f"({c} * CAST({t} AS DOUBLE) / n)"
+        return f"least({union}, CASE WHEN {k} > {mean} THEN {k} - {mean} - {k} * ln({k} / {mean}) ELSE 0 END) + ln(tests) <= ln({pii.ALPHA})"
+
+    token = f"[{run}]+|[^{run}]+"
     return f"""
 WITH doc AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents), span AS MATERIALIZED ({kinds}),
-near AS MATERIALIZED (SELECT doc_id, kind || ':' || lower(v) AS entity, greatest(start - {pii.REACH}, 0) AS first, stop AS stop0, substr(t, greatest(start - {pii.REACH}, 0) + 1, start - greatest(start - {pii.REACH}, 0)) AS l, substr(t, stop + 1, {pii.REACH}) AS r FROM span JOIN doc USING (doc_id)),
-found AS (SELECT doc_id, entity, l, r, lower(v) AS term, start + first AS start, stop + first AS stop FROM ({located("near", keys, "l", term)}) WHERE start > 0 OR first = 0
-  UNION ALL SELECT doc_id, entity, l, r, lower(v), start + stop0, stop + stop0 FROM ({located("near", keys, "r", term)}) WHERE stop < {pii.REACH}),
-free AS MATERIALIZED (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM span s WHERE s.doc_id = f.doc_id AND s.start < f.stop AND f.start < s.stop)),
-e AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM free GROUP BY entity), et AS (SELECT entity, term, count(DISTINCT doc_id) AS n_et, count(DISTINCT (l, r)) AS seen FROM free GROUP BY ALL HAVING count(DISTINCT (l, r)) >= {pii.SUPPORT}),
-freq AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '{term}'))) AS term FROM doc) GROUP BY term), total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM doc),
-told AS (SELECT entity, term FROM et JOIN e USING (entity) JOIN freq USING (term), total WHERE ln(n / n_e) > 0 AND ln(n * n_et / (n_e * greatest(n_t, n_et))) >= {pii.DISCLOSURE} * ln(n / n_e)),
-terms AS (SELECT DISTINCT doc_id, start, stop FROM free JOIN told USING (entity, term)),
+blank AS MATERIALIZED (SELECT doc_id, length(t) AS size, array_to_string(list_transform(string_split(t, ''), lambda ch, i: CASE WHEN list_bool_or(list_transform(s, lambda x: x[1] < i AND i <= x[2])) THEN ' ' ELSE ch END), '') AS m FROM doc JOIN (SELECT doc_id, list([start, stop]) AS s FROM span GROUP BY doc_id) USING (doc_id)),
+around AS MATERIALIZED (SELECT doc_id, kind || ':' || {value} AS value, kind || ' pool:' || {pool} AS pool, start > {pii.REACH} AS cut_l, stop + {pii.REACH} < size AS cut_r, substr(m, greatest(start - {pii.REACH}, 0) + 1, start - greatest(start - {pii.REACH}, 0)) AS l, substr(m, stop + 1, least(stop + {pii.REACH}, size) - stop) AS r FROM span JOIN blank USING (doc_id)),
+mention AS MATERIALIZED (SELECT doc_id, value, pool, min(l || chr(0) || r) AS context FROM around GROUP BY ALL),
+freq AS MATERIALIZED (SELECT term, count(*) AS n_t FROM (SELECT unnest({words("lower(t)")}) AS term FROM doc) GROUP BY term),
+total AS (SELECT CAST(greatest(count(*), 1) AS DOUBLE) AS n, (SELECT CAST(greatest(count(*), 1) AS DOUBLE) FROM freq WHERE n_t > 1) AS tests FROM doc),
+held AS MATERIALIZED (SELECT doc_id, entity, min(context) AS context FROM (SELECT doc_id, value AS entity, context FROM mention UNION ALL SELECT doc_id, pool, context FROM mention) GROUP BY ALL),
+size AS MATERIALIZED (SELECT entity, count(*) AS n_e, count(DISTINCT context) AS c FROM held GROUP BY entity),
+beside AS (SELECT DISTINCT doc_id, value AS entity, unnest({words(f"lower(concat_ws(' ', CASE WHEN cut_l THEN regexp_replace(l, '^[{letters}]+', '') ELSE l END, CASE WHEN cut_r THEN regexp_replace(r, '[{letters}]+$', '') ELSE r END))")}) AS term FROM around),
+near AS (SELECT entity, term FROM (SELECT entity, term, count(*) AS n_et FROM beside GROUP BY ALL) JOIN size USING (entity) JOIN freq USING (term), total
+  WHERE ln(n / n_e) > 0 AND ln(n * (n_et + {pii.SMOOTHING} * n_e / n) / (n_e * (greatest(n_t, n_et) + {pii.SMOOTHING}))) >= {pii.DISCLOSURE} * ln(n / n_e)),
+able AS MATERIALIZED (SELECT entity, n_e, c FROM size, total WHERE {chance("c", "c", "c")}),
+judged AS MATERIALIZED (SELECT DISTINCT doc_id, entity FROM (SELECT doc_id, CASE WHEN value IN (SELECT entity FROM able) THEN value ELSE pool END AS entity FROM mention) WHERE entity IN (SELECT entity FROM able)),
+seen AS (SELECT entity, term, count(*) AS n_et, count(DISTINCT context) AS k FROM (SELECT doc_id, unnest({words("lower(m)")}) AS term FROM blank) JOIN held USING (doc_id) WHERE entity IN (SELECT entity FROM judged) GROUP BY ALL),
+far AS (SELECT entity, term FROM seen JOIN able USING (entity) JOIN freq USING (term), total WHERE ln(n / n_e) > 0 AND {chance("c", "k", "k")} AND {chance("c", "k", "greatest(n_t, n_et)")} AND ln(n * n_et / (n_e * greatest(n_t, n_et))) >= {pii.DISCLOSURE} * ln(n / n_e)),
+told AS MATERIALIZED (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, value AS entity FROM mention UNION SELECT doc_id, entity FROM judged) JOIN (SELECT *, TRUE AS close FROM near UNION ALL SELECT *, FALSE FROM far) USING (entity) WHERE NOT close OR (doc_id, entity) IN (SELECT doc_id, value FROM mention)),
+rough AS ({located("(SELECT doc_id, m FROM blank WHERE doc_id IN (SELECT doc_id FROM told))", "doc_id", "m", f"[{letters}{run}]+")}),
+fine AS (SELECT doc_id, x, base + coalesce(sum(length(x)) OVER (PARTITION BY doc_id, base ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM (SELECT doc_id, start AS base, unnest(p) AS x, unnest(range(len(p))) AS i FROM (SELECT doc_id, start, regexp_extract_all(v, '{token}') AS p FROM rough))),
+place AS (SELECT doc_id, lower(x) AS term, CAST(a AS BIGINT) AS start, CAST(a + length(x) AS BIGINT) AS stop FROM fine WHERE length(x) <= 2 OR NOT regexp_matches(x, '^[{run}]')
+  UNION ALL SELECT doc_id, lower(substr(x, i, 2)), CAST(a + i - 1 AS BIGINT), CAST(a + i + 1 AS BIGINT) FROM (SELECT doc_id, x, a, CAST(unnest(range(1, length(x))) AS BIGINT) AS i FROM fine WHERE length(x) > 2 AND regexp_matches(x, '^[{run}]'))),
+terms AS (SELECT doc_id, start, stop FROM place p JOIN told USING (doc_id, term) WHERE NOT EXISTS (SELECT 1 FROM span s WHERE s.doc_id = p.doc_id AND s.start < p.stop AND p.start < s.stop)),
 b AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY no, start) AS base, {", ".join(f"count(*) FILTER (no = {no}) AS n_{k}" for no, k in enumerate(pii.KINDS))} FROM span GROUP BY doc_id),
 c AS (SELECT doc_id, string_agg('term:' || start || ':' || stop, ',' ORDER BY start, stop) AS added, count(*) AS n_terms FROM terms GROUP BY doc_id)
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, concat_ws(',', base, added) AS spans, coalesce(n_terms, 0) AS n_terms FROM doc LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)

@@ -67,6 +67,12 @@ def row_uid(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text), F.col(doc_id).isNull(), F.col(text).isNull())
 
 
+def wide_key(id_col: str, text_col: str) -> Column:
+    """128-bit key of a row by content; rows equal in id and text share it."""
+    doc_id, text = F.col(id_col).cast("bigint").cast("string"), F.col(text_col).cast("string")
+    return F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(doc_id, F.lit("null")), F.when(text.isNull(), "0").otherwise("1"), F.coalesce(text, F.lit("")))))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that `df` does not have."""
     name = f"_{stem}"
