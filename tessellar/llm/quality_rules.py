@@ -2,26 +2,36 @@
 
 Four transformed statistics of a text (mean word length, share of symbols,
 repeated lines, share of words in repeated three-word windows) form its vector.
-For each language and source, concentration steps look for the subset of at
-least three quarters of the vectors whose covariance has the least determinant:
-from several starts, estimate mean and covariance, order by Mahalanobis
-distance, keep the closest part, repeat; the start with the least determinant
-wins. A document is rejected if its distance, scaled to the group's median,
-exceeds a chi-square quantile.
+For each language and source they are held against the minimum covariance
+determinant: of all subsets of h = ceil(3n/4) vectors, the one whose covariance
+has the least determinant.
+
+Search: STARTS starts per group (all vectors, and samples of five taken by
+hash), two concentration steps each (estimate, order by Mahalanobis distance,
+keep the h closest), then the BEST of them until nothing changes (STEPS at
+most). The covariance of the winner is made consistent for normal data, vectors
+within the 0.975 quantile of it give the reweighted estimate, and a document
+whose squared distance exceeds CUTOFF is rejected. FLOORS, variances below which
+a difference does not count, are added to every covariance (a regularised
+determinant: most texts share the value 0 in three of the statistics).
+
+Estimates are shrunk: a group's towards its language's, that towards all
+documents', with the weight of PRIOR documents. So each document past the base
+rules is judged in a group of any size, by the same formula.
 
 Everything is DataFrame expressions. Vectors are whole thousandths, so all sums
 are exact and reruns agree; equal vectors are one row with a count. Order
-statistics come from histograms of the logarithm of the distance (per group a
-bounded number of bins), so no group is ever sorted or gathered, and a group
-with a third of all rows is a partial aggregation like any other. Estimates are
-one row per group and start.
+statistics come from histograms of the logarithm of the distance (per group and
+start a bounded number of bins); of the bin that holds the h-th vector, each
+vector counts by the same fraction, so h is exact and ties are treated alike. No
+group is ever sorted or gathered; one with a third of all rows is a partial
+aggregation like any other. Estimates are one row per group and start.
 
 Defined cases: null and wordless texts have zero counts and fail the base
-rules; null language or source is a group of its own; a group of fewer than
-`min_group` documents past the base rules is judged by its language, or by all
-documents, with `pool`, and rejects none without; repeated rows get equal
-verdicts; an empty table gives an empty result; extra columns are ignored by
-`report` and carried by `select`.
+rules; null language or source is a group of its own; repeated rows get equal
+verdicts; a very long text is one row like any other (its windows are compared
+within the row); an empty table gives an empty result; extra columns, also of
+clashing names, are ignored by `report` and carried by `select`.
 """
 
 from __future__ import annotations
@@ -31,7 +41,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, keyed, row_uid, stored
+from .shared import cut, fresh, stored, wide_key
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -43,12 +53,19 @@ SCALE = 1000
 #: standard deviations (in thousandths) below which a difference does not count, per dimension
 FLOORS = (60, 350, 500, 700)
 SHARE = 0.75
-STEPS = 5
-STARTS = 3
-MIN_GROUP = 20
-BINS = 32
-#: chi-square quantiles with four degrees of freedom: 0.5 and 0.9999
-MEDIAN, CUTOFF = 3.3567, 23.51
+STARTS = 10
+FIRST_STEPS = 2
+BEST = 3
+STEPS = 6
+#: vectors of a start, and sampled ones per group to take them from
+DRAWN = DIMENSIONS + 1
+SAMPLE = (STARTS - 1) * DRAWN
+#: bins per unit of the distance's logarithm, in the first steps and after
+COARSE, BINS = 8, 32
+PRIOR = 20
+#: fixed values for four dimensions: consistency factors at shares 0.75 and 0.975, chi-square quantiles 0.975 and 0.9999
+CONSISTENT, REWEIGHTED = 1.4864, 1.0645
+NEAR, CUTOFF = 11.1433, 23.5127
 
 _X = [f"x{i}" for i in range(DIMENSIONS)]
 _PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
@@ -77,7 +94,7 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, uid, g, lang, base counts, base_failed, x0..x3): g names the group, x are thousandths."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.concat_ws("\x01", part(lang_col), part(source_col)).alias("g"), part(lang_col).alias("lang"))
-    rows = rows.select("doc_id", "g", "lang", row_uid().alias("uid"), "text")
+    rows = rows.select("doc_id", "g", "lang", wide_key("doc_id", "text").alias("uid"), "text")
     for name, value in base_counts(F.col("text")).items():
         rows = rows.withColumn(name, value)
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
@@ -93,21 +110,31 @@ def _sums(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 _SUMS = ["n", *[f"s{i}" for i in range(DIMENSIONS)], *[f"q{i}{j}" for i, j in _PAIRS]]
+_MEANS = [f"m{i}" for i in range(DIMENSIONS)]
+_COVS = [f"v{i}{j}" for i, j in _PAIRS]
 
 
-def _moments(sums: DataFrame) -> DataFrame:
-    """Mean, Cholesky factor of the (floored) covariance and log determinant per group and start."""
+def _moments(sums: DataFrame, factor: float) -> DataFrame:
+    """n, means and covariances (times `factor`, plus the floors) of each row of sums."""
     n = F.col("n").cast("double")
-    out = sums.select("g", "k", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(DIMENSIONS)], *[(F.col(f"q{i}{j}") / n).alias(f"q{i}{j}") for i, j in _PAIRS])
-    for i, j in _PAIRS:
+    keys = [c for c in sums.columns if c not in _SUMS]
+    out = sums.select(*keys, n.alias("n"), *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(DIMENSIONS)], *[(F.col(f"q{i}{j}") / n).alias(f"q{i}{j}") for i, j in _PAIRS])
+
+    def cov(i: int, j: int) -> Column:
         value = F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
-        if i == j:
-            value = F.greatest(value, F.lit(0.0)) + float(FLOORS[i] ** 2)
+        return F.greatest(value, F.lit(0.0)) * factor + float(FLOORS[i] ** 2) if i == j else value * factor
+
+    return out.select(*keys, "n", *_MEANS, *[cov(i, j).alias(f"v{i}{j}") for i, j in _PAIRS])
+
+
+def _factored(estimates: DataFrame) -> DataFrame:
+    """Adds the Cholesky factor and the log determinant."""
+    for i, j in _PAIRS:
+        value = F.col(f"v{i}{j}")
         for p in range(j):
             value = value - F.col(f"l{i}{p}") * F.col(f"l{j}{p}")
-        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1.0))) if i == j else value / F.col(f"l{j}{j}"))
-    logdet = reduce(lambda a, b: a + b, [F.log(F.col(f"l{i}{i}")) for i in range(DIMENSIONS)])
-    return out.select("g", "k", *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{i}{j}" for i, j in _PAIRS], F.round(logdet, 9).alias("logdet"))
+        estimates = estimates.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1.0))) if i == j else value / F.col(f"l{j}{j}"))
+    return estimates.withColumn("logdet", F.round(reduce(lambda a, b: a + b, [F.log(F.col(f"l{i}{i}")) for i in range(DIMENSIONS)]), 9))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -120,69 +147,96 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(DIMENSIONS)]))
 
 
-def _bin(d2: Column) -> Column:
-    return F.floor(BINS * F.log(d2 + 1e-3)).cast("int")
+def _step(vectors: DataFrame, current: DataFrame, bins: int) -> DataFrame:
+    """One concentration step: the estimate over the h closest vectors of each group and start."""
+    placed = _distance(vectors.join(current.drop("n"), "g")).withColumn("bin", F.floor(bins * F.log(F.col("d2") + 1e-3)).cast("int"))
+    group = Window.partitionBy("g", "k")
+    smaller = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # bins of one group and start: bounded by the range of a logarithm
+    binned = _sums(placed, "g", "k", "bin").select("*", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("below"), F.ceil(SHARE * F.sum("n").over(group)).alias("h"))
+    whole, part = F.col("below") + F.col("n") <= F.col("h"), F.col("below") < F.col("h")
+    share = (F.col("h") - F.col("below")) / F.col("n")
+    # whole bins add up exactly; the one bin that is cut adds its fraction
+    kept = [(F.coalesce(F.sum(F.when(whole, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(~whole & part, F.col(c) * share)), F.lit(0.0))).alias(c) for c in _SUMS]
+    return cut(_factored(_moments(binned.groupBy("g", "k").agg(*kept), CONSISTENT)))
 
 
-def _binned(vectors: DataFrame, current: DataFrame) -> DataFrame:
-    """Sums per group, start and distance bin, with `below`, the rows of smaller bins, and `total`."""
-    placed = _distance(vectors.join(current, "g")).withColumn("bin", _bin(F.col("d2")))
-    smaller = Window.partitionBy("g", "k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # bins of one group: bounded by the range of a logarithm
-    return _sums(placed, "g", "k", "bin").select("*", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy("g", "k")).alias("total"))
+def _vectors(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct vectors with their count per group, language and all documents; and each of these with its parent.
 
-
-def _vectors(stats: DataFrame) -> DataFrame:
-    """Distinct vectors per group past the base rules, with their count."""
-    return cut(stats.where("NOT base_failed").groupBy("g", "lang", *_X).agg(F.count("*").alias("n")))
-
-
-def pooled(vectors: DataFrame, min_group: int) -> tuple[DataFrame, DataFrame]:
-    """(g, p): the pool that judges each group; and the vectors of the pools.
-
-    A group of `min_group` documents is its own pool; a smaller one is judged by
-    its language, and by all documents if its language has fewer. Names of wider
-    pools begin with a letter that no group's begins with.
+    Names of languages and of all documents begin with a letter that no group's begins with.
     """
-    sizes = cut(vectors.groupBy("g").agg(F.sum("n").alias("members"), F.min("lang").alias("lang")))
-    tongues = sizes.groupBy("lang").agg(F.sum("members").alias("speakers"))
-    wider = F.when(F.col("speakers") >= min_group, F.concat(F.lit("lang"), "lang")).otherwise(F.lit("all"))
-    pools = cut(sizes.join(tongues, "lang").select("g", "lang", F.when(F.col("members") >= min_group, F.col("g")).otherwise(wider).alias("p")))
-    names = pools.select("p").distinct()
-    # a vector is in its group, its language and all documents, where these judge anyone
-    every = F.explode(F.array("g", F.concat(F.lit("lang"), "lang"), F.lit("all"))).alias("p")
-    used = vectors.select(every, *_X, "n").groupBy("p", *_X).agg(F.sum("n").alias("n")).join(names, "p", "left_semi")
-    return pools.select("g", "p"), cut(used.withColumnRenamed("p", "g"))
-
-
-def estimates(vectors: DataFrame) -> DataFrame:
-    """Per group: mean, Cholesky factor, and `scale`, the squared distance's median over the chi-square one."""
-    # starts: all vectors, and small samples by hash, one vector per draw
-    draws = [F.min(F.struct(F.md5(F.concat_ws("-", F.lit(100 * k + d), *_X)).alias("h"), *_X)).alias(f"d{k}_{d}") for k in range(1, STARTS) for d in range(DIMENSIONS + 1)]
-    picks = F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"d{k}_{d}.{x}").alias(x) for x in _X]) for k in range(1, STARTS) for d in range(DIMENSIONS + 1)])
-    sampled = vectors.groupBy("g").agg(*draws).select("g", F.explode(picks).alias("p")).select("g", "p.k", *[f"p.{x}" for x in _X], F.lit(1).cast("bigint").alias("n"))
-    current = cut(_moments(_sums(vectors.withColumn("k", F.lit(0)).select("g", "k", *_X, "n").unionByName(sampled), "g", "k")))
+    own = cut(stats.where("NOT base_failed").groupBy("g", "lang", *_X).agg(F.count("*").alias("n")))
+    tongue, everything = F.concat(F.lit("lang"), "lang"), F.lit("all")
+    row = lambda level, e, parent: F.struct(F.lit(level).alias("level"), e.alias("e"), parent.alias("parent"))
+    levels = F.explode(F.array(row(2, F.col("g"), tongue), row(1, tongue, everything), row(0, everything, F.lit(None).cast("string")))).alias("p")
+    parents = cut(own.select("g", "lang").distinct().select(levels).select("p.level", F.col("p.e").alias("g"), "p.parent").distinct())
+    every = F.explode(F.array("g", tongue, everything)).alias("e")
+    return cut(own.select(every, *_X, "n").groupBy("e", *_X).agg(F.sum("n").alias("n")).withColumnRenamed("e", "g")), parents
+
+
+def _starts(vectors: DataFrame) -> DataFrame:
+    """Sums of all vectors (k = 0) and of DRAWN sampled ones (k = 1...) per group."""
+    order = Window.partitionBy("g").orderBy("hash", *_X)
+    ranked = vectors.withColumn("hash", F.md5(F.concat_ws("-", *_X))).withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE)
+    sampled = ranked.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("r", *_X))).alias("points"))  # SAMPLE points at most
+    m = F.size("points")
+    sampled = sampled.select("g", "points", m.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SAMPLE - 1))).alias("i"))
+    # where a group has fewer points, they are taken again at a wider stride
+    first = F.floor(F.col("i") / DRAWN).cast("int") * DRAWN
+    place = F.pmod(first + F.pmod(F.col("i"), F.lit(DRAWN)) * (1 + F.floor(first / F.col("m")).cast("int")), F.col("m"))
+    picked = sampled.select("g", (F.floor(F.col("i") / DRAWN) + 1).cast("int").alias("k"), F.get("points", place.cast("int")).alias("p")).select("g", "k", *[f"p.{x}" for x in _X], F.lit(1).cast("bigint").alias("n"))
+    return _sums(vectors.select("g", F.lit(0).alias("k"), *_X, "n").unionByName(picked), "g", "k")
+
+
+def _least(current: DataFrame, n: int) -> DataFrame:
+    """The n starts of least determinant of each group."""
+    best = current.groupBy("g").agg(F.slice(F.sort_array(F.collect_list(F.struct("logdet", "k"))), 1, n).alias("b")).select("g", F.explode("b.k").alias("k"))
+    return current.join(best, ["g", "k"])
+
+
+def _shrunk(estimates: DataFrame, parents: DataFrame) -> DataFrame:
+    """Estimates of all levels, each drawn towards its parent's with the weight of PRIOR documents, factored."""
+    placed = parents.join(estimates, "g")
+    out = above = placed.where("level = 0").select("g", *_MEANS, *_COVS)
+    for level in (1, 2):
+        wider = above.select(F.col("g").alias("parent"), *[F.col(c).alias(f"w_{c}") for c in _MEANS + _COVS])
+        below = placed.where(F.col("level") == level).join(wider, "parent")
+        above = below.select("g", *[((F.col("n") * F.col(c) + PRIOR * F.col(f"w_{c}")) / (F.col("n") + PRIOR)).alias(c) for c in _MEANS + _COVS])
+        out = out.unionByName(above)
+    return cut(_factored(out))
+
+
+def search(vectors: DataFrame) -> DataFrame:
+    """Per group: the estimate of least determinant that the starts lead to."""
+    current = cut(_factored(_moments(_starts(vectors), 1.0)))
+    for _ in range(FIRST_STEPS):
+        current = _step(vectors, current, COARSE)
+    current = cut(_least(current, BEST))
+    state = None
     for _ in range(STEPS):
-        near = _binned(vectors, current).where(F.col("below") < SHARE * F.col("total"))
-        current = cut(_moments(near.groupBy("g", "k").agg(*[F.sum(c).alias(c) for c in _SUMS])))
-    best = current.groupBy("g").agg(F.min(F.struct("logdet", "k")).alias("b")).select("g", F.col("b.k").alias("k"))
-    chosen = current.join(best, ["g", "k"])
-    middle = _binned(vectors, chosen).where(F.col("below") < 0.5 * F.col("total")).groupBy("g").agg(F.max("bin").alias("edge"), F.max("total").alias("members"))
-    scale = F.greatest(F.exp((F.col("edge") + 1) / BINS) / MEDIAN, F.lit(1.0))
-    return cut(chosen.join(middle, "g").withColumn("scale", scale).drop("k", "edge", "logdet"))
-
-
-def verdicts(docs: DataFrame, *, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, pool: bool = False, **columns) -> DataFrame:
-    """`statistics` with `distance` (squared, scaled) and `kept`; small groups are judged by a wider `pool`, or have no distance."""
+        current = _step(vectors, current, BINS)
+        seen = current.agg(F.count("*"), F.sum(F.xxhash64("g", "k", *_MEANS, *_COVS).cast("decimal(38,0)"))).first()
+        if seen == state:
+            break
+        state = seen
+    return _least(current, 1)
+
+
+def estimates(vectors: DataFrame, parents: DataFrame) -> DataFrame:
+    """Per group: mean and Cholesky factor of the reweighted, shrunk estimate."""
+    raw = _shrunk(search(vectors).select("g", "n", *_MEANS, *_COVS), parents)
+    near = _distance(vectors.join(raw, "g")).where(F.col("d2") <= NEAR)
+    # a group without a near vector takes its parent's estimate
+    counted = _moments(_sums(near, "g"), REWEIGHTED)
+    whole = raw.join(counted.select("g", "n", *[F.col(c).alias(f"c_{c}") for c in _MEANS + _COVS]), "g", "left")
+    return _shrunk(whole.select("g", F.coalesce("n", F.lit(0.0)).alias("n"), *[F.coalesce(f"c_{c}", c).alias(c) for c in _MEANS + _COVS]), parents)
+
+
+def verdicts(docs: DataFrame, *, cutoff: float = CUTOFF, **columns) -> DataFrame:
+    """`statistics` with `distance` (squared) and `kept`."""
     stats = stored(statistics(docs, **columns), "statistics")
-    vectors = _vectors(stats)
-    if pool:
-        names, vectors = pooled(vectors, min_group)
-        judged = _distance(stats.join(names, "g", "left").join(estimates(vectors).withColumnRenamed("g", "p"), "p", "left"))
-        judges = ~F.col("base_failed")
-    else:
-        judged = _distance(stats.join(estimates(vectors.drop("lang")), "g", "left"))
-        judges = (F.col("members") >= min_group) & ~F.col("base_failed")
-    distance = F.when(judges, F.round(F.col("d2") / F.col("scale"), 6))
+    judged = _distance(stats.join(estimates(*_vectors(stats)), "g", "left"))
+    distance = F.when(~F.col("base_failed"), F.round("d2", 6))
     return judged.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False)))
 
 
@@ -193,6 +247,6 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def select(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that are kept."""
-    docs_keyed, key = keyed(docs, id_col, text_col)
+    key = fresh(docs, "uid")
     good = verdicts(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("uid").alias(key))
-    return docs_keyed.join(good, key, "left_semi").select(*docs.columns)
+    return docs.withColumn(key, wide_key(id_col, text_col)).join(good, key, "left_semi").select(*docs.columns)

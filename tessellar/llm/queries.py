@@ -37,10 +37,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
-def op6_quality_rules_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.report(table(spark, sf_dir, "documents"), pool=True)
-
-
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -60,7 +56,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op5_token_counts": op5_token_counts,
-    "op6_quality_rules_pooled": op6_quality_rules_pooled,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_pii": op8_pii,
@@ -76,57 +71,77 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 
 def _quality_sql() -> str:
-    """The concentration steps written out, one set of common table expressions per step."""
+    """The search written out, one set of common table expressions per step."""
     q = quality_rules
     dims, pairs = range(q.DIMENSIONS), q._PAIRS
+    means, covs = ", ".join(q._MEANS), ", ".join(q._COVS)
 
     def sums(keys: str) -> str:
-        parts = ["CAST(sum(n) AS DOUBLE) AS n"] + [f"CAST(sum(n * x{i}) AS DOUBLE) AS s{i}" for i in dims] + [f"CAST(sum(n * x{i} * x{j}) AS DOUBLE) AS q{i}{j}" for i, j in pairs]
+        parts = ["sum(n) AS n"] + [f"sum(n * x{i}) AS s{i}" for i in dims] + [f"sum(n * x{i} * x{j}) AS q{i}{j}" for i, j in pairs]
         return f"{keys}, {', '.join(parts)}"
 
-    def moments(source: str) -> str:
-        columns = [f"s{i} / n AS m{i}" for i in dims]
-        for i, j in pairs:
-            value = f"(q{i}{j} / n - m{i} * m{j})"
-            if i == j:
-                value = f"(greatest({value}, 0e0) + {float(q.FLOORS[i] ** 2)!r})"
-            value += "".join(f" - l{i}{p} * l{j}{p}" for p in range(j))
-            columns.append(f"sqrt(greatest({value}, 1e0)) AS l{i}{j}" if i == j else f"({value}) / l{j}{j} AS l{i}{j}")
-        return f"SELECT g, k, {', '.join(columns)}, round({' + '.join(f'ln(l{i}{i})' for i in dims)}, 9) AS logdet FROM ({source})"
+    def moments(source: str, keys: str, factor: float) -> str:
+        rows = f"SELECT {keys}, CAST(n AS DOUBLE) AS n, {', '.join(f'CAST(s{i} AS DOUBLE) / CAST(n AS DOUBLE) AS m{i}' for i in dims)}, {', '.join(f'CAST(q{i}{j} AS DOUBLE) / CAST(n AS DOUBLE) AS q{i}{j}' for i, j in pairs)} FROM ({source})"
+        cov = [f"greatest(q{i}{j} - m{i} * m{j}, 0e0) * {factor!r}e0 + {float(q.FLOORS[i] ** 2)!r}e0 AS v{i}{j}" if i == j else f"(q{i}{j} - m{i} * m{j}) * {factor!r}e0 AS v{i}{j}" for i, j in pairs]
+        return f"SELECT {keys}, n, {means}, {', '.join(cov)} FROM ({rows})"
 
-    def placed(rows: str, current: str) -> str:
+    def factored(source: str) -> str:
         columns = []
-        for i in dims:
-            columns.append(f"(x{i} - m{i}{''.join(f' - l{i}{p} * y{p}' for p in range(i))}) / l{i}{i} AS y{i}")
-        return f"SELECT *, {', '.join(columns)}, {' + '.join(f'y{i} * y{i}' for i in dims)} AS d2, CAST(floor({q.BINS} * ln(d2 + 1e-3)) AS INTEGER) AS bin FROM {rows} {current}"
-
-    def binned(current: str) -> str:
-        return f"SELECT *, coalesce(sum(n) OVER (PARTITION BY g, k ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n) OVER (PARTITION BY g, k) AS total FROM (SELECT {sums('g, k, bin')} FROM ({placed('vec', f'JOIN {current} USING (g)')}) GROUP BY g, k, bin)"
-
-    draws = " UNION ALL ".join(f"SELECT g, {k} AS k, x0, x1, x2, x3, 1 AS n FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY md5(concat_ws('-', {100 * k + d}, x0, x1, x2, x3))) AS r FROM vec) WHERE r = 1" for k in range(1, q.STARTS) for d in range(q.DIMENSIONS + 1))
-    whole = ", ".join(f"sum({c}) AS {c}" for c in q._SUMS)
-    steps = [f"c0 AS MATERIALIZED ({moments(f'SELECT {sums("g, k")} FROM (SELECT g, 0 AS k, x0, x1, x2, x3, n FROM vec UNION ALL {draws}) GROUP BY g, k')})"]
-    for step in range(1, q.STEPS + 1):
-        steps.append(f"c{step} AS MATERIALIZED ({moments(f'SELECT g, k, {whole} FROM ({binned(f"c{step - 1}")}) WHERE below < {q.SHARE} * total GROUP BY g, k')})")
+        for i, j in pairs:
+            value = f"v{i}{j}" + "".join(f" - l{i}{p} * l{j}{p}" for p in range(j))
+            columns.append(f"sqrt(greatest({value}, 1e0)) AS l{i}{j}" if i == j else f"({value}) / l{j}{j} AS l{i}{j}")
+        return f"SELECT *, {', '.join(columns)}, round({' + '.join(f'ln(l{i}{i})' for i in dims)}, 9) AS logdet FROM ({source})"
+
+    def placed(rows: str) -> str:
+        columns = [f"(x{i} - m{i}{''.join(f' - l{i}{p} * y{p}' for p in range(i))}) / l{i}{i} AS y{i}" for i in dims]
+        return f"SELECT *, {', '.join(columns)}, {' + '.join(f'y{i} * y{i}' for i in dims)} AS d2 FROM {rows}"
+
+    def step(current: str, bins: int) -> str:
+        binned = f"SELECT *, coalesce(sum(n) OVER (PARTITION BY g, k ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, ceil({q.SHARE}e0 * sum(n) OVER (PARTITION BY g, k)) AS h FROM (SELECT {sums('g, k, bin')} FROM (SELECT *, CAST(floor({bins} * ln(d2 + 1e-3)) AS INTEGER) AS bin FROM ({placed(f'vec JOIN (SELECT * EXCLUDE (n) FROM {current}) USING (g)')})) GROUP BY g, k, bin)"
+        kept = ", ".join(f"CAST(coalesce(sum({c}) FILTER (below + n <= h), 0) AS DOUBLE) + coalesce(max({c} * ((h - below) / CAST(n AS DOUBLE))) FILTER (below + n > h AND below < h), 0e0) AS {c}" for c in q._SUMS)
+        return factored(moments(f"SELECT g, k, {kept} FROM ({binned}) GROUP BY g, k", "g, k", q.CONSISTENT))
+
+    def least(current: str, n: int) -> str:
+        return f"SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY logdet, k) AS place FROM {current}) WHERE place <= {n}"
+
+    def shrunk(name: str, source: str) -> list[str]:
+        mixed = ", ".join(f"(n * e.{c} + {q.PRIOR} * w.{c}) / (n + {q.PRIOR}) AS {c}" for c in q._MEANS + q._COVS)
+        out = [f"{name}0 AS (SELECT g, {means}, {covs} FROM ({source}) WHERE g = 'all')"]
+        for level in (1, 2):
+            out.append(f"{name}{level} AS (SELECT e.g, {mixed} FROM ({source}) e JOIN parents p ON p.g = e.g AND level = {level} JOIN {name}{level - 1} w ON w.g = p.parent)")
+        return out + [f"{name} AS MATERIALIZED ({factored(' UNION ALL '.join(f'SELECT * FROM {name}{level}' for level in range(3)))})"]
+
+    first = f"i // {q.DRAWN} * {q.DRAWN}"
+    drawn = f"SELECT g, 1 + i // {q.DRAWN} AS k, x0, x1, x2, x3, 1 AS n FROM (SELECT g, i, ({first} + i % {q.DRAWN} * (1 + ({first}) // m)) % m + 1 AS r FROM (SELECT g, least(count(*), {q.SAMPLE}) AS m FROM vec GROUP BY g), range({q.SAMPLE}) t(i)) JOIN (SELECT g, x0, x1, x2, x3, row_number() OVER (PARTITION BY g ORDER BY md5(concat_ws('-', x0, x1, x2, x3)), x0, x1, x2, x3) AS r FROM vec) USING (g, r)"
+    steps = [f"c0 AS MATERIALIZED ({factored(moments(f'SELECT {sums("g, k")} FROM (SELECT g, 0 AS k, x0, x1, x2, x3, n FROM vec UNION ALL {drawn}) GROUP BY g, k', 'g, k', 1.0))})"]
+    total = q.FIRST_STEPS + q.STEPS
+    for i in range(1, total + 1):
+        steps.append(f"c{i} AS MATERIALIZED ({step(f'c{i - 1}', q.COARSE if i <= q.FIRST_STEPS else q.BINS)})")
+        if i == q.FIRST_STEPS:
+            steps[-1] = steps[-1].replace(f"c{i} AS", f"every{i} AS", 1)
+            steps.append(f"c{i} AS MATERIALIZED ({least(f'every{i}', q.BEST)})")
+    steps += shrunk("raw", least(f"c{total}", 1))
+    near = moments(f"SELECT {sums('g')} FROM (SELECT * FROM ({placed('vec JOIN raw USING (g)')}) WHERE d2 <= {q.NEAR}) GROUP BY g", "g", q.REWEIGHTED)
+    steps.append(f"counted AS MATERIALIZED (SELECT r.g, coalesce(c.n, 0e0) AS n, {', '.join(f'coalesce(c.{c}, r.{c}) AS {c}' for c in q._MEANS + q._COVS)} FROM raw r LEFT JOIN ({near}) c ON c.g = r.g)")
+    steps += shrunk("final", "SELECT * FROM counted")
     return rf"""
-WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || lang, 'null') || chr(1) || coalesce('=' || source, 'null') AS g, regexp_extract_all(coalesce(text, ''), '[^ 	-
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || lang, 'null') AS lang, coalesce('=' || lang, 'null') || chr(1) || coalesce('=' || source, 'null') AS g, regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) >= 3)),
 twice AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
 again AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win JOIN twice USING (doc_id, k)) GROUP BY doc_id),
-base AS (SELECT doc_id, g, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '{q.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+base AS (SELECT doc_id, g, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '{q.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
 ]')) AS lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words FROM doc LEFT JOIN again USING (doc_id)),
-st AS MATERIALIZED (SELECT doc_id, g, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+st AS MATERIALIZED (SELECT doc_id, g, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
   CAST(round({q.SCALE} * ln(greatest(word_chars, 1) / greatest(n_words, 1))) AS BIGINT) AS x0, CAST(round({q.SCALE} * ln(1 + 100 * n_symbols / greatest(word_chars, 1))) AS BIGINT) AS x1,
   CAST(round({q.SCALE} * ln(1 + n_dup_lines)) AS BIGINT) AS x2, CAST(round({q.SCALE} * ln(1 + 100 * n_repeat_words / greatest(n_words, 1))) AS BIGINT) AS x3 FROM base),
-vec AS MATERIALIZED (SELECT g, x0, x1, x2, x3, count(*) AS n FROM st WHERE NOT base_failed GROUP BY ALL),
-{", ".join(steps)},
-best AS MATERIALIZED (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY logdet, k) AS r FROM c{q.STEPS}) WHERE r = 1),
-middle AS (SELECT g, greatest(exp((max(bin) + 1) / {float(q.BINS)}) / {q.MEDIAN}, 1e0) AS scale, max(total) AS members FROM ({binned("best")}) WHERE below < 0.5 * total GROUP BY g)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN members >= {q.MIN_GROUP} AND NOT base_failed THEN round(d2 / scale, 6) END AS distance,
-  NOT base_failed AND NOT coalesce(distance > {q.CUTOFF}, FALSE) AS kept
-FROM ({placed("st", "LEFT JOIN best USING (g)")}) LEFT JOIN middle USING (g)
+own AS MATERIALIZED (SELECT g, lang, x0, x1, x2, x3, count(*) AS n FROM st WHERE NOT base_failed GROUP BY ALL),
+parents AS MATERIALIZED (SELECT DISTINCT 2 AS level, g, 'lang' || lang AS parent FROM own UNION SELECT 1, 'lang' || lang, 'all' FROM own UNION SELECT 0, 'all', NULL FROM own),
+vec AS MATERIALIZED (SELECT g, x0, x1, x2, x3, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest([g, 'lang' || lang, 'all']) AS g, x0, x1, x2, x3, n FROM own) GROUP BY ALL),
+{", ".join(steps)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN NOT base_failed THEN round(d2, 6) END AS distance, NOT base_failed AND NOT coalesce(distance > {q.CUTOFF}, FALSE) AS kept
+FROM ({placed("st LEFT JOIN final USING (g)")})
 """
 
 
