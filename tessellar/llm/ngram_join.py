@@ -9,27 +9,37 @@ similarity of at least 3/4; the result is the connected component of each.
    documents beyond that are alone, without any loss.
 2. Copies. Documents with equal sets become one class; its least row stands for it.
 3. T-occurrence search among the classes. Inverted lists are ordered by length.
-   A class with s shared shingles needs T = ceil(3n/4) occurrences, so the T - 1
-   longest lists are set aside and the others, the short ones, are merged by
-   heap for each query (DivideSkip); a candidate is then probed in the long
-   lists by binary search in its sorted set, and kept if it reaches the
-   overlap that the pair requires.
-4. Components, in rounds. First each short list is searched only for the member
-   with the fewest shingles of its own (of a family of copies, the original), and
-   each query probes the candidate that most of its lists hold: one pair per
-   query, whatever the lists' lengths. What that
-   links is one component; this repeats while it links anything (STAR_ROUNDS at
-   most). Then the lists that still touch several components are searched for
-   all members of other components. Every link between different components is
-   found and links inside one change nothing, so the components are exact while
-   a list of m copies costs m, not m * m, candidates.
-
-Shingles are 64-bit hashes. Records of the sieve travel as blobs by hash bucket.
+   A class with s shared shingles needs T = ceil(3n/4) occurrences. DivideSkip:
+   its L = T - HITS longest lists are set aside and the others, the short ones,
+   are merged by heap for each query; whoever occurs fewer than T - L = HITS
+   times cannot reach T and goes. What is left is probed in the long lists, by
+   binary search of the query's shingles in the candidate's sorted set, and kept
+   if it reaches the overlap that the pair requires. Rows of a list that no
+   size in that list lets reach the overlap are left out before the lists are
+   met with each other, so a template that many pages share, and that alone
+   makes no link, costs its length and not its square.
+4. Components (`report`), in rounds. First each short list is searched only for
+   the member with the fewest shingles of its own (of a family of copies, the
+   original), and each query probes the candidate that most of its lists hold:
+   one pair per query, whatever the lists' lengths. What that links is one
+   component; this repeats while it links anything (STAR_ROUNDS at most). Then
+   the lists that still touch several components are searched for all members of
+   other components. Every link between different components is found and links
+   inside one change nothing, so the components are exact while a list of m
+   copies costs m, not m * m, candidates.
+
+`links` gives every link between classes and the members of each class instead;
+it is as large as its result, m * m for a family of m near copies.
+
+Shingles are 64-bit hashes, rows keys of 64 bits. Records of the sieve travel as
+blobs by hash bucket.
 
 Defined cases: a text of fewer than `k` words has one shingle, the whole
 sequence; without words the set is empty and links with nothing; identical rows
-are one class; a null id never names a component unless all ids in it are null;
-an empty table gives an empty result; extra columns are ignored.
+are one class, and texts with equal sets link; a null id never names a component
+unless all ids in it are null; a very long text is one set, held by one task at
+a time; an empty table gives an empty result; extra columns, also of clashing
+names, are ignored by `report` and carried by `representatives`.
 """
 
 from __future__ import annotations
@@ -37,7 +47,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +59,10 @@ from .shared import buckets, cut, keyed, row_uid, stored
 
 SHINGLE = 5
 STAR_ROUNDS = 4
+#: occurrences in the short lists that a candidate needs: T - L
+HITS = 3
+#: parts that the rows of one component are dealt to
+SALT = 16
 LAST = np.iinfo(np.int64).max
 SETS = "uid bigint, doc_id bigint, n int, digest binary, shingles binary"
 
@@ -122,8 +135,8 @@ def _shared_counts(source: DataFrame, k: int, n: int) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(gather, "uid bigint, shared bigint")
 
 
-def _survivors(joined: DataFrame, k: int) -> DataFrame:
-    """Sets of the documents that may have a partner."""
+def _sets(joined: DataFrame, k: int) -> DataFrame:
+    """A row per document with the size of its set, and the set and its digest where it may have a partner."""
     arrow = K.arrow_schema(SETS)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +145,9 @@ def _survivors(joined: DataFrame, k: int) -> DataFrame:
             low = np.concatenate(([0], np.cumsum(values >> np.uint64(63) == 0)))
             n, half = np.diff(offsets), low[offsets[1:]] - low[offsets[:-1]]
             shared = part.column("shared").fill_null(0).to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero((n > 0) & (half - shared <= n // 4))
-            blobs = [values[offsets[i] : offsets[i + 1]].astype("<u8").tobytes() for i in keep]
-            columns = [part.column("uid").take(pa.array(keep)), part.column("doc_id").take(pa.array(keep)), pa.array(n[keep].astype(np.int32)), K.binary_array([hashlib.sha256(b).digest()[:16] for b in blobs]), K.binary_array(blobs)]
+            keep = (n > 0) & (half - shared <= n // 4)
+            blobs = [values[offsets[i] : offsets[i + 1]].astype("<u8").tobytes() if keep[i] else None for i in range(len(part))]
+            columns = [part.column("uid"), part.column("doc_id"), pa.array(n.astype(np.int32)), K.binary_array([b and hashlib.sha256(b).digest()[:16] for b in blobs]), K.binary_array(blobs)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return joined.mapInArrow(kernel, SETS)
@@ -179,18 +192,36 @@ def _postings(classes: DataFrame, n: int) -> DataFrame:
 
     found = classes.select("uid", "shingles").mapInArrow(emit, schema).groupBy("bucket").applyInArrow(lengths, reply)
     ranked = found.groupBy("bucket").applyInArrow(gather, "token bigint, uid bigint, s int, rank int")
-    # T = ceil(3n/4); the T - 1 longest lists of a class are set aside
+    # T = ceil(3n/4); the T - HITS longest lists of a class are set aside
     sized = ranked.join(classes.select("uid", "n"), "uid")
-    return sized.where("rank <= s - ceil(3 * n / 4D)").select(*[f.name for f in arrow])
+    return sized.where(f"rank < s - ceil(3 * n / 4D) + {HITS}").select(*[f.name for f in arrow])
 
 
-def _heap_merge(lists: DataFrame) -> DataFrame:
-    """(x, token, y) rows -> candidates (x, y, hits) per query x, by heap merge of its lists."""
+def _heap_merge(lists: DataFrame, least: int = 1) -> DataFrame:
+    """(x, token, y) rows -> candidates (x, y, hits) of at least `least` hits per query x, by heap merge of its lists."""
     out = K.arrow_schema("x bigint, y bigint, hits bigint")
 
-    def rows(batches: Iterator[pa.RecordBatch]):
+    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """Each query with its lists, as they come sorted; 8 bytes an entry."""
+        query = token = None
+        found: list[np.ndarray] = []
         for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
+            xs, ts, ys = (c.to_numpy() for c in batch.columns)
+            cuts = np.flatnonzero((xs[1:] != xs[:-1]) | (ts[1:] != ts[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(xs)]):
+                if a == b:
+                    continue
+                if xs[a] != query:
+                    if found:
+                        yield query, found
+                    query, token, found = int(xs[a]), None, []
+                if ts[a] == token:
+                    found[-1] = np.concatenate((found[-1], ys[a:b]))
+                else:
+                    found.append(ys[a:b].copy())
+                token = ts[a]
+        if found:
+            yield query, found
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int, int]] = []
@@ -199,12 +230,20 @@ def _heap_merge(lists: DataFrame) -> DataFrame:
             columns = zip(*found) if found else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=out)
 
-        for x, group in groupby(rows(batches), key=lambda r: r[0]):
-            per_token = [[r[2] for r in g] for _, g in groupby(group, key=lambda r: r[1])]
-            found += [(x, y, sum(1 for _ in same)) for y, same in groupby(heapq.merge(*per_token))]
-            if len(found) >= 1 << 14:
-                yield batch()
-                found = []
+        for x, merged in queries(batches):
+            last, hits = None, 0
+            for y in heapq.merge(*map(memoryview, merged)):
+                if y == last:
+                    hits += 1
+                    continue
+                if hits >= least:
+                    found.append((x, last, hits))
+                last, hits = y, 1
+                if len(found) >= 1 << 14:
+                    yield batch()
+                    found = []
+            if hits >= least:
+                found.append((x, last, hits))
         yield batch()
 
     return lists.select("x", "token", "y").repartition("x").sortWithinPartitions("x", "token", "y").mapInArrow(kernel, "x bigint, y bigint, hits bigint")
@@ -230,45 +269,67 @@ def _probe(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("x", "y", "a", "b").mapInArrow(kernel, "u bigint, v bigint")
 
 
-#: sizes, and the tokens left after this one in both lists, allow an overlap of 3/4
-_REACHABLE = "7L * least(a.s - a.rank, b.s - b.rank) >= 3L * (a.n + b.n)"
+#: the largest partner that a row's class can link with, if this token is one of the first HITS that they share
+_ROOM = f"CAST(floor(7 * (s - rank + {HITS - 1}) / 3D) AS BIGINT) - n"
+_REACHABLE = "b.n <= a.room AND a.n <= b.room"
 
 
-def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with key and text, members uid -> class uid, components node -> component over class uids)."""
+def _reachable(rows: DataFrame) -> DataFrame:
+    """Rows of lists of several components that some size in their list lets reach an overlap, with their `room`."""
+    sized = rows.withColumn("room", F.expr(_ROOM))
+    per_list = sized.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("smallest"), F.max("room").alias("widest")).where("c0 <> c1").drop("c0", "c1")
+    return sized.join(per_list, "token").where("smallest <= room AND n <= widest").drop("smallest", "widest")
+
+
+def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v): the links between classes of different components in `rows`."""
+    left = cut(_reachable(rows))
+    pairs = left.alias("a").join(left.alias("b"), F.expr(f"a.token = b.token AND a.component < b.component AND {_REACHABLE}"))
+    return cut(_probe(_heap_merge(pairs.select(F.col("a.uid").alias("x"), F.col("a.token").alias("token"), F.col("b.uid").alias("y")), HITS), classes))
+
+
+def indexed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sizes uid, doc_id, n of all rows; members uid -> head class; classes with their sets; short inverted lists)."""
     source = _source(docs, id_col, text_col)
     n = buckets(docs.sparkSession)
     counts = _shared_counts(source, k, n)
-    survivors = stored(_survivors(source.join(counts, "uid", "left").select("uid", "doc_id", "text", "shared"), k), "sets")
+    sets = stored(_sets(source.join(counts, "uid", "left").select("uid", "doc_id", "text", "shared"), k), "sets")
+    sizes = sets.select("uid", "doc_id", F.col("n").cast("bigint").alias("n_shingles"))
+    survivors = sets.where("digest IS NOT NULL")
     light = survivors.select("uid", "doc_id", "digest")
     heads = light.groupBy("digest").agg(F.min("uid").alias("head"))
     members = cut(light.join(heads, "digest").select("uid", "doc_id", "head").distinct())
     classes = stored(survivors.join(heads.select(F.col("head").alias("uid")), "uid").dropDuplicates(["uid"]).select("uid", "n", "shingles"), "classes")
-    lists = stored(_postings(classes, n), "lists")
+    return sizes, members, classes, stored(_postings(classes, n), "lists")
+
+
+def links(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(u, v): every link between classes; (uid, doc_id, head): the rows of each class, named by its head."""
+    _, members, classes, lists = indexed(docs, **options)
+    return _links(_labelled(lists, None), classes), members
 
+
+def classes_and_links(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes of all rows, members uid -> class uid, components node -> component over class uids)."""
+    sizes, members, classes, lists = indexed(docs, **options)
     labels = None  # every class is its own component at first
     for _ in range(STAR_ROUNDS):
-        labelled = _labelled(lists, labels)
-        least = labelled.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "uid", "n", "s", "rank", "component")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+        labelled = _labelled(lists, labels).withColumn("room", F.expr(_ROOM))
+        least = labelled.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "uid", "n", "room", "component")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1"))
         leads = least.where("c0 <> c1").select("token", "lead.*")
         star = labelled.alias("a").join(leads.alias("b"), F.expr(f"a.token = b.token AND a.component <> b.component AND {_REACHABLE}"))
         candidates = _heap_merge(star.select(F.col("a.uid").alias("x"), F.col("a.token").alias("token"), F.col("b.uid").alias("y")))
         best = candidates.groupBy("x").agg(F.max(F.struct("hits", "y")).alias("best")).select("x", "best.y")
-        links = cut(_probe(best, classes))
-        if links.isEmpty():
+        found = cut(_probe(best, classes))
+        if found.isEmpty():
             break
-        labels = _relabelled(labels, links)
-
-    labelled = _labelled(lists, labels)
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
-    rest = labelled.join(mixed, "token")
-    across = rest.alias("a").join(rest.alias("b"), F.expr(f"a.token = b.token AND a.component < b.component AND {_REACHABLE}"))
-    links = cut(_probe(_heap_merge(across.select(F.col("a.uid").alias("x"), F.col("a.token").alias("token"), F.col("b.uid").alias("y"))), classes))
-    if not links.isEmpty():
-        labels = _relabelled(labels, links)
+        labels = _relabelled(labels, found)
+    found = _links(_labelled(lists, labels), classes)
+    if not found.isEmpty():
+        labels = _relabelled(labels, found)
     if labels is None:
         labels = lists.select(F.col("uid").alias("node"), F.col("uid").alias("component")).limit(0)
-    return source, members, labels
+    return sizes, members, labels
 
 
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -292,27 +353,25 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return cut(old.unionByName(merged).groupBy("node").agg(F.min("component").alias("component")))
 
 
-def report(docs: DataFrame, *, k: int = SHINGLE, **options) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the least id that links reach)."""
-    source, members, joined = classes_and_links(docs, k=k, **options)
-    placed = members.join(joined.withColumnRenamed("node", "head"), "head", "left").select("uid", "doc_id", F.coalesce("component", "head").alias("component"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = placed.join(least, "component").groupBy("uid").agg(F.min("component_id").alias("component_id"))
+def _by_component(members: DataFrame, labels: DataFrame, best) -> DataFrame:
+    """`members` with `best` (an aggregate) of their component; a component's rows are dealt to SALT parts."""
+    placed = members.join(labels.withColumnRenamed("node", "head"), "head", "left").select("uid", "doc_id", F.coalesce("component", "head").alias("component"))
+    parts = F.pmod("uid", F.lit(SALT)).alias("part")
+    found = placed.groupBy("component").agg(best.alias("best")).select("component", "best", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).alias("part"))
+    return placed.select("*", parts).join(found, ["component", "part"])
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batches, "text"):
-            _, offsets = shingle_sets(part.column("text"), k)
-            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), pa.array(np.diff(offsets))], ["uid", "doc_id", "n_shingles"])
 
-    sizes = source.mapInArrow(kernel, "uid bigint, doc_id bigint, n_shingles bigint")
+def report(docs: DataFrame, **options) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the least id that links reach)."""
+    sizes, members, labels = classes_and_links(docs, **options)
+    found = _by_component(members, labels, F.min("doc_id")).groupBy("uid").agg(F.min("best").alias("component_id"))
     return sizes.join(found, "uid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """`docs` with one row of each component left: the least by (id, key); identical rows keep one."""
-    source, members, joined = classes_and_links(docs, id_col=id_col, text_col=text_col, k=k)
-    placed = members.join(joined.withColumnRenamed("node", "head"), "head", "left").select("uid", "doc_id", F.coalesce("component", "head").alias("component"))
-    best = placed.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("uid").alias("u"))).alias("best"))
+    _, members, labels = classes_and_links(docs, id_col=id_col, text_col=text_col, k=k)
     docs_keyed, key = keyed(docs, id_col, text_col)
-    losers = placed.join(best, "component").where(F.col("uid") != F.col("best.u")).select(F.col("uid").alias(key)).distinct()
+    placed = _by_component(members, labels, F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("uid").alias("u"))))
+    losers = placed.where(F.col("uid") != F.col("best.u")).select(F.col("uid").alias(key)).distinct()
     return docs_keyed.join(losers, key, "left_anti").dropDuplicates([key]).select(*docs.columns)

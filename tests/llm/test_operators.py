@@ -112,6 +112,14 @@ def test_ngram_join(odd_docs, odd_rows, no_docs):
             least[find(a)].append(i)
     expected = [(i, len(sets[a]), min(least[find(a)], default=None)) for a, (i, _) in enumerate(odd_rows)]
     assert rows_of(ngram_join.report(odd_docs)) == sorted(expected, key=repr)
+    found, members = ngram_join.links(odd_docs)
+    head = {r.uid: r.head for r in members.collect()}
+    of = {(r.doc_id, r.uid) for r in members.collect()}
+    pairs = {frozenset((r.u, r.v)) for r in found.collect()}
+    linked = {frozenset((repr(a), repr(b))) for a, _ in of for b, _ in of if any(frozenset((head[x], head[y])) in pairs or (head[x] == head[y] and x != y) for c, x in of if c == a for d, y in of if d == b)}
+    ids = [i for i, _ in odd_rows]
+    exact = {frozenset((repr(ids[a]), repr(ids[b]))) for a in range(len(sets)) for b in range(a) if odd_rows[a] != odd_rows[b] and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert linked == exact
     left = ngram_join.representatives(odd_docs)
     assert left.columns == odd_docs.columns and ngram_join.report(left).where("doc_id <> component_id").count() == 0
     assert ngram_join.report(no_docs).count() == 0
@@ -125,6 +133,36 @@ def test_ngram_join_chain_of_near_copies(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_ngram_join_against_brute_force_near_the_bound(spark):
+    """Random sets whose overlaps lie around three quarters, of many sizes: every link, and none besides."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(120):
+        words = list(base[: rng.integers(5, 60)])
+        for _ in range(rng.integers(0, 4)):
+            words[rng.integers(0, len(words))] = f"x{rng.integers(0, 6)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[a : a + 5]) for a in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    exact = {frozenset((a, b)) for a in range(120) for b in range(a) if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    found, members = ngram_join.links(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    rows = defaultdict(list)
+    for r in members.collect():
+        rows[r.head].append(r.doc_id)
+    got = {frozenset((a, b)) for r in found.collect() for a in rows[r.u] for b in rows[r.v]}
+    assert got == exact and len(exact) > 100
+
+
+def test_ngram_join_template_costs_its_length(spark):
+    """Pages that share most of a template and do not link: their lists are not met with themselves."""
+    words = " ".join(f"t{i}" for i in range(84))
+    rows = [(i, f"{words} " + " ".join(f"p{i}q{j}" for j in range(20))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    *_, lists = ngram_join.indexed(docs)
+    assert lists.count() > 6000 and ngram_join._reachable(ngram_join._labelled(lists, None)).count() == 0
+    assert ngram_join.report(docs).where("doc_id <> component_id").count() == 0
+
+
 def test_mixing(odd_docs, odd_rows, no_docs):
     first, again = rows_of(mixing.report(odd_docs, block_len=16)), rows_of(mixing.report(odd_docs, block_len=16))
     assert first == again and len(first) == len(odd_rows)
