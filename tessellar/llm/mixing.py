@@ -2,8 +2,10 @@
 
 The words of each source are packed, document after document, into blocks of
 `block_len`. Output shards draw how many of their slots each source fills from
-a multinomial whose probabilities follow the source's remaining quota (so the
-draws of all shards add up to the quota), slot t of a source takes the block
+multinomials whose probabilities follow the source's remaining quota, so the
+draws of all shards add up to it: the slots of a range of shards are split
+between its halves, and so on down to single shards, each split seeded by its
+range, so any task draws its shards alone. Slot t of a source takes the block
 that a keyed permutation of its block numbers assigns to t (a new permutation
 for each epoch, so a block is never taken more than ceil(t / blocks) times),
 and blocks are joined to slots by their number.
@@ -14,14 +16,15 @@ shared again by weight (closed form: the least level at which the capped shares
 add up).
 
 Scale: texts are read once for their sizes; only (id, source, size) rows and
-block numbers are shuffled. Word offsets are prefix sums in `chunks` parts per
-source, so a source with a third of all rows is many windows, not one. The
-driver holds one row per source and draws one vector per output shard.
+block numbers are shuffled. Word offsets are prefix sums in parts of some
+CHUNK_ROWS rows, so a source with a third of all rows is many windows, not one.
+The driver holds one row per source; shards are drawn inside the tasks.
 
 Defined cases: null, empty and wordless texts have size 0 and take nothing; a
 source without words has target 0; a null source is a source of its own, in the
-last place; repeated rows are packed as separate documents; an empty table gives
-an empty result; extra columns are ignored by `report` and carried by `mix`.
+last place; repeated rows are packed as separate documents; a very long text is cut
+into many blocks; an empty table gives an empty result; extra columns, also of
+clashing names, are ignored by `report` and carried by `mix`.
 """
 
 from __future__ import annotations
@@ -35,11 +38,13 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .permutation import feistel
-from .shared import cut, fresh, keyed, row_uid
+from .shared import buckets, cut, fresh, keyed, row_uid
 
 BLOCK_LEN = 256
 SHARD_SLOTS = 4096
-CHUNKS = 256
+#: rows of a source that one running total covers, and output shards that one task draws
+CHUNK_ROWS = 50_000
+TASK_SHARDS = 16
 LIMIT = 3
 SEED = 11
 
@@ -58,8 +63,8 @@ def sizes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def targets(sized: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(source, source_no, source_size, weight, target): one row per source."""
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """(source, source_no, source_size, rows, weight, target): one row per source."""
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())  # one row per source
     weighed = per_source.withColumn("source_no", F.row_number().over(by_name) - 1).withColumn("weight", (F.col("source_no") % 3 + 1).cast("double"))
     everything = Window.partitionBy()
@@ -73,30 +78,39 @@ def targets(sized: DataFrame, limit: int = LIMIT) -> DataFrame:
         .withColumn("first", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "source_no", "level"))).over(everything))
     )
     share = F.coalesce(F.col("first.level") * F.col("weight"), F.lit(0.0))
-    return level.select("source", "source_no", "source_size", "weight", F.least(share, limit * F.col("source_size").cast("double")).alias("target"))
-
-
-def draws(quota: np.ndarray, shard_slots: int, seed: int) -> list[tuple[int, int, int, int, int]]:
-    """(shard, source, first slot of the source, slots, first place in the shard) by multinomials without replacement."""
-    left, at, out, shard = quota.copy(), np.zeros_like(quota), [], 0
-    while (total := int(left.sum())) > 0:
-        size = min(shard_slots, total)
-        rng = np.random.default_rng([seed, shard])
+    return level.select("source", "source_no", "source_size", "rows", "weight", F.least(share, limit * F.col("source_size").cast("double")).alias("target"))
+
+
+def draws(quota: np.ndarray, shard_slots: int, seed: int, low: int = 0, high: int | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+    """(shard, source, first slot of the source, slots, first place in the shard) of the shards [low, high)."""
+    total = int(quota.sum())
+    shards = -(-total // shard_slots)
+    high = shards if high is None else high
+
+    def split(left: np.ndarray, at: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """Shards [a, b) take all of `left`, from slot `at` of each source on."""
+        if b <= low or a >= high:
+            return
+        if b - a == 1:
+            place = 0
+            for s in np.flatnonzero(left).tolist():
+                yield a, s, int(at[s]), int(left[s]), place
+                place += int(left[s])
+            return
+        middle = (a + b) // 2
+        rng = np.random.default_rng([seed, a, b])
         take = np.zeros_like(left)
-        while (missing := size - int(take.sum())) > 0:
+        while (missing := (middle - a) * shard_slots - int(take.sum())) > 0:
             room = left - take
             take += np.minimum(rng.multinomial(missing, room / room.sum()), room)
-        place = 0
-        for s in np.flatnonzero(take).tolist():
-            out.append((shard, s, int(at[s]), int(take[s]), place))
-            place += int(take[s])
-        at += take
-        left -= take
-        shard += 1
-    return out
+        yield from split(take, at, a, middle)
+        yield from split(left - take, at + take, middle, b)
+
+    if shards:
+        yield from split(quota, np.zeros_like(quota), 0, shards)
 
 
-def plan(sized: DataFrame, *, block_len: int = BLOCK_LEN, shard_slots: int = SHARD_SLOTS, chunks: int = CHUNKS, limit: int = LIMIT, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan(sized: DataFrame, *, block_len: int = BLOCK_LEN, shard_slots: int = SHARD_SLOTS, limit: int = LIMIT, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(targets, slots, pieces).
 
     slots: shard, slot, source_no, block. pieces: one row per document and block
@@ -111,24 +125,25 @@ def plan(sized: DataFrame, *, block_len: int = BLOCK_LEN, shard_slots: int = SHA
     blocks = -(-size // block_len)
     quota = np.array([round(r.target * int(b) / r.source_size) if r.source_size else 0 for r, b in zip(rows, blocks)], np.int64)
     quota = np.minimum(quota, limit * blocks)
-    drawn = spark.createDataFrame(draws(quota, shard_slots, seed), "shard bigint, source_no int, first bigint, n bigint, place bigint")
-    block_counts = blocks.tolist()
+    block_counts, shards = blocks.tolist(), -(-int(quota.sum()) // shard_slots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                n = block_counts[r["source_no"]]
-                t = np.arange(r["first"], r["first"] + r["n"])
-                block = feistel(t % n, n, K.mix(np.uint64(seed) + (t // n).astype(np.uint64) * np.uint64(1 << 32) + np.uint64(r["source_no"] + 1)))
-                slot = feistel(r["place"] + np.arange(r["n"]), shard_slots, K.mix(np.array([seed + 7919 * (r["shard"] + 1)], np.uint64))[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), r["shard"])), pa.array(slot), pa.array(np.full(len(t), r["source_no"], np.int32)), pa.array(block)], ["shard", "slot", "source_no", "block"])
-
-    slots = drawn.repartition("shard", "source_no").mapInArrow(assign, "shard bigint, slot bigint, source_no int, block bigint")
-
-    chunk = F.pmod(F.col("uid"), F.lit(chunks)).cast("int")
-    placed = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).select(sized["*"], "source_no", "source_size", "target").withColumn("chunk", chunk)
+            for task in batch.column("id").to_pylist():
+                for shard, source, first, count, place in draws(quota, shard_slots, seed, task * TASK_SHARDS, min((task + 1) * TASK_SHARDS, shards)):
+                    n = block_counts[source]
+                    t = np.arange(first, first + count)
+                    block = feistel(t % n, n, K.mix(np.uint64(seed) + (t // n).astype(np.uint64) * np.uint64(1 << 32) + np.uint64(source + 1)))
+                    slot = feistel(place + np.arange(count), shard_slots, K.mix(np.array([seed + 7919 * (shard + 1)], np.uint64))[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(count, shard)), pa.array(slot), pa.array(np.full(count, source, np.int32)), pa.array(block)], ["shard", "slot", "source_no", "block"])
+
+    tasks = -(-shards // TASK_SHARDS)
+    slots = spark.range(0, tasks, 1, max(1, min(tasks, buckets(spark)))).mapInArrow(assign, "shard bigint, slot bigint, source_no int, block bigint")
+
+    chunk = F.pmod(F.col("uid"), F.ceil(F.col("rows") / CHUNK_ROWS))
+    placed = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).select(sized["*"], "source_no", "source_size", "rows", "target").withColumn("chunk", chunk)
     totals = placed.groupBy("source_no", "chunk").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # `chunks` rows at most
+    before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row per CHUNK_ROWS rows of the source
     bases = totals.select("source_no", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "uid").rowsBetween(Window.unboundedPreceding, -1)
     at = placed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["source_no", "chunk"]).withColumn("position", F.col("base") + F.col("inner"))
