@@ -7,34 +7,39 @@ array, Burrows-Wheeler transform, wavelet matrix, sampled suffix positions),
 all test phrases are searched backwards at once, occurrences are located
 through the samples, and the spans they cover are merged per document.
 
-Scale: no shuffle of documents, one pass, memory bounded by the shard. The
-benchmark is cut into blocks of at most `block_bytes` of text (measured, not
-assumed); each block is one broadcast and one pass, so it may grow as well.
+Scale: no shuffle of documents, memory bounded by the shard. The benchmark is
+cut into blocks of some `block_bytes` of text (measured, not assumed). One block
+is one broadcast and one pass. More are a pass each: a block is released before
+the next one is collected, and only hit documents' spans are kept between the
+passes, so neither driver nor executors hold more than one block.
 
 Defined cases: null or wordless texts give zero counts; an item without words
 has no phrase; a null item id is written as the empty string; repeated rows
-give equal results; an empty benchmark gives zero counts; extra columns are
-ignored by `scan` and carried by `clean`.
+give equal results; a very long text is a shard of its own; an empty benchmark
+gives zero counts; extra columns, also of clashing names, are ignored by `scan`
+and carried by `clean`.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import stored, wide_key
 
 WINDOW = 10
 SAMPLE = 8
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
 
-SCHEMA = "doc_id bigint, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>"
+SCHEMA = "doc_id bigint, uid binary, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>"
 
 
 class Phrases:
@@ -47,23 +52,31 @@ class Phrases:
         starts, ends, rows = K.words(data, offsets, K.ALPHANUMERIC)
         hashes = K.word_hashes(data, starts, ends)
         self.window = window
-        self.vocabulary, symbol = np.unique(hashes, return_inverse=True)
-        symbol = symbol + 1
-        found: dict[tuple, set] = {}
-        for i, item in enumerate(item_ids):
-            a, b = int(rows[i]), int(rows[i + 1])
-            name = "" if item is None else str(item)
-            for s in range(a, max(b - window, a if b > a else b - 1) + 1):
-                found.setdefault(tuple(symbol[s : min(s + window, b)].tolist()), set()).add(name)
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.items = [sorted(x) for x in found.values()]
-        self.symbols = np.zeros((len(found), window), np.int64)
-        for i, p in enumerate(found):
-            self.symbols[i, window - len(p) :] = p
-        self.shortest = int(self.lengths.min()) if len(found) else 0
-        self.spelling = [bytes(data[s:e]) for s, e in zip(starts, ends)]
-        first = {int(x): i for i, x in reversed(list(enumerate(symbol)))}
-        self.spelling = {x: self.spelling[i] for x, i in first.items()}
+        self.vocabulary, first, symbol = np.unique(hashes, return_index=True, return_inverse=True)
+        symbol = (symbol + 1).astype(np.int32)
+        self.spelling = [b"", *(bytes(data[starts[i] : ends[i]]) for i in first.tolist())]
+        # a window per row, to the right; items of fewer words are one window
+        at = K.window_starts(rows, window)
+        table, owner = symbol[at[:, None] + np.arange(window)], K.row_of(at, rows)
+        sizes = np.diff(rows)
+        few = np.flatnonzero((sizes > 0) & (sizes < window))
+        short = np.zeros((len(few), window), np.int32)
+        for i, r in enumerate(few.tolist()):
+            short[i, window - sizes[r] :] = symbol[rows[r] : rows[r + 1]]
+        table, owner = np.concatenate((table, short)), np.concatenate((owner, few))
+        order = np.lexsort(table.T)
+        table, owner = table[order], owner[order]
+        fresh = np.ones(len(table), bool)
+        fresh[1:] = (table[1:] != table[:-1]).any(1)
+        self.symbols = table[fresh]
+        self.lengths = (self.symbols > 0).sum(1)
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
+        self.names = ["" if i is None else str(i) for i in item_ids]
+        self.owners, self.bounds = owner, np.append(np.flatnonzero(fresh), len(table))
+
+    def items(self, phrase: int) -> set[str]:
+        """Names of the items that hold a phrase."""
+        return {self.names[i] for i in self.owners[self.bounds[phrase] : self.bounds[phrase + 1]].tolist()}
 
 
 class FMIndex:
@@ -215,51 +228,77 @@ def find(data: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.nd
     return which[right], at[right], rows, (starts, ends)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
-    """Broadcast phrase tables; the number of blocks follows the measured size of the benchmark."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // block_bytes))
-    out = []
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
+class Blocks:
+    """The benchmark in blocks of some `block_bytes` of text, broadcast one at a time."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int):
+        self.items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        self.window = window
+        total = self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.n = max(1, -(-int(total) // block_bytes))
+
+    def load(self, number: int):
+        """Broadcast of a block's phrases."""
+        part = self.items if self.n == 1 else self.items.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.n)) == number)
         rows = part.collect()
-        out.append(spark.sparkContext.broadcast(Phrases([r.item for r in rows], [r.text for r in rows], window)))
-    return out
+        return self.items.sparkSession.sparkContext.broadcast(Phrases([r.item for r in rows], [r.text for r in rows], self.window))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of `docs`: doc_id, n_words, merged removal spans (word numbers, stop exclusive), ids of items that occur."""
-    parts = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
+def _search(source: DataFrame, block, everything: bool) -> DataFrame:
+    """(doc_id, uid, n_words, spans, items) of all rows, or of those that hold a phrase of the block."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = block.value
         for shard in K.slices(batches, "text", SHARD_BYTES):
-            data, offsets = K.utf8(shard.column("text"))
-            found = [(part.value, *find(data, offsets, part.value)) for part in parts]
-            rows = found[0][3]
-            at = np.concatenate([x[2] for x in found])
-            length = np.concatenate([p.lengths[x] for p, x, *_ in found])
+            which, at, rows, _ = find(*K.utf8(shard.column("text")), phrases)
             spans, names = [[] for _ in range(len(shard))], [set() for _ in range(len(shard))]
             # a span never leaves its row, but spans of neighbouring rows may touch: merge row by row
-            row = K.row_of(at, rows)
-            start, stop = K.merged(at + row, length)
+            start, stop = K.merged(at + K.row_of(at, rows), phrases.lengths[which])
             owner = K.row_of(start - np.searchsorted(rows[1:-1] + np.arange(1, len(rows) - 1), start, "right"), rows) if len(start) else start
             for r, s, e in zip(owner.tolist(), start.tolist(), stop.tolist()):
                 base = int(rows[r]) + r
                 spans[r].append({"start": s - base, "stop": e - base})
-            for phrases, which, where, *_ in found:
-                for r, w in set(zip(K.row_of(where, rows).tolist(), which.tolist())):
-                    names[r].update(phrases.items[w])
-            yield pa.RecordBatch.from_arrays(
-                [shard.column("doc_id"), pa.array(np.diff(rows)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "spans", "items"],
-            )
+            for r, w in set(zip(K.row_of(at, rows).tolist(), which.tolist())):
+                names[r] |= phrases.items(w)
+            columns = [shard.column("doc_id"), shard.column("uid"), pa.array(np.diff(rows)), pa.array(spans, _SPANS), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
+            out = pa.RecordBatch.from_arrays(columns, ["doc_id", "uid", "n_words", "spans", "items"])
+            yield out if everything else out.filter(pa.array([len(x) > 0 for x in spans], pa.bool_()))
 
     return source.mapInArrow(kernel, SCHEMA)
 
 
+def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of `docs`: doc_id, n_words, merged removal spans (word numbers, stop exclusive), ids of items that occur."""
+    blocks = Blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if blocks.n == 1:
+        return _search(source.withColumn("uid", F.lit(None).cast("binary")), blocks.load(0), True).drop("uid")
+    source = source.withColumn("uid", wide_key("doc_id", "text"))
+    passes = []
+    for b in range(blocks.n):
+        block = blocks.load(b)
+        passes.append(stored(_search(source, block, b == 0), "phrase-hits"))
+        block.destroy()
+    hits = reduce(DataFrame.unionByName, passes).where(F.size("spans") > 0)
+    merged = hits.groupBy("uid").agg(_merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    both = passes[0].select("doc_id", "uid", "n_words").join(merged, "uid", "left")
+    return both.select("doc_id", "n_words", *[F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("spans", "items")])
+
+
+def _merged(spans: Column) -> Column:
+    """Union of spans as disjoint ones, in order."""
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        wider = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))))
+        return F.when((F.size(out) > 0) & (s["start"] <= F.get(out, F.size(out) - 1)["stop"]), wider).otherwise(F.array_append(out, s))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:bigint,stop:bigint>>"), step)
+
+
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`scan` as counts: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda t, s: t + s["stop"] - s["start"])
@@ -275,12 +314,29 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", chars_col: str = "n_chars", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` without the merged spans; a text is searched again until no phrase is left, and rows left without text go."""
-    parts = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    blocks = Blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    if blocks.n == 1:
+        return _without(docs, blocks.load(0), text_col, chars_col)
+    size = None
+    while True:
+        for b in range(blocks.n):
+            block = blocks.load(b)
+            docs = stored(_without(docs, block, text_col, chars_col), "decontaminated")
+            block.destroy()
+        seen = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("bigint")), F.count("*")).first()
+        if seen == size:
+            return docs
+        size = seen
+
+
+def _without(docs: DataFrame, block, text_col: str, chars_col: str) -> DataFrame:
+    """`docs` without the phrases of one block."""
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     place = docs.columns.index(text_col)
     count = docs.columns.index(chars_col) if fields.get(chars_col) in ("bigint", "int") else None
 
     def without(texts: list[bytes]) -> dict[int, bytes]:
+        phrases = block.value
         changed: dict[int, bytes] = {}
         pending = list(range(len(texts)))
         while pending:
@@ -288,11 +344,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", char
             offsets = np.concatenate(([0], np.cumsum([len(t) for t in current])))
             data = np.frombuffer(b"".join(current), np.uint8)
             cuts: dict[int, list] = {}
-            for part in parts:
-                which, at, rows, (starts, ends) = find(data, offsets, part.value)
-                for a, n in zip(at.tolist(), part.value.lengths[which].tolist()):
-                    r = int(K.row_of(np.array([a]), rows)[0])
-                    cuts.setdefault(r, []).append((int(starts[a] - offsets[r]), int(ends[a + n - 1] - offsets[r])))
+            which, at, rows, (starts, ends) = find(data, offsets, phrases)
+            for a, n in zip(at.tolist(), phrases.lengths[which].tolist()):
+                r = int(K.row_of(np.array([a]), rows)[0])
+                cuts.setdefault(r, []).append((int(starts[a] - offsets[r]), int(ends[a + n - 1] - offsets[r])))
             again = []
             for r, found in cuts.items():
                 text, out, last = current[r], [], 0
