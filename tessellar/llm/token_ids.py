@@ -3,7 +3,8 @@
 Documents are tokenised, packed back to back (an end-of-text id after each)
 into sequences of `seq_len` ids, and every sequence gets a global slot from a
 keyed Feistel permutation of [0, number of sequences). Slots are dealt to
-shards of `shard_slots` consecutive slots, a shard is one file of fixed stride
+shards of `shard_slots` consecutive slots, a task writes a range of shards in
+order, a shard is one file of fixed stride
 (slot s lies at byte `(s % shard_slots) * seq_len * 2`), and a reader resumes
 at any slot by seeking.
 
@@ -20,8 +21,11 @@ that is run again after an executor was lost replaces its file by the same
 bytes.
 
 Defined cases: a null text counts as empty; an empty text contributes its
-end-of-text id only; repeated rows are separate documents; null ids stay null
-in `doc_ids`; an empty table gives no sequences; extra columns are ignored. The
+end-of-text id only; a very long text is tokenised as one slice and spans many
+sequences; repeated rows are separate documents; null ids stay null in
+`doc_ids`; an empty table gives no sequences; extra columns, also of clashing
+names, are ignored; a vocabulary that leaves no 16-bit id for the end of text is
+an error. The
 last sequence of a partition is filled up with the end-of-text id, which
 `n_tokens` leaves out.
 """
@@ -126,6 +130,8 @@ class BatchCoder:
 
     def __init__(self, tokenizer: tuple[str, str]):
         self.coder, self.end = encoding(*tokenizer)
+        if self.end > np.iinfo(np.uint16).max:
+            raise ValueError(f"ids up to {self.end} do not fit 16 bits")
         self.bytes_of = np.array([len(self.coder.decode_single_token_bytes(i)) for i in range(self.end)], np.int64)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -286,7 +292,9 @@ def materialise(docs: DataFrame, folder: str | None = None, *, id_col: str = "do
             total += per_part[part]
         rows = sequences(source, first, total, tokenizer, seq_len, shard_slots, seed)
         tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_slots)))
-        rows = rows.repartition(tasks, "shard")
+        # ranges of shards in slot order; slots are a permutation, so equal ranges of them hold equally many sequences
+        shards = max(1, -(-total // shard_slots))
+        rows = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int"))
         manifest = write_shards(rows.sortWithinPartitions("shard", "slot"), folder, seq_len, shard_slots)
         try:
             return stored(manifest, "manifest")

@@ -1,6 +1,7 @@
 """Operators against brute force over the same odd rows, and on empty tables."""
 
 import base64
+import gzip
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -63,8 +64,9 @@ def test_decontamination(spark, odd_docs, odd_rows, no_docs):
     assert cleaned.columns == odd_docs.columns and not decontamination.report(cleaned, bench).where("contaminated").count()
     assert decontamination.report(no_docs, bench).count() == 0
     assert decontamination.report(odd_docs, bench.limit(0)).where("contaminated").count() == 0
-    blocks = decontamination._blocks(bench, "item_id", "text", 10, 100)
-    assert len(blocks) > 1
+    assert decontamination.Blocks(bench, "item_id", "text", 10, 100).n > 1
+    again = decontamination.clean(odd_docs, bench, block_bytes=100)
+    assert not decontamination.report(again, bench).where("contaminated").count() and again.count() == cleaned.count()
     assert rows_of(decontamination.report(odd_docs, bench, block_bytes=100)) == sorted(expected, key=repr)
 
 
@@ -184,16 +186,27 @@ def test_mixing(odd_docs, odd_rows, no_docs):
     assert got == pytest.approx({size[s]: target[s] for s in order})
     assert all(r[4] <= 3 * r[1] for r in first)
     assert abs(sum(r[4] for r in first) - total) < 0.05 * total
-    mixed = mixing.mix(odd_docs.dropDuplicates(["doc_id", "text"]), block_len=16)
-    assert mixed.columns == odd_docs.columns and mixed.count() > 0
+    taken = Counter()
+    for r in mixing.report(odd_docs, block_len=16).collect():
+        taken[r.source_size] += r.taken
+    for s in order:  # rounding to whole blocks, and the last block of a source
+        assert abs(taken[size[s]] - target[s]) <= 3 * 16 + 1, s
+    mixed = mixing.mix(odd_docs, block_len=16)
+    assert mixed.columns == odd_docs.columns
+    words = sum(len(BLANK.findall(r.text)) for r in mixed.collect())
+    assert words == sum(taken.values())  # repeated rows are taken as the report says
     assert mixing.report(no_docs).count() == 0
 
 
 def test_draws_meet_the_quota():
     quota = np.array([0, 5, 1000, 37])
-    rows = mixing.draws(quota, 64, 3)
+    rows = list(mixing.draws(quota, 64, 3))
     assert [sum(r[3] for r in rows if r[1] == s) for s in range(4)] == quota.tolist()
-    assert len({r[0] for r in rows}) == -(-1042 // 64) and rows == mixing.draws(quota, 64, 3)
+    assert len({r[0] for r in rows}) == -(-1042 // 64) and rows == [r for a in range(17) for r in mixing.draws(quota, 64, 3, a, a + 1)]
+    assert all(sum(r[3] for r in rows if r[0] == a) == 64 for a in range(16))
+    for s in range(4):  # slots of a source follow one another without a gap
+        spans = sorted((r[2], r[3]) for r in rows if r[1] == s)
+        assert [a for a, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))]
 
 
 def test_token_counts(odd_docs, odd_rows, no_docs):
@@ -222,9 +235,21 @@ def test_token_shards(spark, odd_docs, odd_rows, no_docs, tmp_path):
         ids = token_ids.read(r.path, r.slot, 1, seq_len=64, shard_slots=16)[0]
         assert hashlib.sha256(ids.tobytes()).hexdigest() == r.tokens_sha256
         assert r.byte_offset == r.slot % 16 * 128
+    # the shards, read in the order before the permutation, hold every document whole
+    order = permutation.feistel(np.arange(len(manifest)), len(manifest), token_ids.SEED)
+    ids = np.concatenate([token_ids.read(manifest[s].path, s, 1, seq_len=64, shard_slots=16)[0][: manifest[s].n_tokens] for s in order.tolist()])
+    ends = np.flatnonzero(ids == end)
+    texts = [coder.decode(x[:-1].tolist()) for x in np.split(ids, ends + 1)[:-1]]
+    assert sorted(texts) == sorted(t or "" for _, t in odd_rows) and ends[-1] == len(ids) - 1
     assert token_ids.materialise(no_docs, str(tmp_path / "b"), stable=False).count() == 0
 
 
+def test_token_ids_that_do_not_fit(monkeypatch):
+    monkeypatch.setattr(token_ids, "encoding", lambda *_: (None, 1 << 16))
+    with pytest.raises(ValueError):
+        token_ids.BatchCoder(("", ""))
+
+
 def test_batch_coder_is_exact():
     coder = token_ids.BatchCoder(token_ids.default_tokenizer())
     texts = ["a b", " a  b", "", None, "x ", " x", "it's 's\n\n y", "a  b", "日本  語", "\n\nq r\n", "don't   stop", " "]
@@ -249,6 +274,29 @@ def test_warc(spark, tmp_path):
     chunks = warc.read_chunks(files, folder, chunk=4096)
     assert chunks.agg(F.max(F.octet_length("data"))).first()[0] <= 4096 and chunks.where("chunk_no > 0").count() > 90
     assert warc.report(pages.limit(0)).count() == 0
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("*.gz")))
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", raw)
+    assert raw.count(b"WARC-Type: response") == sum(e[3] == "response" for e in expected) and len(set(ids)) == len(ids) == len(rows)
+    assert set(re.findall(rb"WARC-Refers-To: (\S+)", raw)) <= set(ids)
+    assert chunks.rdd.getNumPartitions() == files.count()
+
+
+def test_warc_repeated_rows_and_many_copies(spark):
+    rows = [(1, "u", "same")] * 3 + [(2, "u", "same")] * 2 + [(i, "u", None) for i in range(10, 60)]
+    got = Counter(tuple(r) for r in warc.report(spark.createDataFrame(rows, "page_id bigint, url string, html string")).select("page_id", "record_type", "refers_to", "verified").collect())
+    assert got[(1, "response", None, True)] == 3 and got[(2, "revisit", 1, True)] == 2 and got[(10, "response", None, True)] == 1 and got[(59, "revisit", 10, True)] == 1 and sum(got.values()) == 55
+
+
+def test_warc_of_another_writer(spark, tmp_path):
+    """Types, payloads and lengths as the archive states them, without private headers."""
+    record = lambda kind, headers, block: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{kind}>\r\n{headers}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    http = "Content-Type: application/http;msgtype=response\r\n"
+    parts = [record("warcinfo", "Content-Type: application/warc-fields\r\n", b"software: x\r\n"), record("request", "Content-Type: application/http;msgtype=request\r\n", b"GET / HTTP/1.1\r\n\r\n"), record("response", http, b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"), record("revisit", http, b"HTTP/1.1 304\r\n\r\n"), record("resource", "", b"")]
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(b"".join(gzip.compress(p) for p in parts))
+    got = warc.read_chunks(spark.createDataFrame([(str(path),)], "path string"), str(tmp_path)).orderBy("record_no").collect()
+    assert [(r.record_type, r.payload_bytes, r.page_id) for r in got] == [("warcinfo", 13, None), ("request", 18, None), ("response", 4, None), ("revisit", None, None), ("resource", 0, None)]
+    assert bytes(got[2].data) == b"body" and got[2].running_sha1 == base64.b32encode(hashlib.sha1(b"body").digest()).decode()
 
 
 def test_quality_rules_base(odd_docs, odd_rows, no_docs):
