@@ -10,9 +10,11 @@ similarity of at least 3/4; the result is the connected component of each.
 2. Copies. Documents with equal sets become one class; its least row stands for it.
 3. T-occurrence search among the classes. Inverted lists are ordered by length.
    A class with s shared shingles needs T = ceil(3n/4) occurrences. DivideSkip:
-   its L = T - HITS longest lists are set aside and the others, the short ones,
-   are merged by heap for each query; whoever occurs fewer than T - L = HITS
-   times cannot reach T and goes. What is left is probed in the long lists, by
+   its L longest lists are set aside and the others, the short ones, are merged
+   by heap for each query; whoever occurs fewer than T - L times cannot reach T
+   and goes. L is chosen by cost: T - HITS where the lists that this adds to the
+   merge hold LONG entries at most, T - 1 where they are longer than the probes
+   they would save. What is left is probed in the long lists, by
    binary search of the query's shingles in the candidate's sorted set, and kept
    if it reaches the overlap that the pair requires. Rows of a list that no
    size in that list lets reach the overlap are left out before the lists are
@@ -50,7 +52,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -59,8 +61,9 @@ from .shared import buckets, cut, keyed, row_uid, stored
 
 SHINGLE = 5
 STAR_ROUNDS = 4
-#: occurrences in the short lists that a candidate needs: T - L
+#: occurrences in the short lists that a candidate needs, T - L, where the lists are of at most LONG entries
 HITS = 3
+LONG = 32
 #: parts that the rows of one component are dealt to
 SALT = 16
 LAST = np.iinfo(np.int64).max
@@ -154,12 +157,9 @@ def _sets(joined: DataFrame, k: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame, n: int) -> DataFrame:
-    """Short inverted lists: (token, uid, n, s, rank) with s shared tokens per class and the token's rank among them."""
+    """Short inverted lists: (token, uid, n, s, rank, need) with s shared tokens per class, the token's rank among them, and T - L."""
     schema, reply = K.Spool.schema(1, [8]), K.Spool.schema(1, [8, 4])
     blob = K.arrow_schema(reply)
-    out = "token bigint, uid bigint, n int, s int, rank int"
-    arrow = K.arrow_schema(out)
-
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spool = K.Spool(n, [8])
         for part in K.slices(batches, "shingles"):
@@ -185,36 +185,38 @@ def _postings(classes: DataFrame, n: int) -> DataFrame:
     def gather(table: pa.Table) -> pa.Table:
         (uid,), (value, length) = K.Spool.read(table, 1, [8, 4])
         order = np.lexsort((value, length, uid))
-        uid, value = uid[order], value[order]
+        uid, value, length = uid[order], value[order], np.ascontiguousarray(length[order])
         starts, sizes = K.runs(uid)
         rank = np.arange(len(uid)) - np.repeat(starts, sizes)
-        return pa.Table.from_arrays([pa.array(value.view(np.int64)), pa.array(uid), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(rank.astype(np.int32))], ["token", "uid", "s", "rank"])
+        return pa.Table.from_arrays([pa.array(value.view(np.int64)), pa.array(uid), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(length.view(np.int64))], ["token", "uid", "s", "rank", "length"])
 
     found = classes.select("uid", "shingles").mapInArrow(emit, schema).groupBy("bucket").applyInArrow(lengths, reply)
-    ranked = found.groupBy("bucket").applyInArrow(gather, "token bigint, uid bigint, s int, rank int")
-    # T = ceil(3n/4); the T - HITS longest lists of a class are set aside
-    sized = ranked.join(classes.select("uid", "n"), "uid")
-    return sized.where(f"rank < s - ceil(3 * n / 4D) + {HITS}").select(*[f.name for f in arrow])
+    ranked = found.groupBy("bucket").applyInArrow(gather, "token bigint, uid bigint, s int, rank int, length bigint")
+    # T = ceil(3n/4); the L longest lists of a class are set aside
+    sized = ranked.join(classes.select("uid", "n"), "uid").where(f"rank < s - ceil(3 * n / 4D) + {HITS}")
+    longest = F.max("length").over(Window.partitionBy("uid"))  # lists of one class
+    chosen = sized.withColumn("need", F.when(longest <= LONG, HITS).otherwise(1))
+    return chosen.where("rank < s - ceil(3 * n / 4D) + need").select("token", "uid", "n", "s", "rank", "need")
 
 
-def _heap_merge(lists: DataFrame, least: int = 1) -> DataFrame:
-    """(x, token, y) rows -> candidates (x, y, hits) of at least `least` hits per query x, by heap merge of its lists."""
+def _heap_merge(lists: DataFrame) -> DataFrame:
+    """(x, need, token, y) rows -> candidates (x, y, hits) of at least `need` hits per query x, by heap merge of its lists."""
     out = K.arrow_schema("x bigint, y bigint, hits bigint")
 
-    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[np.ndarray]]]:
         """Each query with its lists, as they come sorted; 8 bytes an entry."""
         query = token = None
         found: list[np.ndarray] = []
         for batch in batches:
-            xs, ts, ys = (c.to_numpy() for c in batch.columns)
-            cuts = np.flatnonzero((xs[1:] != xs[:-1]) | (ts[1:] != ts[:-1])) + 1
+            xs, needs, ts, ys = (c.to_numpy() for c in batch.columns)
+            cuts = np.flatnonzero((xs[1:] != xs[:-1]) | (needs[1:] != needs[:-1]) | (ts[1:] != ts[:-1])) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(xs)]):
                 if a == b:
                     continue
-                if xs[a] != query:
+                if (xs[a], needs[a]) != query:
                     if found:
                         yield query, found
-                    query, token, found = int(xs[a]), None, []
+                    query, token, found = (int(xs[a]), int(needs[a])), None, []
                 if ts[a] == token:
                     found[-1] = np.concatenate((found[-1], ys[a:b]))
                 else:
@@ -230,23 +232,23 @@ def _heap_merge(lists: DataFrame, least: int = 1) -> DataFrame:
             columns = zip(*found) if found else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=out)
 
-        for x, merged in queries(batches):
+        for (x, need), merged in queries(batches):
             last, hits = None, 0
             for y in heapq.merge(*map(memoryview, merged)):
                 if y == last:
                     hits += 1
                     continue
-                if hits >= least:
+                if hits >= need:
                     found.append((x, last, hits))
                 last, hits = y, 1
                 if len(found) >= 1 << 14:
                     yield batch()
                     found = []
-            if hits >= least:
+            if hits >= need:
                 found.append((x, last, hits))
         yield batch()
 
-    return lists.select("x", "token", "y").repartition("x").sortWithinPartitions("x", "token", "y").mapInArrow(kernel, "x bigint, y bigint, hits bigint")
+    return lists.select("x", F.col("need").cast("bigint"), "token", "y").repartition("x").sortWithinPartitions("x", "need", "token", "y").mapInArrow(kernel, "x bigint, y bigint, hits bigint")
 
 
 def _probe(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -269,9 +271,9 @@ def _probe(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("x", "y", "a", "b").mapInArrow(kernel, "u bigint, v bigint")
 
 
-#: the largest partner that a row's class can link with, if this token is one of the first HITS that they share
-_ROOM = f"CAST(floor(7 * (s - rank + {HITS - 1}) / 3D) AS BIGINT) - n"
-_REACHABLE = "b.n <= a.room AND a.n <= b.room"
+#: the largest partner that a row's class can link with, if this token is one of the first `need` that they share
+_ROOM = "CAST(floor(7 * (s - rank + need - 1) / 3D) AS BIGINT) - n"
+_REACHABLE = "7L * (least(a.s - a.rank, b.s - b.rank) + least(a.need, b.need) - 1) >= 3L * (a.n + b.n)"
 
 
 def _reachable(rows: DataFrame) -> DataFrame:
@@ -285,7 +287,7 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(u, v): the links between classes of different components in `rows`."""
     left = cut(_reachable(rows))
     pairs = left.alias("a").join(left.alias("b"), F.expr(f"a.token = b.token AND a.component < b.component AND {_REACHABLE}"))
-    return cut(_probe(_heap_merge(pairs.select(F.col("a.uid").alias("x"), F.col("a.token").alias("token"), F.col("b.uid").alias("y")), HITS), classes))
+    return cut(_probe(_heap_merge(pairs.select(F.col("a.uid").alias("x"), F.least("a.need", "b.need").alias("need"), F.col("a.token").alias("token"), F.col("b.uid").alias("y"))), classes))
 
 
 def indexed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -314,11 +316,11 @@ def classes_and_links(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame,
     sizes, members, classes, lists = indexed(docs, **options)
     labels = None  # every class is its own component at first
     for _ in range(STAR_ROUNDS):
-        labelled = _labelled(lists, labels).withColumn("room", F.expr(_ROOM))
-        least = labelled.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "uid", "n", "room", "component")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+        labelled = _labelled(lists, labels)
+        least = labelled.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "uid", "n", "s", "rank", "need", "component")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1"))
         leads = least.where("c0 <> c1").select("token", "lead.*")
         star = labelled.alias("a").join(leads.alias("b"), F.expr(f"a.token = b.token AND a.component <> b.component AND {_REACHABLE}"))
-        candidates = _heap_merge(star.select(F.col("a.uid").alias("x"), F.col("a.token").alias("token"), F.col("b.uid").alias("y")))
+        candidates = _heap_merge(star.select(F.col("a.uid").alias("x"), F.lit(1).alias("need"), F.col("a.token").alias("token"), F.col("b.uid").alias("y")))
         best = candidates.groupBy("x").agg(F.max(F.struct("hits", "y")).alias("best")).select("x", "best.y")
         found = cut(_probe(best, classes))
         if found.isEmpty():
