@@ -14,18 +14,19 @@ overlaps. Only edges that at least two documents hold matter:
    one row of all occurrences of a path (`unitigs` also lists its source).
 4. Verification. A path with an occurrence in the source document is proven by
    content. Edges that the hash calls repeated but whose path has none there
-   (cut differently) are joined with the text of the source document and proven
-   window by window.
+   (cut differently) are proven window by window: digests of their words are
+   joined with those of the source document.
 
 Records travel as blobs by hash bucket (a few bytes per window), so a shuffle
 row costs little and no task holds more than a bucket. Text is exchanged once,
 by row key, and that exchange is reused by all later steps. There are no caps:
 an edge of any frequency is one record per occurrence.
 
-Defined cases: a null text has no words; texts under `k` words keep everything;
+Defined cases: a null text has no words; a very long text is one slice of a task; texts under `k` words keep everything;
 a null id counts as larger than every other and equal to other nulls; rows with
 one id never remove each other's words; identical rows get identical results;
-an empty table gives an empty result; extra columns are ignored.
+an empty table gives an empty result; extra columns, also of clashing names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -53,7 +54,6 @@ FLAGGED = "uid bigint, sieve binary"
 REPLY = "uid bigint, marks binary"
 PATH = "start int, windows int, k0 bigint, k1 bigint, later boolean, source bigint"
 PATHS = "uid bigint, doc_id bigint, spans array<struct<start:int,stop:int>>, paths array<struct<start:int,windows:int,k0:bigint,k1:bigint,later:boolean,source:bigint>>"
-PROOF = "uid bigint, start int, windows int"
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -261,20 +261,17 @@ def _proven_by_window(unproven: DataFrame, source: DataFrame, k: int) -> DataFra
                 rows += [{"uid": r["uid"], "source": r["source"], "start": i, "key": hashlib.sha256(b" ".join(words[i : i + k])).digest()} for i in range(r["start"], r["start"] + r["windows"])]
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, set()
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batches, "text"):
-            rows = []
-            for r in part.to_pylist():
-                if r["source"] != last:
-                    last, known = r["source"], set(digests(r["text"]))
-                if r["key"] in known:
-                    rows.append({"uid": r["uid"], "start": r["start"], "windows": 1})
-            yield pa.RecordBatch.from_pylist(rows, K.arrow_schema(PROOF))
+            for source, text in zip(part.column("source").to_pylist(), part.column("text").to_pylist()):
+                keys = sorted(set(digests(text)))
+                for a in range(0, len(keys), 1 << 14):
+                    yield pa.RecordBatch.from_arrays([pa.array([source] * len(keys[a : a + (1 << 14)]), pa.int64()), K.binary_array(keys[a : a + (1 << 14)])], ["source", "key"])
 
     spelled = stored(source.join(unproven.select("uid", "start", "windows", "source"), "uid").select("uid", "source", "start", "windows", "text").mapInArrow(spell, "uid bigint, source bigint, start int, key binary"), "spelled")
-    texts = source.select(F.col("uid").alias("source"), "text")
-    return texts.join(spelled, "source").sortWithinPartitions("source").select("uid", "source", "start", "key", "text").mapInArrow(compare, PROOF).distinct()
+    # digests meet digests: a source text is read once, however many windows ask for it
+    texts = source.select(F.col("uid").alias("source"), "text").join(spelled.select("source").distinct(), "source").mapInArrow(known, "source bigint, key binary").distinct()
+    return spelled.join(texts, ["source", "key"], "left_semi").select("uid", "start", F.lit(1).alias("windows")).distinct()
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, sub: int = SUB, print_bits: int = 32) -> tuple[DataFrame, DataFrame]:
@@ -289,7 +286,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans = paths.select("uid", "spans").where(F.size("spans") > 0).dropDuplicates(["uid"])
     each = paths.select("uid", F.explode("paths").alias("p")).select("uid", "p.*")
     # a later occurrence is proven by one of the same words that is not later: its document is the least with the edge
-    unsourced = stored(each.groupBy("k0", "k1").agg(F.bool_or(~F.col("later")).alias("sourced")).where("NOT sourced").select("k0", "k1"), "unsourced")
+    unsourced = stored(unitigs(paths).where("NOT sourced").select("k0", "k1"), "unsourced")
     if not unsourced.isEmpty():
         # stored, so the planner knows the size: a few rows are broadcast to the texts, many are joined by exchange
         bad = stored(each.join(unsourced, ["k0", "k1"], "left_semi").where("later").distinct(), "unproven")
