@@ -8,8 +8,7 @@ has the least determinant.
 
 Search: STARTS starts per group (all vectors, and samples of five taken by
 hash), two concentration steps each (estimate, order by Mahalanobis distance,
-keep the h closest), then the BEST of them until nothing changes (STEPS at
-most). The covariance of the winner is made consistent for normal data, vectors
+keep the h closest), then STEPS more for the BEST of them. The covariance of the winner is made consistent for normal data, vectors
 within the 0.975 quantile of it give the reweighted estimate, and a document
 whose squared distance exceeds CUTOFF is rejected. FLOORS, variances below which
 a difference does not count, are added to every covariance (a regularised
@@ -56,13 +55,15 @@ SHARE = 0.75
 STARTS = 10
 FIRST_STEPS = 2
 BEST = 3
-STEPS = 6
+STEPS = 4
 #: vectors of a start, and sampled ones per group to take them from
 DRAWN = DIMENSIONS + 1
 SAMPLE = (STARTS - 1) * DRAWN
 #: bins per unit of the distance's logarithm, in the first steps and after
 COARSE, BINS = 8, 32
 PRIOR = 20
+#: parts that the rows of one group are dealt to
+SALT = 16
 #: fixed values for four dimensions: consistency factors at shares 0.75 and 0.975, chi-square quantiles 0.975 and 0.9999
 CONSISTENT, REWEIGHTED = 1.4864, 1.0645
 NEAR, CUTOFF = 11.1433, 23.5127
@@ -147,9 +148,16 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(DIMENSIONS)]))
 
 
+def _joined(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the estimates of their group, a group's rows dealt to SALT parts by content."""
+    part = F.pmod(F.xxhash64(*_X), F.lit(SALT)).cast("int")
+    dealt = estimates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("part", part).join(dealt, ["g", "part"], how).drop("part")
+
+
 def _step(vectors: DataFrame, current: DataFrame, bins: int) -> DataFrame:
     """One concentration step: the estimate over the h closest vectors of each group and start."""
-    placed = _distance(vectors.join(current.drop("n"), "g")).withColumn("bin", F.floor(bins * F.log(F.col("d2") + 1e-3)).cast("int"))
+    placed = _distance(_joined(vectors, current.drop("n"))).withColumn("bin", F.floor(bins * F.log(F.col("d2") + 1e-3)).cast("int"))
     group = Window.partitionBy("g", "k")
     smaller = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # bins of one group and start: bounded by the range of a logarithm
     binned = _sums(placed, "g", "k", "bin").select("*", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("below"), F.ceil(SHARE * F.sum("n").over(group)).alias("h"))
@@ -212,20 +220,15 @@ def search(vectors: DataFrame) -> DataFrame:
     for _ in range(FIRST_STEPS):
         current = _step(vectors, current, COARSE)
     current = cut(_least(current, BEST))
-    state = None
     for _ in range(STEPS):
         current = _step(vectors, current, BINS)
-        seen = current.agg(F.count("*"), F.sum(F.xxhash64("g", "k", *_MEANS, *_COVS).cast("decimal(38,0)"))).first()
-        if seen == state:
-            break
-        state = seen
     return _least(current, 1)
 
 
 def estimates(vectors: DataFrame, parents: DataFrame) -> DataFrame:
     """Per group: mean and Cholesky factor of the reweighted, shrunk estimate."""
     raw = _shrunk(search(vectors).select("g", "n", *_MEANS, *_COVS), parents)
-    near = _distance(vectors.join(raw, "g")).where(F.col("d2") <= NEAR)
+    near = _distance(_joined(vectors, raw)).where(F.col("d2") <= NEAR)
     # a group without a near vector takes its parent's estimate
     counted = _moments(_sums(near, "g"), REWEIGHTED)
     whole = raw.join(counted.select("g", "n", *[F.col(c).alias(f"c_{c}") for c in _MEANS + _COVS]), "g", "left")
@@ -235,7 +238,7 @@ def estimates(vectors: DataFrame, parents: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame, *, cutoff: float = CUTOFF, **columns) -> DataFrame:
     """`statistics` with `distance` (squared) and `kept`."""
     stats = stored(statistics(docs, **columns), "statistics")
-    judged = _distance(stats.join(estimates(*_vectors(stats)), "g", "left"))
+    judged = _distance(_joined(stats, estimates(*_vectors(stats)), "left"))
     distance = F.when(~F.col("base_failed"), F.round("d2", 6))
     return judged.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False)))
 
