@@ -52,7 +52,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -290,6 +290,10 @@ def _links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return cut(_probe(_heap_merge(pairs.select(F.col("a.uid").alias("x"), F.least("a.need", "b.need").alias("need"), F.col("a.token").alias("token"), F.col("b.uid").alias("y"))), classes))
 
 
+def _parts() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).alias("part")
+
+
 def indexed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(sizes uid, doc_id, n of all rows; members uid -> head class; classes with their sets; short inverted lists)."""
     source = _source(docs, id_col, text_col)
@@ -299,9 +303,11 @@ def indexed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sizes = sets.select("uid", "doc_id", F.col("n").cast("bigint").alias("n_shingles"))
     survivors = sets.where("digest IS NOT NULL")
     light = survivors.select("uid", "doc_id", "digest")
-    heads = light.groupBy("digest").agg(F.min("uid").alias("head"))
-    members = cut(light.join(heads, "digest").select("uid", "doc_id", "head").distinct())
-    classes = stored(survivors.join(heads.select(F.col("head").alias("uid")), "uid").dropDuplicates(["uid"]).select("uid", "n", "shingles"), "classes")
+    # rows of a set with many copies are dealt to SALT parts; a set of one row is its own head
+    shared = light.groupBy("digest").agg(F.min("uid").alias("head"), F.max("uid").alias("other")).where("head <> other").select("digest", "head", _parts())
+    members = cut(light.withColumn("part", F.pmod("uid", F.lit(SALT))).join(shared, ["digest", "part"], "left").select("uid", "doc_id", F.coalesce("head", "uid").alias("head")).distinct())
+    heads = members.select(F.col("head").alias("uid")).distinct()
+    classes = stored(survivors.join(heads, "uid").dropDuplicates(["uid"]).select("uid", "n", "shingles"), "classes")
     return sizes, members, classes, stored(_postings(classes, n), "lists")
 
 
@@ -358,9 +364,8 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def _by_component(members: DataFrame, labels: DataFrame, best) -> DataFrame:
     """`members` with `best` (an aggregate) of their component; a component's rows are dealt to SALT parts."""
     placed = members.join(labels.withColumnRenamed("node", "head"), "head", "left").select("uid", "doc_id", F.coalesce("component", "head").alias("component"))
-    parts = F.pmod("uid", F.lit(SALT)).alias("part")
-    found = placed.groupBy("component").agg(best.alias("best")).select("component", "best", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).alias("part"))
-    return placed.select("*", parts).join(found, ["component", "part"])
+    found = placed.groupBy("component").agg(best.alias("best")).select("component", "best", _parts())
+    return placed.withColumn("part", F.pmod("uid", F.lit(SALT))).join(found, ["component", "part"])
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
