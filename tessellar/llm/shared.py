@@ -47,11 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The same rows, written once as Parquet in the shared folder."""
     spark, schema = df.sparkSession, df.schema
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     del df
     release(spark)
     return spark.read.schema(schema).parquet(path)

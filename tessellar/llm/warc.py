@@ -76,7 +76,7 @@ def chunked(pages: DataFrame, *, id_col: str, payload_col: str, url_col: str, ch
     last = F.greatest(F.lit(0), F.ceil(F.col("bytes") / chunk) - 1).cast("int")
     numbered = whole.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
     data = F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk))
-    return stored(numbered.select("row", "chunk_no", "id", "url", "bytes", "sha1", data.alias("data")), "warc-chunks")
+    return stored(numbered.select("row", "chunk_no", "id", "url", "bytes", "sha1", data.alias("data")), "warc-chunks", "zstd")
 
 
 def classified(chunks: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
