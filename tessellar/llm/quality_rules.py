@@ -204,12 +204,12 @@ def _least(current: DataFrame, n: int) -> DataFrame:
 
 def _shrunk(estimates: DataFrame, parents: DataFrame) -> DataFrame:
     """Estimates of all levels, each drawn towards its parent's with the weight of PRIOR documents, factored."""
-    placed = parents.join(estimates, "g")
+    placed = cut(parents.join(estimates, "g"))
     out = above = placed.where("level = 0").select("g", *_MEANS, *_COVS)
     for level in (1, 2):
         wider = above.select(F.col("g").alias("parent"), *[F.col(c).alias(f"w_{c}") for c in _MEANS + _COVS])
         below = placed.where(F.col("level") == level).join(wider, "parent")
-        above = below.select("g", *[((F.col("n") * F.col(c) + PRIOR * F.col(f"w_{c}")) / (F.col("n") + PRIOR)).alias(c) for c in _MEANS + _COVS])
+        above = cut(below.select("g", *[((F.col("n") * F.col(c) + PRIOR * F.col(f"w_{c}")) / (F.col("n") + PRIOR)).alias(c) for c in _MEANS + _COVS]))
         out = out.unionByName(above)
     return cut(_factored(out))
 
@@ -222,7 +222,7 @@ def search(vectors: DataFrame) -> DataFrame:
     current = cut(_least(current, BEST))
     for _ in range(STEPS):
         current = _step(vectors, current, BINS)
-    return _least(current, 1)
+    return cut(_least(current, 1))
 
 
 def estimates(vectors: DataFrame, parents: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def estimates(vectors: DataFrame, parents: DataFrame) -> DataFrame:
     near = _distance(_joined(vectors, raw)).where(F.col("d2") <= NEAR)
     # a group without a near vector takes its parent's estimate
     counted = _moments(_sums(near, "g"), REWEIGHTED)
-    whole = raw.join(counted.select("g", "n", *[F.col(c).alias(f"c_{c}") for c in _MEANS + _COVS]), "g", "left")
+    whole = raw.join(cut(counted).select("g", "n", *[F.col(c).alias(f"c_{c}") for c in _MEANS + _COVS]), "g", "left")
     return _shrunk(whole.select("g", F.coalesce("n", F.lit(0.0)).alias("n"), *[F.coalesce(f"c_{c}", c).alias(c) for c in _MEANS + _COVS]), parents)
 
 
