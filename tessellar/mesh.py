@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CORNERS = "abcd"
 
@@ -64,6 +65,18 @@ class Mesh:
             raise KeyError(name)
         return self.vertices.select("v_id", name)
 
+    def cell_types(self) -> DataFrame:
+        """See `tessellar.operators.topology.cell_types`; all faces of a mesh are of one type."""
+        from tessellar.operators import topology
+
+        return topology.cell_types(self.faces.select(F.array(*"abcd"[: self.polyshape]).alias("cell")))
+
+    def parcellate(self, by: str = "label", value: str = "value", *keys: str) -> DataFrame:
+        """See `tessellar.operators.editing.parcellate`, over the vertex data."""
+        from tessellar.operators import editing
+
+        return editing.parcellate(self.vertices, by, value, *keys)
+
     def transform(self, function, *args, **options):
         """Chain: `mesh.transform(editing.refine, 2)`."""
         return function(self, *args, **options)
@@ -82,8 +95,8 @@ def _delegate(module: str, *names: str) -> None:
         setattr(Mesh, name, method)
 
 
-_delegate("topology", "half_edges", "vertex_face_counts", "vertex_degrees", "vertex_neighbors", "is_closed", "is_manifold", "is_oriented", "euler", "has_free_vertices", "remove_free_vertices", "boundary_edges", "boundary_loops", "cell_types", "topology_summary")
+_delegate("topology", "half_edges", "vertex_face_counts", "vertex_degrees", "vertex_neighbors", "is_closed", "is_manifold", "is_oriented", "euler", "has_free_vertices", "remove_free_vertices", "boundary_edges", "boundary_loops", "edge_flags", "topology_summary")
 _delegate("metrics", "tria_areas", "tria_normals", "tria_qualities", "vertex_areas", "vertex_normals", "area", "volume", "centroid", "average_edge_length", "normalize", "unit_normalize", "euclidean_distmat")
-_delegate("editing", "apply_mask", "threshold_surface", "threshold_minimum", "combine_surfaces", "split_surface", "sort_verts", "decimate", "refine", "to_triangular", "parcellate", "threshold_data")
+_delegate("editing", "apply_mask", "threshold_surface", "threshold_minimum", "combine_surfaces", "split_surface", "sort_verts", "decimate", "refine", "to_triangular", "threshold_data")
 _delegate("graphs", "connected_components", "shortest_path_length", "clustering_coefficient", "rich_club", "smooth", "orient", "modularity")
 _delegate("spectral", "fem_stiffness", "fem_mass", "eigenmodes", "heat_diffusion", "geodesic_distance", "geodesic_knn", "curvature")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellar.mesh import Mesh
+from tessellar.operators.topology import edge_flags
 
 Vector = tuple[Column, Column, Column]
 
@@ -103,10 +104,15 @@ def tet_volumes(mesh: Mesh) -> DataFrame:
 
 
 def volume(mesh: Mesh) -> DataFrame:
-    """One row: signed volume inside a closed, oriented surface, or the sum of the tetrahedra's volumes."""
+    """One row: signed volume inside a closed, oriented surface, or the sum of the tetrahedra's volumes.
+
+    A surface that is open or not oriented fails when the row is computed: it encloses nothing.
+    """
     if mesh.polyshape == 4:
         return tet_volumes(mesh).agg(F.sum(F.abs("signed_volume")).alias("volume"))
-    return cornered(mesh).agg((F.sum(dot(point("a"), face_normal())) / 6).alias("volume"))
+    inside = cornered(mesh).agg((F.sum(dot(point("a"), face_normal())) / 6).alias("volume"))
+    flags = edge_flags(mesh).select((F.col("is_closed") & F.col("is_oriented")).alias("_solid"))
+    return inside.crossJoin(flags).select(F.when(F.col("_solid"), F.col("volume")).otherwise(F.raise_error(F.lit("the volume of a surface that is open or not oriented is not defined")).cast("double")).alias("volume"))
 
 
 def centroid(mesh: Mesh) -> DataFrame:

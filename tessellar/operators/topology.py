@@ -157,8 +157,20 @@ def cell_types(faces: DataFrame, column: str = "cell") -> DataFrame:
     )
 
 
+def edge_flags(mesh: Mesh) -> DataFrame:
+    """One row for triangles, by one aggregation of their sides: n_edges, is_closed, is_manifold, is_oriented."""
+    forward = F.col("src") < F.col("dst")
+    sides = half_edges(mesh).groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.count("*").alias("n"), F.count_if(forward).alias("f"))
+    most = lambda c: F.coalesce(F.max(c), F.lit(0))
+    return sides.agg(F.count("*").alias("n_edges"), (F.count_if(F.col("n") == 1) == 0).alias("is_closed"), (most("n") <= 2).alias("is_manifold"), (most(F.greatest(F.col("f"), F.col("n") - F.col("f"))) <= 1).alias("is_oriented"))
+
+
 def topology_summary(mesh: Mesh) -> DataFrame:
     """One row: euler, is_closed, is_manifold, is_oriented."""
+    if mesh.polyshape == 3:
+        used = face_corners(mesh).select(F.count_distinct("v_id").alias("v"))
+        both = used.crossJoin(mesh.faces.agg(F.count("*").alias("f"))).crossJoin(edge_flags(mesh))  # one row each
+        return both.select((F.col("v") - F.col("n_edges") + F.col("f")).alias("euler"), "is_closed", "is_manifold", "is_oriented")
     out = euler(mesh)
     for part in (is_closed(mesh), is_manifold(mesh), is_oriented(mesh)):
         out = out.crossJoin(part)

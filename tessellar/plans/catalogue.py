@@ -824,19 +824,19 @@ def betas_and_accuracy(spark, sf_dir):
     return rounded(composites.betas_and_accuracy(data, modes), "r")
 
 
-@query("variogram", f"{FIELD}, p AS (SELECT sqrt((p.x - q.x) ^ 2 + (p.y - q.y) ^ 2 + (p.z - q.z) ^ 2) AS d, (p.w - q.w) ^ 2 / 2 AS g FROM v p JOIN v q ON p.v_id < q.v_id) SELECT CAST(least(floor(d * 3 / 1.7), 2) AS BIGINT) AS bin, count(*) AS n, {R('avg(g) / 1e6')} AS gamma FROM p WHERE d <= 1.7 GROUP BY 1")
+@query("variogram", f"{FIELD}, p AS (SELECT sqrt((p.x - q.x) ^ 2 + (p.y - q.y) ^ 2 + (p.z - q.z) ^ 2) AS d, (p.w - q.w) ^ 2 / 2 AS g FROM v p JOIN v q ON p.v_id < q.v_id) SELECT CAST(least(floor(d * 3 / 1.7), 2) AS BIGINT) AS bin, count(*) AS n, {R('avg(g)')} AS gamma FROM p WHERE d <= 1.7 GROUP BY 1")
 def variogram(spark, sf_dir):
     v = fx.height_field(spark, sf_dir).vertices
     out = statistics.variogram(v, v.select("v_id", F.col("w").alias("value")), 3, 1.7)
-    return rounded(out.select(F.col("bin").cast("bigint").alias("bin"), "n", (F.col("gamma") / 1e6).alias("gamma")), "gamma")
+    return rounded(out.select(F.col("bin").cast("bigint").alias("bin"), "n", "gamma"), "gamma")
 
 
 # scalars
 
 
-@query("cartesian_to_spherical", f"{TORUS} SELECT v_id, {R('sqrt(x * x + y * y + z * z)')} AS r, {R('CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END', 5)} AS theta, {R('acos(z / sqrt(x * x + y * y + z * z))')} AS phi FROM v WHERE abs(y) > 1e-6")
+@query("cartesian_to_spherical", f"{TORUS} SELECT v_id, {R('sqrt(x * x + y * y + z * z)')} AS r, {R('CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END', 5)} AS theta, {R('acos(z / sqrt(x * x + y * y + z * z))')} AS phi FROM v")
 def cartesian_to_spherical(spark, sf_dir):
-    v = fx.torus(spark, sf_dir).vertices.where("abs(y) > 1e-6").select("v_id", scalars.cartesian_to_spherical(F.col("x"), F.col("y"), F.col("z")).alias("s"))
+    v = fx.torus(spark, sf_dir).vertices.select("v_id", scalars.cartesian_to_spherical(F.col("x"), F.col("y"), F.col("z")).alias("s"))
     return v.select("v_id", r("s.r").alias("r"), r("s.theta", 5).alias("theta"), r("s.phi").alias("phi"))
 
 

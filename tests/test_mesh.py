@@ -208,3 +208,24 @@ def test_empty_mesh(spark):
     empty = Mesh(spark.createDataFrame([], "v_id bigint, x double, y double, z double"), spark.createDataFrame([], "f_id bigint, a bigint, b bigint, c bigint"))
     assert one(empty.euler()) == 0 and one(empty.is_closed()) and one(empty.area()) is None
     assert empty.vertex_areas().count() == 0 and topology.dense_ids(empty.vertices, "v_id").count() == 0
+
+
+def test_facade_methods_that_take_frames(spark, cube):
+    assert cube.cell_types().first().asDict() == {"types": [3], "n_types": 1, "unique_type": True, "only_vertex": False, "only_line": False, "only_triangle": True, "only_quad": False}
+    named = Mesh(cube.vertices.withColumn("label", (F.col("v_id") % 3).cast("int")).withColumn("value", F.col("x") * 2), cube.faces)
+    assert {r.label: r["mean"] for r in named.parcellate().collect()} == pytest.approx({1: 4 / 3, 2: 1.0})
+
+
+def test_volume_needs_a_closed_oriented_surface(spark, cube):
+    assert cube.volume().first().volume == pytest.approx(1)
+    for broken in (CUBE_F[1:], [(1, 0, 3), *CUBE_F[1:]]):
+        with pytest.raises(Exception, match="not defined"):
+            mesh_of(spark, CUBE_V, broken).volume().collect()
+
+
+def test_edge_flags_agree_with_the_single_tests(spark, cube):
+    for faces in (CUBE_F, CUBE_F[1:], [(1, 0, 3), *CUBE_F[1:]], [*CUBE_F, (0, 1, 7)]):
+        mesh = mesh_of(spark, CUBE_V, faces)
+        flags = mesh.edge_flags().first()
+        assert (flags.is_closed, flags.is_manifold, flags.is_oriented) == (mesh.is_closed().first()[0], mesh.is_manifold().first()[0], mesh.is_oriented().first()[0])
+        assert mesh.topology_summary().first().euler == mesh.euler().first()[0]
