@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessellar.functions import scalars
 from tessellar.mesh import Mesh
-from tessellar.operators import editing, graphs, matrices, metrics, spatial, spectral, statistics, topology, volumes
+from tessellar.operators import composites, editing, graphs, matrices, metrics, spatial, spectral, statistics, topology, volumes
 
 CUBE_V = [(x, y, z) for x in (0.0, 1.0) for y in (0.0, 1.0) for z in (0.0, 1.0)]
 CUBE_F = [(0, 1, 3), (0, 3, 2), (4, 6, 7), (4, 7, 5), (0, 4, 5), (0, 5, 1), (2, 3, 7), (2, 7, 6), (0, 2, 6), (0, 6, 4), (1, 5, 7), (1, 7, 3)]
@@ -229,3 +229,93 @@ def test_edge_flags_agree_with_the_single_tests(spark, cube):
         flags = mesh.edge_flags().first()
         assert (flags.is_closed, flags.is_manifold, flags.is_oriented) == (mesh.is_closed().first()[0], mesh.is_manifold().first()[0], mesh.is_oriented().first()[0])
         assert mesh.topology_summary().first().euler == mesh.euler().first()[0]
+
+
+def test_resels_and_commas(spark):
+    assert scalars.resel_count((10, 20, 30), 2.0) == 5 * 10 * 15
+    rows = spark.createDataFrame([("a,b,,c",), ("",), (None,)], "s string").select(scalars.split_commas(F.col("s"))).collect()
+    assert [r[0] for r in rows] == [["a", "b", "", "c"], [""], None]
+
+
+def test_random_names(spark):
+    assert len(one(spark.range(1).select(scalars.random_column_name(12)))) == 12
+
+
+def test_ellipsoid_axes(spark):
+    rows = spectral.ellipsoid_axes(spark.createDataFrame([(0, 0.0), (1, 4.0)], "k bigint, lambda double")).orderBy("k").collect()
+    assert [r.axis for r in rows] == [0.0, 2.0]
+
+
+def test_distances_from_every_vertex(sphere):
+    rows = spectral.geodesic_distmat(sphere).collect()
+    n = sphere.vertices.count()
+    assert len(rows) == n * n
+    xyz = {r.v_id: np.array([r.x, r.y, r.z]) for r in sphere.vertices.collect()}
+    d = {(r.source, r.v_id): r.value for r in rows}
+    assert all(abs(d[v, v]) < 1e-9 for v in xyz)
+    true = np.array([math.acos(np.clip(xyz[a] @ xyz[b], -1, 1)) for a, b in d])
+    assert np.corrcoef(true, list(d.values()))[0, 1] > 0.99
+
+
+def test_heat_cost_equals_dijkstra(sphere):
+    source = 0
+    heat = {r.v_id: r.value for r in spectral.heat_diffusion(sphere, sphere.vertices.where("v_id = 0").select("v_id")).collect()}
+    links = [(r[0], r[1]) for r in sphere.edges.select("i", "j").collect()]
+    links += [(b, a) for a, b in links]
+    cost = {v: math.inf for v in heat} | {source: 0.0}
+    for _ in heat:
+        for a, b in links:
+            cost[b] = min(cost[b], cost[a] + heat[b])
+    want = sorted((c, v) for v, c in cost.items() if v != source)[:7]
+    got = spectral.heat_cost_knn(sphere, source, 7).collect()
+    assert np.allclose(sorted(r.cost for r in got), [c for c, _ in want], rtol=1e-9, atol=1e-15)
+
+
+def test_surface_from_all_modes_is_the_surface(cube):
+    modes = cube.eigenmodes(8)
+    back = spectral.reconstruct_surface(cube, modes, 8)
+    rows = back.vertices.join(cube.vertices.select("v_id", *[F.col(k).alias("o" + k) for k in "xyz"]), "v_id").collect()
+    assert len(rows) == 8
+    assert max(abs(r[k] - r["o" + k]) for r in rows for k in "xyz") < 1e-9
+
+
+def test_swaps_never_lower_the_correlation(spark, cube):
+    modes = cube.eigenmodes(4).select("k", "v_id", "psi")
+    data = cube.vertices.select("v_id", (F.col("x") + 2 * F.col("y") + 5 * F.col("z") + F.col("v_id") % 3).alias("value"))
+    _, start = composites.optimum_eigengroups(data, modes, rounds=0)
+    order, best = composites.optimum_eigengroups(data, modes, rounds=4, seed=1)
+    assert best >= start
+    places = {r.k: r.place for r in order.collect()}
+    assert sorted(places) == sorted(places.values()) == [0, 1, 2, 3]
+    assert all(int(k**0.5) == int(p**0.5) for k, p in places.items())
+
+
+def test_width_of_a_gaussian_profile(spark):
+    profile = spark.range(-60, 61).select(F.col("id").alias("pos"), F.exp(-F.col("id") ** 2 / (2 * 25.0)).alias("value"))
+    assert one(volumes.estimate_fwhm(profile)) == pytest.approx(5 * math.sqrt(8 * math.log(2)), rel=1e-6)
+
+
+def test_grid_holds_the_nearest_value(spark):
+    points = [(0, 0.0, 0.0, 1.0), (1, 3.0, 0.0, 2.0), (2, 0.0, 2.0, 3.0), (3, 3.0, 2.0, 4.0)]
+    frame = spark.createDataFrame(points, "v_id bigint, x double, y double, value double").withColumn("z", F.lit(0.0))
+    got = {(r.gx, r.gy): r.value for r in volumes.points_to_grid(frame).collect()}
+    want = {(gx, gy): min(points, key=lambda p: ((p[1] - gx) ** 2 + (p[2] - gy) ** 2, p[0]))[3] for gx in range(4) for gy in range(3)}
+    assert got == want
+
+
+def test_masks_and_surfaces_of_volumes(spark):
+    axes = list(volumes.AXES)
+    volume = spark.createDataFrame([(i, j, 0, 10.0 * i + j) for i in range(3) for j in range(3)], ", ".join(f"{a} bigint" for a in axes) + ", value double")
+    mask = volume.withColumn("value", (F.col(axes[0]) == 1).cast("double"))
+    assert sorted(r.value for r in volumes.masked_matrix(volume, mask).collect()) == [10.0, 11.0, 12.0]
+    points = spark.createDataFrame([(0, 0.2, 1.9, 0.0), (1, 9.0, 0.0, 0.0)], "v_id bigint, x double, y double, z double")
+    assert {r.v_id: r.value for r in volumes.volume_to_surface(volume, points).collect()} == {0: 2.0, 1: None}
+
+
+def test_vertex_data(spark, cube):
+    named = cube.with_vertex_data("u", cube.vertices.select("v_id", F.col("x").alias("u")))
+    assert named.data_columns == ["u"] and named.vertex_data("u").count() == 8
+    assert named.drop_vertex_data("u").data_columns == []
+    with pytest.raises(KeyError):
+        cube.vertex_data("u")
+    assert cube.transform(lambda m, n: m.vertices.limit(n), 2).count() == 2
