@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_counts, token_ids, warc
+from . import conversation_repair, decontamination, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, source_divergence, substring_dedup, token_counts, token_ids, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.report(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op5_token_counts": op5_token_counts,
@@ -64,6 +76,9 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB RE2 classes of the words in the contracts, and texts with ASCII capitals lowered
@@ -215,7 +230,84 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, s
 """
 
 
+def _repair_sql() -> str:
+    """One step per turn over the four states, each with its least (cost, audit) and the lines that it keeps."""
+    blank = r"[^\x20\x09-\x0D]"
+    # reachable by one edit that sets a role: state from, initial, state to
+    moves = [(0, "s", 1), (0, "u", 2), (1, "u", 2), (2, "a", 3), (3, "u", 2)]
+    element = "{{'cost': {0}, 'audit': {1}, 'lines': {2}}}".format
+
+    def after(s: str, cost: str, edit: str, line: str | None) -> str:
+        lines = f"{s}.lines" if line is None else f"{s}.lines || [{line}]"
+        return element(f"{s}.cost + {cost}", f"{s}.audit || '{edit}'", lines)
+
+    def steps(columns: list[str], source: str) -> str:
+        """Each insertion as a subselect of its own, so that expressions stay short."""
+        for n in range(3):
+            sets = []
+            for t in range(4):
+                options = [f"s{t}"] + [f"CASE WHEN s{a} IS NOT NULL THEN {after(f's{a}', '2', 'I', repr('user:' if r == 'u' else 'assistant:'))} END" for a, r, b in moves if b == t and r != "s"]
+                sets.append(f"list_sort(list_filter([{', '.join(options)}], lambda e: e IS NOT NULL))[1] AS s{t}" if len(options) > 1 else f"s{t}")
+            source = f"SELECT {', '.join(columns)}, {', '.join(sets)} FROM ({source})"
+        return source
+
+    turned = []
+    for t in range(4):
+        options = [f"CASE WHEN s{t} IS NOT NULL THEN {after(f's{t}', '3', 'D', None)} END"]
+        for a, r, b in moves:
+            if b == t:
+                late = "CAST(fault = 'truncated' AS INTEGER)"
+                options.append(f"CASE WHEN s{a} IS NOT NULL AND fault NOT IN ('blank', 'duplicate') AND left(role, 1) = '{r}' THEN {after(f's{a}', late, 'K', 'role || chr(58) || text')} END")
+                if r != "s":
+                    name = "user" if r == "u" else "assistant"
+                    options.append(f"CASE WHEN s{a} IS NOT NULL AND fault NOT IN ('blank', 'duplicate') THEN {after(f's{a}', f'2 + {late}', 'R', f'{name!r} || chr(58) || text')} END")
+        turned.append(f"list_sort(list_filter([{', '.join(options)}], lambda e: e IS NOT NULL))[1] AS s{t}")
+    columns = ["conv_id", "rn"]
+    seen = steps(["conv_id", "rn", "role", "text", "fault"], "SELECT w.conv_id, t.rn, role, text, fault, s0, s1, s2, s3 FROM walk w JOIN turn t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.rn = w.rn + 1")
+    ended = steps(columns, "SELECT w.* FROM walk w JOIN size z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.n = w.rn")
+    empty = element("CAST(0 AS BIGINT)", "''", "CAST([] AS VARCHAR[])")
+    none = f"CASE WHEN FALSE THEN {empty} END"
+    return rf"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([CAST(i AS UBIGINT)] || [CAST(0 AS UBIGINT) FOR j IN range(8)], lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+plain AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+kind AS (SELECT * EXCLUDE (name, t), xor(list_reduce([CAST(4294967295 AS UBIGINT)] || [CAST(ascii(c) AS UBIGINT) FOR c IN string_split(name, '')], lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS INTEGER) + 1])), CAST(4294967295 AS UBIGINT)) % 20 AS k FROM plain, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM kind WHERE k <> 0),
+placed AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS rn FROM hurt),
+turn AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '{blank}') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate'
+  WHEN regexp_extract(text, '({blank})[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(lag(role) OVER (PARTITION BY conv_id ORDER BY rn), 1) || left(role, 1) AS two FROM placed),
+size AS MATERIALIZED (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM turn GROUP BY conv_id),
+walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS rn, {empty} AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM size UNION ALL SELECT conv_id, rn, {', '.join(turned)} FROM ({seen})),
+ended AS (SELECT conv_id, list_sort(list_filter([s0, s3], lambda e: e IS NOT NULL))[1] AS best FROM ({ended}))
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN size z ON z.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 ORACLE_SQL = {
+    "op13_conversation_repair": _repair_sql(),
+    "op12_line_dedup": rf"""
+WITH doc AS (SELECT doc_id, text, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (SELECT r, coalesce('id' || doc_id, 'text' || coalesce(text, '')) AS holder, unnest(lines) AS x, unnest(range(len(lines))) AS i FROM doc),
+keyed AS MATERIALIZED (SELECT r, holder, i, x, {_LOWER.format("trim(x, E' \\t\\n\\x0b\\x0c\\r')")} AS k FROM line),
+shared AS (SELECT k FROM keyed WHERE length(k) >= {line_dedup.MIN_CHARS} GROUP BY k HAVING count(DISTINCT holder) >= {line_dedup.MIN_DOCS}),
+kept AS (SELECT r, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS t FROM keyed ANTI JOIN shared USING (k) GROUP BY r)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256 FROM doc LEFT JOIN kept USING (r)
+""",
+    "op11_source_divergence": rf"""
+WITH doc AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+word AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS d FROM (SELECT r, lang, source, unnest(w) AS term FROM doc) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM word GROUP BY ALL HAVING sum(d) >= {source_divergence.MIN_DOCS}),
+lang AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+grp AS MATERIALIZED (SELECT DISTINCT lang, source FROM doc),
+cell AS (SELECT g.lang, g.source, k.term, coalesce(w.n, 0) AS n FROM grp g JOIN kept k USING (lang) LEFT JOIN word w USING (lang, source, term)),
+p AS MATERIALIZED (SELECT lang, source, term, n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS BIGINT) AS p FROM cell JOIN lang USING (lang)),
+q AS (SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 2)) // (total + 2 * v) AS BIGINT) AS q FROM kept JOIN lang USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every QUALIFY part = 'pair' OR rank <= {source_divergence.TOP}
+""",
     "op8_pii": _pii_sql(),
     "op6_quality_rules": _quality_sql(),
     "op4_decontamination": rf"""
