@@ -1,8 +1,8 @@
 """Finite elements, eigenmodes, heat, curvature, reconstruction and embeddings.
 
-Assembly is joins and aggregates. Steps without a relational form (sparse
-eigen- and linear solves) run as one kernel per mesh or source, on the
-assembled matrix of that mesh.
+Assembly is joins and aggregates. Eigen- and linear solves are rounds of joins
+on the matrix entries (`tessellar.operators.solvers`); a mesh of at most
+`solvers.COARSE` vertices is solved as a dense matrix in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tessellar.functions.scalars import eigengroup
 from tessellar.mesh import Mesh
-from tessellar.operators import metrics
+from tessellar.operators import metrics, solvers
+from tessellar.operators.solvers import Cells, mapped
 from tessellar.operators.metrics import cornered, cross, dot, minus, norm, point
 
 
@@ -83,13 +84,36 @@ def _signed(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.sign(vectors[top, np.arange(vectors.shape[1])])
 
 
-def eigenmodes(mesh: Mesh, n_modes: int = 200, lump: bool = True) -> DataFrame:
-    """(k, lambda, v_id, psi): the n smallest pairs of K x = lambda M x, mass-orthonormal; one kernel for the mesh.
+def eigenmodes(mesh: Mesh, n_modes: int = 200, lump: bool = True, tol: float = 1e-6) -> DataFrame:
+    """(k, lambda, v_id, psi): the n smallest pairs of K x = lambda M x, mass-orthonormal.
 
-    The kernel is dense: use it for meshes of a few thousand vertices, many in
-    parallel through `eigenmodes_by`.
+    Up to `solvers.COARSE` vertices one dense kernel; beyond, and always with a
+    lumped mass, LOBPCG by joins (`solvers.lowest`). Each mode's entry of largest
+    size is positive.
     """
-    return eigenmodes_by(_tagged(fem_stiffness(mesh), fem_mass(mesh, lump)).withColumn("mesh_id", F.lit(0)), n_modes).drop("mesh_id")
+    stiffness, mass = fem_stiffness(mesh), fem_mass(mesh, lump)
+    if mesh.vertices.count() <= solvers.COARSE:
+        return eigenmodes_by(_tagged(stiffness, mass).withColumn("mesh_id", F.lit(0)), n_modes).drop("mesh_id")
+    if not lump:
+        raise ValueError(f"a consistent mass matrix is taken up to {solvers.COARSE} vertices")
+    return _pairs(*solvers.lowest(stiffness, mass.select("i", F.col("w").alias("m")), n_modes, tol=tol)).withColumnRenamed("i", "v_id").withColumnRenamed("value", "psi")
+
+
+def _pairs(block: DataFrame, values: np.ndarray, first: int = 0) -> DataFrame:
+    """(k, lambda, i, value) of a block of eigenvectors from column `first` on, each with its entry of largest size positive."""
+    n = len(values)
+    flat = block.select("i", F.posexplode("x").alias("k", "value")).where(F.col("k").between(first, n - 1)).withColumn("k", F.col("k").cast("bigint"))
+    signs = flat.groupBy("k").agg(F.signum(F.max_by("value", F.struct(F.abs("value"), -F.col("i")))).alias("sign"))
+    table = block.sparkSession.createDataFrame([(k, float(values[k])) for k in range(first, n)], "k bigint, lambda double")  # a row per mode
+    return flat.join(F.broadcast(table), "k").join(F.broadcast(signs), "k").select("k", "lambda", "i", (F.col("value") * F.col("sign")).alias("value"))
+
+
+def residuals(mesh: Mesh, modes: DataFrame) -> DataFrame:
+    """(k, lambda, residual, mass): |K x - lambda M x| over |x|, both in norms of the mass, and x'Mx, of modes with a lumped mass."""
+    m = fem_mass(mesh).select(F.col("i").alias("v_id"), F.col("w").alias("m"))
+    kx = fem_stiffness(mesh).join(modes.select("k", F.col("v_id").alias("j"), "psi"), "j").groupBy("k", F.col("i").alias("v_id")).agg(F.sum(F.col("w") * F.col("psi")).alias("kx"))
+    rows = modes.join(kx, ["k", "v_id"]).join(m, "v_id").withColumn("r", F.col("kx") - F.col("lambda") * F.col("m") * F.col("psi"))
+    return rows.groupBy("k", "lambda").agg(F.sqrt(F.sum(F.col("r") ** 2 / F.col("m")) / F.sum(F.col("m") * F.col("psi") ** 2)).alias("residual"), F.sum(F.col("m") * F.col("psi") ** 2).alias("mass"))
 
 
 def eigenmodes_by(entries: DataFrame, n_modes: int) -> DataFrame:
@@ -106,73 +130,95 @@ def eigenmodes_by(entries: DataFrame, n_modes: int) -> DataFrame:
     return entries.groupBy("mesh_id").applyInPandas(solve, "mesh_id bigint, k bigint, lambda double, v_id bigint, psi double")
 
 
-def _heat_kernel(pdf: pd.DataFrame, sources: list[int], t: float, faces: np.ndarray | None = None, xyz: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    ids, k, m = _dense(pdf)
-    start = np.zeros((len(ids), len(sources)))
-    start[np.searchsorted(ids, sources), np.arange(len(sources))] = 1
-    heat = np.linalg.solve(m + t * k, start)
-    if faces is None:
-        return ids, heat
-    f = np.searchsorted(ids, faces)
-    p, q, r = (xyz[f[:, c]] for c in range(3))
-    normal = np.cross(q - p, r - p)
-    double = np.linalg.norm(normal, axis=1)
-    unit = normal / double[:, None]
-    turned = [np.cross(unit, e) for e in (r - q, p - r, q - p)]
-    grad = sum(heat[f[:, c]][:, None, :] * turned[c][:, :, None] for c in range(3)) / double[:, None, None]
-    grad /= -np.maximum(np.linalg.norm(grad, axis=1, keepdims=True), 1e-300)
-    divergence = np.zeros_like(heat)
-    corners = (p, q, r)
-    for c in range(3):
-        o, u, v = corners[c], corners[(c + 1) % 3], corners[(c + 2) % 3]
-        cot_u = ((o - u) * (v - u)).sum(1) / np.linalg.norm(np.cross(o - u, v - u), axis=1)
-        cot_v = ((o - v) * (u - v)).sum(1) / np.linalg.norm(np.cross(o - v, u - v), axis=1)
-        part = 0.5 * (cot_v[:, None] * np.einsum("fd,fds->fs", u - o, grad) + cot_u[:, None] * np.einsum("fd,fds->fs", v - o, grad))
-        np.add.at(divergence, f[:, c], part)
-    distance = np.linalg.lstsq(k, -divergence, rcond=1e-12)[0]
-    return ids, distance - distance.min(0, keepdims=True)
-
-
-def _solve_per_source(mesh: Mesh, sources: DataFrame, m: float, geodesic: bool) -> DataFrame:
-    """The assembled mesh, one copy per batch of sources: each batch is one task."""
-    step = metrics.average_edge_length(mesh).select((m * F.col("average_edge_length") ** 2).alias("t"))
-    matrix = _tagged(fem_stiffness(mesh), fem_mass(mesh)).select("kind", "i", "j", "w", F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("double").alias("z"))
-    if geodesic:
-        faces = mesh.faces.select(F.lit("f").alias("kind"), F.col("a").alias("i"), F.col("b").alias("j"), F.lit(None).cast("double").alias("w"), F.col("c").alias("c"), F.lit(None).cast("double").alias("z"))
-        axes = [mesh.vertices.select(F.lit(k).alias("kind"), F.col("v_id").alias("i"), F.col("v_id").alias("j"), F.col(k).alias("w"), F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("double").alias("z")) for k in "xyz"]
-        for part in (faces, *axes):
-            matrix = matrix.unionByName(part)
-    matrix = matrix.unionByName(step.select(F.lit("t").alias("kind"), F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"), F.col("t").alias("w"), F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("double").alias("z")))
-    batches = sources.select(F.floor(F.col("v_id") / SOURCE_BATCH).alias("batch"), "v_id").groupBy("batch").agg(F.sort_array(F.collect_set("v_id")).alias("sources"))  # SOURCE_BATCH ids at most
+#: sources that are columns of one block
+SOURCES = 16
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        wanted = [int(s) for s in pdf["sources"].iloc[0]]
-        t = float(pdf.loc[pdf["kind"] == "t", "w"].iloc[0])
-        entries = pdf[pdf["kind"].isin(["k", "m"])]
-        if geodesic:
-            f = pdf[pdf["kind"] == "f"][["i", "j", "c"]].to_numpy().astype(np.int64)
-            ids = np.unique(entries["i"].to_numpy())
-            xyz = np.stack([pdf[pdf["kind"] == k].set_index("i")["w"].reindex(ids).to_numpy() for k in "xyz"], 1)
-            ids, out = _heat_kernel(entries, wanted, t, f, xyz)
-        else:
-            ids, out = _heat_kernel(entries, wanted, t)
-        return pd.DataFrame({"source": np.repeat(wanted, len(ids)), "v_id": np.tile(ids, len(wanted)), "value": out.T.reshape(-1)})
 
-    return matrix.crossJoin(batches).groupBy("batch").applyInPandas(solve, "source bigint, v_id bigint, value double")
+def _blocks(mesh: Mesh, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((blk, c, source), (blk, i, x)): sources dealt to columns of blocks, and their unit vectors over all vertices."""
+    from tessellar.operators.iteration import cut
+    from tessellar.operators.ordering import global_rank
+
+    ranked = global_rank(sources.select("v_id").distinct(), ["v_id"], "place")
+    places = cut(ranked.select(F.floor(F.col("place") / SOURCES).alias("blk"), (F.col("place") % SOURCES).alias("c"), F.col("v_id").alias("source")))
+    ones = places.select("blk", F.col("source").alias("i"), F.transform(F.sequence(F.lit(0), F.lit(SOURCES - 1)), lambda k: (k == F.col("c")).cast("double")).alias("u"))
+    # every vertex of every block is a row of the result
+    rows = mesh.vertices.select(F.col("v_id").alias("i")).join(places.select("blk").distinct())
+    return places, rows.join(ones, ["blk", "i"], "left").select("blk", "i", F.coalesce("u", F.array_repeat(F.lit(0.0), SOURCES)).alias("x"))
 
 
-#: sources solved together by one task
-SOURCE_BATCH = 64
+def _by_source(places: DataFrame, block: DataFrame) -> DataFrame:
+    return block.select("blk", "i", F.posexplode("x").alias("c", "value")).join(places, ["blk", "c"]).select("source", F.col("i").alias("v_id"), "value")
+
+
+def _heat(mesh: Mesh, b: DataFrame, m: float) -> DataFrame:
+    """(blk, i, x): (M + t K) x = b, t being m times the squared mean edge length, accurate relative to each entry."""
+    t = m * metrics.average_edge_length(mesh).first().average_edge_length ** 2
+    entries = fem_stiffness(mesh).select("i", "j", (t * F.col("w")).alias("w")).unionByName(fem_mass(mesh)).groupBy("i", "j").agg(F.sum("w").alias("w"))
+    levels = solvers.Multilevel(entries)
+    out = solvers.decaying(levels.matrix, levels, b)
+    levels.close()
+    return out
 
 
 def heat_diffusion(mesh: Mesh, sources: DataFrame, m: float = 1.0) -> DataFrame:
     """(source, v_id, value): heat after time m times the squared mean edge length."""
-    return _solve_per_source(mesh, sources, m, False)
+    places, b = _blocks(mesh, sources)
+    return _by_source(places, _heat(mesh, b, m))
+
+
+def _downhill(v: Cells) -> Cells:
+    """Per face and source: integrated divergence, at each corner, of the unit field against the gradient of the heat."""
+    p, q, r = (v["xyz"][:, 3 * c : 3 * c + 3] for c in range(3))
+    heat = [v[f"x{k}"] for k in "abc"]
+    normal = np.cross(q - p, r - p)
+    double = np.maximum(np.linalg.norm(normal, axis=1), 1e-300)
+    unit = normal / double[:, None]
+    turned = [np.cross(unit, e) for e in (r - q, p - r, q - p)]
+    # only the direction counts: heat relative to the face's largest
+    top = np.maximum(np.maximum(np.maximum(np.abs(heat[0]), np.abs(heat[1])), np.abs(heat[2])), 1e-300)
+    grad = sum((h / top)[:, :, None] * t[:, None, :] for h, t in zip(heat, turned))
+    size = np.linalg.norm(grad, axis=2, keepdims=True)
+    field = -np.divide(grad, size, out=np.zeros_like(grad), where=size > 0)
+    out, corners = {"blk": v["blk"]}, (p, q, r)
+    for c, k in enumerate("abc"):
+        o, u, w = corners[c], corners[(c + 1) % 3], corners[(c + 2) % 3]
+        cot_u = ((o - u) * (w - u)).sum(1) / np.maximum(np.linalg.norm(np.cross(o - u, w - u), axis=1), 1e-300)
+        cot_w = ((o - w) * (u - w)).sum(1) / np.maximum(np.linalg.norm(np.cross(o - w, u - w), axis=1), 1e-300)
+        out[k] = v[k]
+        out[f"d{k}"] = 0.5 * (cot_w[:, None] * np.einsum("fd,fsd->fs", u - o, field) + cot_u[:, None] * np.einsum("fd,fsd->fs", w - o, field))
+    return out
 
 
 def geodesic_distance(mesh: Mesh, sources: DataFrame, m: float = 1.0) -> DataFrame:
-    """(source, v_id, value): geodesic distance by the heat method."""
-    return _solve_per_source(mesh, sources, m, True)
+    """(source, v_id, value): geodesic distance by the heat method.
+
+    Heat, its direction per face and the distance whose gradient is opposite:
+    two solves with the sources as columns, sixteen to a block, joined on vertex
+    and block; the matrices are never copied.
+    """
+    places, b = _blocks(mesh, sources)
+    heat = _heat(mesh, b, m)
+    corners = cornered(mesh)
+    faces = corners.select("a", "b", "c", F.array(*[x for k in "abc" for x in point(k)]).alias("xyz"))
+    for k in "abc":
+        of = heat.select("blk", F.col("i").alias(k), F.col("x").alias(f"x{k}"))
+        faces = faces.join(of, k if k == "a" else ["blk", k])
+    flows = mapped(faces.select("blk", "a", "b", "c", "xyz", "xa", "xb", "xc"), _downhill, "blk bigint, a bigint, da array<double>, b bigint, db array<double>, c bigint, dc array<double>")
+    parts = [flows.select("blk", F.col(k).alias("i"), F.lit(-1.0).alias("w"), F.col(f"d{k}").alias("x")) for k in "abc"]
+    divergence = solvers._summed(parts[0].unionByName(parts[1]).unionByName(parts[2]), ("blk",))
+    every = b.select("blk", "i").join(divergence, ["blk", "i"], "left").select("blk", "i", F.coalesce("x", F.array_repeat(F.lit(0.0), SOURCES)).alias("x"), F.array_repeat(F.lit(1.0), SOURCES).alias("live"))
+    stiffness = fem_stiffness(mesh)
+    mass = fem_mass(mesh)
+    shift = 1 / mass.agg(F.sum("w")).first()[0]
+    levels = solvers.Multilevel(stiffness.unionByName(mass.withColumn("w", shift * F.col("w"))).groupBy("i", "j").agg(F.sum("w").alias("w")))
+    kept = solvers.Tables(stiffness.sparkSession)
+    solved = solvers.solve(kept.write(stiffness, "stiffness"), levels, every, tol=1e-9)
+    levels.close()
+    kept.close()
+    flat = _by_source(places, solved)
+    least = flat.groupBy("source").agg(F.min("value").alias("least"))
+    return flat.join(least, "source").select("source", "v_id", (F.col("value") - F.col("least")).alias("value"))
 
 
 def geodesic_distmat(mesh: Mesh, m: float = 1.0) -> DataFrame:
@@ -346,7 +392,13 @@ def laplacian_eigenmaps(graph: DataFrame, n_components: int, norm_laplacian: boo
     """(k, lambda, i, value): the n smallest nontrivial eigenvectors of the (normalised) Laplacian of edges (i, j, w)."""
     from tessellar.operators.graphs import both_ways
 
-    links = both_ways(graph, "w").select(F.col("src").alias("i"), F.col("dst").alias("j"), "w").withColumn("one", F.lit(1))
+    links = both_ways(graph, "w").select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
+    degree = links.groupBy("i").agg(F.sum("w").alias("d"))
+    if degree.count() > solvers.COARSE:
+        laplacian = links.select("i", "j", -F.col("w")).toDF("i", "j", "w").unionByName(degree.select("i", F.col("i").alias("j"), F.col("d").alias("w"))).groupBy("i", "j").agg(F.sum("w").alias("w"))
+        mass = degree.select("i", (F.col("d") if norm_laplacian else F.lit(1.0)).alias("m"))
+        return _pairs(*solvers.lowest(laplacian, mass, n_components + 1), first=1).select("k", "lambda", "i", "value")
+    links = links.withColumn("one", F.lit(1))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(pdf["i"].to_numpy())

@@ -1,8 +1,7 @@
 """Surface, map, label and annotation files.
 
-Pure functions turn bytes into arrays and back; `register` exposes readers as
-Spark data sources (`spark.read.format("surface")`, one partition per file), so
-many files are read in parallel.
+Pure functions turn bytes into arrays and back; `register` makes the readers and
+writers of `tessellar.sources.connectors` known to a session.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from xml.etree import ElementTree
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 Surface = tuple[np.ndarray, np.ndarray]
 
@@ -177,6 +175,15 @@ def read_surface_bytes(data: bytes, path: str, kind: str | None = None) -> Surfa
     return READERS[kind](data)
 
 
+def write_gifti_maps(maps: list[np.ndarray]) -> bytes:
+    """A GIFTI file of one float array per map, without a surface."""
+    parts = []
+    for values in maps:
+        raw = base64.b64encode(zlib.compress(np.asarray(values, "<f4").tobytes())).decode()
+        parts.append(f'<DataArray Intent="NIFTI_INTENT_NONE" DataType="NIFTI_TYPE_FLOAT32" ArrayIndexingOrder="RowMajorOrder" Dimensionality="1" Dim0="{len(values)}" Encoding="GZipBase64Binary" Endian="LittleEndian"><Data>{raw}</Data></DataArray>')
+    return ('<?xml version="1.0" encoding="UTF-8"?><GIFTI Version="1.0" NumberOfDataArrays="' + str(len(parts)) + '">' + "".join(parts) + "</GIFTI>").encode()
+
+
 # labels, curvature, annotation
 
 
@@ -295,11 +302,12 @@ def read_surface(spark: SparkSession, path: str, kind: str | None = None):
 
 
 def write_surface(mesh, path: str, kind: str | None = None) -> None:
-    """One surface file (formats hold one mesh each, so the mesh is gathered; use Parquet for large ones)."""
-    vertices = np.array([r[1:] for r in sorted(mesh.vertices.select("v_id", "x", "y", "z").collect())], float).reshape(-1, 3)
-    faces = np.array([r[1:] for r in sorted(mesh.faces.select("f_id", *mesh.corners).collect())], np.int64).reshape(-1, mesh.polyshape)
-    with open(path, "wb") as f:
-        f.write(WRITERS[kind or extension(path)](vertices, faces))
+    """One surface file, written by one task; a file format holds one mesh, so use Parquet for meshes beyond a task's memory."""
+    from tessellar.sources import connectors
+
+    register(mesh.vertices.sparkSession)
+    folder, name = path.rsplit("/", 1) if "/" in path else (".", path)
+    connectors.write_meshes(connectors.mesh_rows(mesh, name), folder, kind, "overwrite")
 
 
 def convert_surface(spark: SparkSession, source: str, target: str, kind: str | None = None, target_kind: str | None = None) -> None:
@@ -320,36 +328,8 @@ def write_data(data: DataFrame, path: str) -> None:
     data.repartition(1).sortWithinPartitions("v_id").selectExpr("cast(value AS string)").write.text(path)
 
 
-class SurfaceSource(DataSource):
-    """`spark.read.format("surface").option("paths", "a.gii,b.vtk").load()`: one partition per file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "surface"
-
-    def schema(self) -> str:
-        return SURFACE
-
-    def reader(self, schema) -> DataSourceReader:
-        return _SurfaceReader(self.options)
-
-
-class _Files(InputPartition):
-    pass
-
-
-class _SurfaceReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths = [p for p in options["paths"].split(",") if p]
-        self.kind = options.get("kind")
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Files(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        with open(partition.value, "rb") as f:
-            yield from _rows(partition.value, *read_surface_bytes(f.read(), partition.value, self.kind))
-
-
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(SurfaceSource)
+    """Make the data sources known to the session."""
+    from tessellar.sources import connectors
+
+    connectors.register(spark)
