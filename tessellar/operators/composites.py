@@ -40,6 +40,21 @@ def cortical_projection(roi: DataFrame, cortex: DataFrame, gradient: DataFrame)
     return best.join(gradient.select("i", "value"), "i").select(F.col("j").alias("i"), "value")
 
 
+def fingerprint_projection(roi: DataFrame, cortex: DataFrame, gradient: DataFrame, n_components: int | None = None) -> DataFrame:
+    """`cortical_projection` by fingerprints: rows (i, pos, value) of both, standardised, are compared by their scores on the cortex's singular vectors.
+
+    The last component is left out, as all of them together are the data again.
+    """
+    scaled = lambda d: statistics.normalize_data(d.select("i", "pos", "value"), "value", "i").where("z IS NOT NULL").select("i", "pos", F.col("z").alias("value"))
+    whole = scaled(cortex)
+    components, scores = statistics.svd(whole)
+    last = components.agg(F.max("k")).first()[0] or 0
+    kept = components.where((F.col("k") < last) & (F.col("k") < (n_components or last)))
+    of_roi = scaled(roi).join(kept, "pos").groupBy("i", "k").agg(F.sum(F.col("value") * F.col("v")).alias("value"))
+    of_cortex = scores.join(kept.select("k").distinct(), "k", "left_semi").withColumnRenamed("score", "value")
+    return cortical_projection(of_roi.withColumnRenamed("k", "pos"), of_cortex.withColumnRenamed("k", "pos"), gradient)
+
+
 def face_values(mesh: Mesh, values: DataFrame) -> DataFrame:
     """(f_id, value): mean of the corner values."""
     return topology.face_corners(mesh).join(values, "v_id").groupBy("f_id").agg((F.sum("value") / mesh.polyshape).alias("value"))

@@ -127,8 +127,30 @@ def orient(mesh: Mesh, max_rounds: int = 1000) -> Mesh:
 
 
 def modularity(graph: Mesh | DataFrame, weight: str = "n_faces") -> DataFrame:
-    """One row: quadratic form of A - d^-1/2 d^-1/2' in its leading eigenvector over the sum of A (D26); one kernel for the graph."""
-    links = both_ways(_edges_of(graph).withColumn("w", F.col(weight).cast("double")), "w").withColumn("one", F.lit(1))
+    """One row: quadratic form of A - d^-1/2 d^-1/2' in its leading eigenvector over the sum of A.
+
+    A graph of at most `solvers.COARSE` vertices is one dense kernel; beyond, the
+    vector is found by LOBPCG, A being joined and the rank-one part two sums.
+    """
+    from tessellar.operators import solvers
+
+    links = both_ways(_edges_of(graph).withColumn("w", F.col(weight).cast("double")), "w")
+    degree = links.groupBy(F.col("src").alias("i")).agg(F.sum("w").alias("d"))
+    if degree.count() > solvers.COARSE:
+        tables = solvers.Tables(links.sparkSession)
+        minus = tables.write(links.select(F.col("src").alias("i"), F.col("dst").alias("j"), (-F.col("w")).alias("w")), "minus")
+        root = tables.write(degree.select("i", (1 / F.sqrt("d")).alias("u")), "root")
+
+        def operator(x: DataFrame) -> DataFrame:
+            parts = solvers.mapped(x.join(root, "i"), lambda v: {"s": (v["x"] * v["u"][:, None]).sum(0, keepdims=True)}, "s array<double>").collect()  # a row per batch
+            total = np.sum([r.s for r in parts], axis=0)
+            return solvers.mapped(solvers.product(minus, x).join(root, "i"), lambda v: {"i": v["i"], "x": v["x"] + v["u"][:, None] * total}, "i bigint, x array<double>")
+
+        _, values = solvers.lowest(operator, degree.select("i", F.lit(1.0).alias("m")), 1, guard=3)
+        whole = degree.agg(F.sum("d")).first()[0]
+        tables.close()
+        return links.sparkSession.createDataFrame([(float(-values[0] / whole),)], "modularity double")
+    links = links.withColumn("one", F.lit(1))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(pdf["src"].to_numpy())
@@ -140,6 +162,44 @@ def modularity(graph: Mesh | DataFrame, weight: str = "n_faces") -> DataFrame:
     return links.groupBy("one").applyInPandas(solve, "modularity double")
 
 
+def rewire(edges: DataFrame, rounds: int = 10, seed: int = 0) -> DataFrame:
+    """(i, j), i < j: the edges after rounds of degree-preserving double swaps.
+
+    In a round every edge falls into a random bucket and meets one other edge
+    there at most; the pair exchanges ends, unless that gives a loop, an edge
+    that exists or one that another pair gives too. So the swaps of a round
+    never touch each other, and a round moves a large part of all edges.
+    """
+    from tessellar.operators.iteration import Tables
+
+    tables = Tables(edges.sparkSession)
+    state = tables.write(edges.where("i <> j").select(F.least("i", "j").cast("bigint").alias("i"), F.greatest("i", "j").cast("bigint").alias("j")).distinct(), "edges")
+    buckets = max(state.count() // 2, 1)
+    for n in range(rounds):
+        key = F.xxhash64(F.lit(seed), F.lit(n), "i", "j")
+        turned = F.xxhash64(F.lit("turn"), F.lit(seed), F.lit(n), "i", "j") % 2 == 0
+        dealt = state.withColumn("h", key).withColumn("bucket", F.pmod("h", F.lit(buckets))).withColumn("p", F.when(turned, F.col("i")).otherwise(F.col("j"))).withColumn("q", F.when(turned, F.col("j")).otherwise(F.col("i")))
+        e = F.struct("h", "i", "j", "p", "q")
+        # the two edges of least and largest hash of a bucket
+        pair = dealt.groupBy("bucket").agg(F.min(e).alias("x"), F.max(e).alias("y")).where("x <> y")
+        a, b = (F.col("x.p"), F.col("y.q")), (F.col("y.p"), F.col("x.q"))
+        new = lambda v: F.struct(F.least(*v).alias("i"), F.greatest(*v).alias("j"))
+        offered = pair.where((a[0] != a[1]) & (b[0] != b[1])).select("bucket", F.struct("x.i", "x.j").alias("x"), F.struct("y.i", "y.j").alias("y"), new(a).alias("u"), new(b).alias("v")).where("u <> v")
+        made = offered.select("bucket", F.inline(F.array("u", "v")))
+        taken = made.join(state, ["i", "j"], "left_semi").select("bucket").unionByName(made.join(made.groupBy("i", "j").agg(F.count("*").alias("c")).where("c > 1"), ["i", "j"], "left_semi").select("bucket"))
+        done = offered.join(taken.distinct(), "bucket", "left_anti")
+        gone, come = done.select(F.inline(F.array("x", "y"))), done.select(F.inline(F.array("u", "v")))
+        state = tables.write(state.join(gone, ["i", "j"], "left_anti").unionByName(come), "edges")
+    return state
+
+
+def normalized_rich_club(graph: Mesh | DataFrame, k: int, rounds: int = 10, seed: int = 0) -> DataFrame:
+    """One row (phi, random, ratio): rich-club density beside that of the graph with its edges swapped."""
+    edges = _edges_of(graph)
+    swapped = rich_club(rewire(edges, rounds, seed), k).withColumnRenamed("phi", "random")
+    return rich_club(edges, k).crossJoin(swapped).select("phi", "random", F.try_divide("phi", "random").alias("ratio"))  # one row each
+
+
 def newman_modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: Newman's Q of a labelling (v_id, label) of an unweighted graph."""
     links = both_ways(edges)

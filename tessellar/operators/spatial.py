@@ -56,6 +56,54 @@ def nearest_neighbor(points: DataFrame, reference: DataFrame, *, exclude_self: b
     raise RuntimeError(f"points without a neighbour after {max_rounds} doublings")
 
 
+def locate(points: DataFrame, mesh, eps: float = 1e-9, spacing: float | None = None) -> DataFrame:
+    """(v_id, f_id, wa, wb, wc, wd): the tetrahedron that holds each point, of least id where several do, and the point's weights in it.
+
+    Tetrahedra are listed in the grid cells that their boxes touch, points in
+    the cell that they lie in; cells are as large as the mean box, so a typical
+    tetrahedron has eight. Points in none have no row.
+    """
+    from tessellar.operators.metrics import cornered, cross, dot, minus, point
+
+    if mesh.polyshape != 4:
+        raise ValueError("points are located in tetrahedra")
+    corners = cornered(mesh)
+    low = {k: F.least(*[F.col(f"{c}{k}") for c in "abcd"]) for k in "xyz"}
+    high = {k: F.greatest(*[F.col(f"{c}{k}") for c in "abcd"]) for k in "xyz"}
+    if spacing is None:
+        sides = corners.agg(F.avg(F.greatest(*[high[k] - low[k] for k in "xyz"]))).first()[0]
+        spacing = sides or 1.0
+    cells = corners
+    for k in "xyz":
+        cells = cells.withColumn(f"g{k}", F.explode(F.sequence(F.floor((low[k] - eps) / spacing), F.floor((high[k] + eps) / spacing))))
+    p = points.select("v_id", *[F.col(k).cast("double").alias(f"p{k}") for k in "xyz"], *[F.floor(F.col(k) / spacing).alias(f"g{k}") for k in "xyz"])
+    both = p.join(cells, ["gx", "gy", "gz"])
+    a, b, c, d, q = (point(k) for k in "abcdp")
+    det = lambda u, v, w: dot(u, cross(v, w))
+    six = det(minus(b, a), minus(c, a), minus(d, a))
+    parts = {"wb": det(minus(q, a), minus(c, a), minus(d, a)), "wc": det(minus(b, a), minus(q, a), minus(d, a)), "wd": det(minus(b, a), minus(c, a), minus(q, a))}
+    weighed = both.select("v_id", "f_id", *[F.try_divide(v, six).alias(k) for k, v in parts.items()]).withColumn("wa", 1 - F.col("wb") - F.col("wc") - F.col("wd"))
+    inside = weighed.where(F.least("wa", "wb", "wc", "wd") >= -eps)
+    names = ["f_id", "wa", "wb", "wc", "wd"]
+    return inside.groupBy("v_id").agg(F.min(F.struct(*names)).alias("b")).select("v_id", *[f"b.{n}" for n in names])
+
+
+def nearest_by_simplex(points: DataFrame, mesh, radius: float | None = None) -> DataFrame:
+    """(v_id, ref_id, distance): the nearest corner, within `radius` if given, of the tetrahedron that holds the point; else the nearest vertex of all."""
+    held = locate(points, mesh).select("v_id", "f_id").join(mesh.faces, "f_id").select("v_id", F.explode(F.array(*mesh.corners)).alias("ref_id"))
+    at = points.select("v_id", "x", "y", "z")
+    ends = mesh.vertices.select(F.col("v_id").alias("ref_id"), *[F.col(k).alias(f"r{k}") for k in "xyz"])
+    d = F.sqrt((F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2 + (F.col("z") - F.col("rz")) ** 2)
+    near = held.join(at, "v_id").join(ends, "ref_id").select("v_id", "ref_id", d.alias("distance"))
+    if radius is not None:
+        near = near.where(F.col("distance") <= radius)
+    from tessellar.operators.iteration import cut
+
+    best = cut(near.groupBy("v_id").agg(F.min(F.struct("distance", "ref_id")).alias("b")).select("v_id", "b.ref_id", "b.distance"))
+    rest = at.join(best, "v_id", "left_anti")
+    return best.unionByName(nearest_neighbor(rest, mesh.vertices))
+
+
 def find_vertex_correspondence(points: DataFrame, reference: DataFrame, eps: float = 0.0) -> DataFrame:
     """(v_id, ref_id): equal coordinates if eps is 0, else the nearest within eps; raises if a vertex has none."""
     if eps == 0:

@@ -202,3 +202,32 @@ def variogram(points: DataFrame, values: DataFrame, bins: int, max_distance: flo
     at = pairs.join(values.select("v_id", F.col("value").alias("x")), "v_id").join(values.select(F.col("v_id").alias("ref_id"), F.col("value").alias("y")), "ref_id")
     place = F.least(F.floor(F.col("distance") * bins / max_distance), F.lit(bins - 1)).alias("bin")
     return at.groupBy(place).agg(F.count("*").alias("n"), (F.avg((F.col("x") - F.col("y")) ** 2) / 2).alias("gamma"))
+
+
+def svd(data: DataFrame, k: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((k, s, pos, v), (i, k, score)): singular values, right vectors and scores of the matrix (i, pos, value), absent cells being 0.
+
+    For many rows and few positions: the Gram matrix of the positions is one
+    aggregation, and all that the driver sees; scores are a join with the
+    vectors. Each vector's entry of largest size is positive; components of
+    which s is 0 are left out.
+    """
+    import numpy as np
+
+    a, b = data.select("i", F.col("pos").alias("p"), F.col("value").alias("x")), data.select("i", F.col("pos").alias("q"), F.col("value").alias("y"))
+    gram = a.join(b, "i").where("p <= q").groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("g")).collect()  # positions squared
+    places = sorted({r.p for r in gram} | {r.q for r in gram})
+    at = {p: n for n, p in enumerate(places)}
+    g = np.zeros((len(places),) * 2)
+    for p, q, value in gram:
+        g[at[p], at[q]] = g[at[q], at[p]] = value
+    values, vectors = np.linalg.eigh(g)
+    order = np.argsort(-values)
+    order = [n for n in order if values[n] > 1e-12 * max(values.max(initial=0.0), 1e-300)][:k]
+    rows = []
+    for n, e in enumerate(order):
+        v = vectors[:, e] * np.sign(vectors[np.abs(vectors[:, e]).argmax(), e])
+        rows += [(n, float(np.sqrt(values[e])), int(p), float(x)) for p, x in zip(places, v)]
+    components = data.sparkSession.createDataFrame(rows, "k int, s double, pos int, v double")
+    scores = data.join(components, "pos").groupBy("i", "k").agg(F.sum(F.col("value") * F.col("v")).alias("score"))
+    return components, scores

@@ -6,6 +6,7 @@ six places and the sign of zero is dropped, as engines add in different orders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -442,6 +443,13 @@ def orient(spark, sf_dir):
     return rounded(out.faces.agg(F.count("*").alias("n_faces")).crossJoin(out.is_oriented()).crossJoin(out.volume()), "volume")
 
 
+@query("rewired_degrees", f"{GRAPH} SELECT v_id, count(*) AS degree FROM nb GROUP BY v_id")
+def rewired_degrees(spark, sf_dir):
+    """Degrees after ten rounds of edge swaps."""
+    swapped = graphs.rewire(fx.similarity(spark, sf_dir), 10, 1)
+    return graphs.both_ways(swapped).groupBy(F.col("src").alias("v_id")).agg(F.count("*").alias("degree"))
+
+
 @query("modularity")
 def modularity(spark, sf_dir):
     return rounded(graphs.modularity(fx.similarity(spark, sf_dir), "w"), "modularity")
@@ -681,6 +689,22 @@ def eigenmodes(spark, sf_dir):
     return rounded(modes.groupBy("k", "lambda").agg(F.count("*").alias("n_vertices")), "lambda")
 
 
+@query("eigenmode_residuals", "SELECT CAST(k AS BIGINT) AS k, 0e0 AS residual, 1e0 AS mass FROM range(20) t(k)")
+def eigenmode_residuals(spark, sf_dir):
+    """|K x - lambda M x| and x'Mx of the modes: zero and one."""
+    mesh = fx.torus(spark, sf_dir, 1e-5)
+    return rounded(spectral.residuals(mesh, mesh.eigenmodes(20)).select("k", "residual", "mass"), "residual", "mass").withColumn("residual", r("residual", 4))
+
+
+@query("heat_balance", "SELECT p_partkey AS source, 1e0 AS heat, (SELECT count(*) FROM part) AS n FROM part WHERE p_partkey % 100 = 0")
+def heat_balance(spark, sf_dir):
+    """Heat weighted by the mass stays what the source had."""
+    mesh = fx.torus(spark, sf_dir, 1e-5)
+    heat = mesh.heat_diffusion(mesh.vertices.where("v_id % 100 = 0").select("v_id"))
+    mass = mesh.fem_mass().select(F.col("i").alias("v_id"), "w")
+    return rounded(heat.join(mass, "v_id").groupBy("source").agg(F.sum(F.col("value") * F.col("w")).alias("heat"), F.count("*").alias("n")), "heat")
+
+
 @query("heat_diffusion")
 def heat_diffusion(spark, sf_dir):
     mesh = fx.torus(spark, sf_dir, 1e-5)
@@ -854,3 +878,59 @@ def get_ext(spark, sf_dir):
 @query("gaussian", f"{FIELD} SELECT v_id, {R('2e0 * exp(-((x - 10) ^ 2) / (2 * 3e0 * 3e0))')} AS g FROM v")
 def gaussian(spark, sf_dir):
     return fx.height_field(spark, sf_dir).vertices.select("v_id", r(scalars.gaussian(F.col("x"), 2.0, 10.0, 3.0)).alias("g"))
+
+
+@query("svd_reconstruction", f"{MATRIX} SELECT i, pos, {R('value')} AS value FROM m")
+def svd_reconstruction(spark, sf_dir):
+    """Scores times right vectors over all components give the matrix again."""
+    data = fx.matrix(spark, sf_dir).select("i", "pos", "value")
+    components, scores = statistics.svd(data)
+    return rounded(scores.join(components, "k").groupBy("i", "pos").agg(F.sum(F.col("score") * F.col("v")).alias("value")), "value")
+
+
+@query("map_round_trip", "SELECT p_partkey AS v_id, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS value FROM part")
+def map_round_trip(spark, sf_dir):
+    """Prices as a morphometry file, written and read by the data sources."""
+    from tessellar.operators.iteration import folder
+    from tessellar.sources import connectors, formats
+
+    formats.register(spark)
+    path = f"{folder(spark).rstrip('/')}/maps-{uuid.uuid4().hex}"
+    connectors.write_maps(fx.table(spark, sf_dir, "part").select(F.lit("price.curv").alias("path"), F.col("p_partkey").alias("v_id"), F.col("p_retailprice").alias("value")), path)
+    return spark.read.format("vertexmap").load(path).select("v_id", "value")
+
+
+@query("surface_round_trip", f"{TORUS} SELECT f_id, a, b, c FROM f")
+def surface_round_trip(spark, sf_dir):
+    """The torus as a surface file, written and read by the data sources."""
+    from tessellar.operators.iteration import folder
+    from tessellar.sources import formats
+
+    path = f"{folder(spark).rstrip('/')}/surfaces-{uuid.uuid4().hex}/torus.gii"
+    formats.write_surface(fx.torus(spark, sf_dir), path)
+    return spark.read.format("surface").load(path).where("part = 'f'").select(F.col("id").alias("f_id"), "a", "b", "c")
+
+
+def _det(u: str, v: str, w: str) -> str:
+    """Determinant of three edges, each a pair of the letters of its ends."""
+    e = lambda p, k: f"({p[1]}.{k} - {p[0]}.{k})"
+    return "(" + " + ".join(f"{e(u, i)} * ({e(v, j)} * {e(w, k)} - {e(v, k)} * {e(w, j)})" for i, j, k in ("xyz", "yzx", "zxy")) + ")"
+
+
+_SIX = _det("ab", "ac", "ad")
+
+
+def _probes(spark, sf_dir) -> DataFrame:
+    """Points beside the vertices of the height field, about half of them inside the slab."""
+    return fx.height_field(spark, sf_dir).vertices.select("v_id", (F.col("x") + 0.31).alias("x"), (F.col("y") + 0.17).alias("y"), (F.col("z") + 0.5).alias("z"))
+
+
+@query(
+    "locate_points",
+    f"""{SLAB}, p AS (SELECT v_id, x + 0.31e0 AS x, y + 0.17e0 AS y, z + 0.5e0 AS z FROM v),
+k AS (SELECT f_id, least(qa.x, qb.x, qc.x, qd.x) AS lx, greatest(qa.x, qb.x, qc.x, qd.x) AS hx, least(qa.y, qb.y, qc.y, qd.y) AS ly, greatest(qa.y, qb.y, qc.y, qd.y) AS hy, qa AS a, qb AS b, qc AS c, qd AS d FROM tet t JOIN v3 qa ON qa.v_id = t.a JOIN v3 qb ON qb.v_id = t.b JOIN v3 qc ON qc.v_id = t.c JOIN v3 qd ON qd.v_id = t.d),
+w AS (SELECT p.v_id, f_id, {_det("ap", "ac", "ad")} / {_SIX} AS wb, {_det("ab", "ap", "ad")} / {_SIX} AS wc, {_det("ab", "ac", "ap")} / {_SIX} AS wd FROM p JOIN k ON p.x BETWEEN lx AND hx AND p.y BETWEEN ly AND hy)
+SELECT v_id, f_id, {R("1 - wb - wc - wd")} AS wa, {R("wb")} AS wb, {R("wc")} AS wc, {R("wd")} AS wd FROM w WHERE least(1 - wb - wc - wd, wb, wc, wd) >= -1e-9 QUALIFY row_number() OVER (PARTITION BY v_id ORDER BY f_id) = 1""",
+)
+def locate_points(spark, sf_dir):
+    return rounded(spatial.locate(_probes(spark, sf_dir), fx.slab(spark, sf_dir)), "wa", "wb", "wc", "wd")
