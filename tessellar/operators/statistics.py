@@ -214,6 +214,8 @@ def svd(data: DataFrame, k: int | None = None) -> tuple[DataFrame, DataFrame]:
     """
     import numpy as np
 
+    from tessellar.operators.solvers import eigh
+
     a, b = data.select("i", F.col("pos").alias("p"), F.col("value").alias("x")), data.select("i", F.col("pos").alias("q"), F.col("value").alias("y"))
     gram = a.join(b, "i").where("p <= q").groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("g")).collect()  # positions squared
     places = sorted({r.p for r in gram} | {r.q for r in gram})
@@ -221,7 +223,7 @@ def svd(data: DataFrame, k: int | None = None) -> tuple[DataFrame, DataFrame]:
     g = np.zeros((len(places),) * 2)
     for p, q, value in gram:
         g[at[p], at[q]] = g[at[q], at[p]] = value
-    values, vectors = np.linalg.eigh(g)
+    values, vectors = eigh(data.sparkSession, g)
     order = np.argsort(-values)
     order = [n for n in order if values[n] > 1e-12 * max(values.max(initial=0.0), 1e-300)][:k]
     rows = []
