@@ -70,19 +70,19 @@ def _path(spark, n, diagonal):
 
 
 def test_solutions_over_many_orders_of_magnitude(spark):
-    n = 80
-    a, entries = _path(spark, n, 0.4)
+    n = 40
+    a, entries = _path(spark, n, 2.0)
     b = np.zeros((2, n, 2))
-    b[0, 0, 0] = b[0, 40, 1] = b[1, 79, 0] = 1.0  # the last column is zero
+    b[0, 0, 0] = b[0, 20, 1] = b[1, 39, 0] = 1.0  # the last column is zero
     rows = [(k, i, b[k, i].tolist()) for k in range(2) for i in range(n)]
-    levels = solvers.Multilevel(entries, coarse=30)
+    levels = solvers.Multilevel(entries, coarse=20)
     assert levels.levels
     out = solvers.decaying(levels.matrix, levels, spark.createDataFrame(rows, "blk bigint, i bigint, x array<double>")).collect()
     got = np.zeros_like(b)
     for k, i, x in out:
         got[k, i] = x
     expected = np.linalg.solve(a, b.transpose(1, 0, 2).reshape(n, 4)).reshape(n, 2, 2).transpose(1, 0, 2)
-    assert np.abs(expected[0, :, 0]).min() < 1e-20
+    assert np.abs(expected[0, :, 0]).min() < 1e-20 * np.abs(expected[0, :, 0]).max()
     assert np.allclose(got, expected, rtol=1e-2, atol=0)
 
 
