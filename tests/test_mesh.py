@@ -319,3 +319,14 @@ def test_vertex_data(spark, cube):
     with pytest.raises(KeyError):
         cube.vertex_data("u")
     assert cube.transform(lambda m, n: m.vertices.limit(n), 2).count() == 2
+
+
+def test_orient_takes_few_rounds_along_a_strip(spark):
+    """A strip of 300 triangles, every third turned over: labels jump, they do not step from face to face."""
+    from tessellar.operators import topology
+
+    faces = [(f, f, f + 1, f + 2) if (f % 2 == 0) != (f % 3 == 0) else (f, f + 1, f, f + 2) for f in range(300)]
+    mesh = Mesh(spark.createDataFrame([(v, float(v // 2), float(v % 2), 0.0) for v in range(302)], "v_id bigint, x double, y double, z double"), spark.createDataFrame(faces, "f_id bigint, a bigint, b bigint, c bigint"))
+    assert not topology.is_oriented(mesh).first()[0]
+    out = mesh.orient(max_rounds=16)
+    assert topology.is_oriented(out).first()[0] and out.faces.count() == 300
