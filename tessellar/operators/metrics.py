@@ -15,7 +15,8 @@ def cornered(mesh: Mesh, *data: str) -> DataFrame:
     """Faces with the coordinates (and `data`) of their corners: columns ax, ay, az, bx, ..."""
     out = mesh.faces
     for c in mesh.corners:
-        out = out.join(mesh.vertices.select(F.col("v_id").alias(c), *[F.col(k).alias(f"{c}{k}") for k in ("x", "y", "z", *data)]), c)
+        # vertices compress well and would be broadcast through the driver
+        out = mesh.spread(out, c).join(mesh.vertices.select(F.col("v_id").alias(c), *[F.col(k).alias(f"{c}{k}") for k in ("x", "y", "z", *data)]).hint("merge"), c)
     return out
 
 
@@ -72,7 +73,8 @@ def vertex_areas(mesh: Mesh) -> DataFrame:
         from tessellar.operators.editing import to_triangular
 
         mesh = to_triangular(mesh)
-    return tria_areas(mesh).join(mesh.faces, "f_id").select(F.explode(F.array("a", "b", "c")).alias("v_id"), "area").groupBy("v_id").agg((F.sum("area") / 3).alias("area"))
+    corners = cornered(mesh).select(F.explode(F.array("a", "b", "c")).alias("v_id"), (norm(face_normal()) / 2).alias("area"))
+    return mesh.spread(corners, "v_id").groupBy("v_id").agg((F.sum("area") / 3).alias("area"))
 
 
 def vertex_normals(mesh: Mesh) -> DataFrame:

@@ -33,7 +33,7 @@ def fem_stiffness(mesh: Mesh) -> DataFrame:
     cots = faces.select(F.inline(F.array(*parts)))
     half = F.coalesce(F.col("cot"), F.lit(0.0)) / 2
     entries = F.array(*[F.struct(F.col(i).alias("i"), F.col(j).alias("j"), (s * half).alias("w")) for i, j, s in (("p", "q", -1), ("q", "p", -1), ("p", "p", 1), ("q", "q", 1))])
-    return cots.select(F.inline(entries)).groupBy("i", "j").agg(F.sum("w").alias("w"))
+    return mesh.spread(cots.select(F.inline(entries)), "i", "j").groupBy("i", "j").agg(F.sum("w").alias("w"))
 
 
 def _tet_stiffness(tets: DataFrame) -> DataFrame:
@@ -57,9 +57,9 @@ def fem_mass(mesh: Mesh, lump: bool = True) -> DataFrame:
         return tets.select(F.inline(parts)).groupBy("i", "j").agg(F.sum("w").alias("w"))
     if lump:
         return metrics.vertex_areas(mesh).select(F.col("v_id").alias("i"), F.col("v_id").alias("j"), F.col("area").alias("w"))
-    faces = metrics.tria_areas(mesh).join(mesh.faces, "f_id")
+    faces = cornered(mesh).withColumn("area", norm(metrics.face_normal()) / 2)
     entries = F.array(*[F.struct(F.col(p).alias("i"), F.col(q).alias("j"), (F.col("area") / (6 if p == q else 12)).alias("w")) for p in "abc" for q in "abc"])
-    return faces.select(F.inline(entries)).groupBy("i", "j").agg(F.sum("w").alias("w"))
+    return mesh.spread(faces.select(F.inline(entries)), "i", "j").groupBy("i", "j").agg(F.sum("w").alias("w"))
 
 
 def _tagged(stiffness: DataFrame, mass: DataFrame) -> DataFrame:

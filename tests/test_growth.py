@@ -1,12 +1,18 @@
 """Plans that keep tables off the driver and work in many tasks."""
 
-from tessellar.operators import graphs
+import re
+
+import pytest
+
+from tessellar import mesh
+from tessellar.operators import graphs, iteration
 from tessellar.plans import fixtures as fx
+from tessellar.plans.catalogue import QUERIES
 
 
 def plans_of(monkeypatch, module, run):
     """Physical plans of the frames that a loop cuts."""
-    seen, cut = [], module.cut
+    seen, cut = [], module.cut  # the module that calls it
     monkeypatch.setattr(module, "cut", lambda df: seen.append(df._jdf.queryExecution().toString()) or cut(df))
     run()
     return seen
@@ -14,8 +20,19 @@ def plans_of(monkeypatch, module, run):
 
 def test_components_broadcast_nothing(spark, sf_dir, monkeypatch):
     """Labels compress to less than the broadcast threshold at any size; the joins of a round have a strategy of their own."""
-    from tessellar.operators import iteration
-
     plans = plans_of(monkeypatch, iteration, lambda: graphs.connected_components(fx.height_field(spark, sf_dir)))
     joined = [p for p in plans if "Join" in p]
     assert joined and all("strategy=merge" in p and "BroadcastHashJoin" not in p for p in joined)
+
+
+@pytest.mark.parametrize("name", ["boundary_edges", "boundary_loops", "fem_stiffness", "fem_mass_consistent", "to_triangular", "refine_faces", "refine_vertices", "split_surface_any", "smooth_n"])
+def test_tasks_grow_with_the_mesh(spark, sf_dir, monkeypatch, name):
+    """The rows of a mesh are dealt to more tasks than the session's shuffle has, with the same result."""
+    expected = sorted(map(tuple, QUERIES[name](spark, sf_dir).collect()))
+    monkeypatch.setattr(mesh, "TASK_VERTICES", 20)
+    df = QUERIES[name](spark, sf_dir)
+    got = sorted(map(tuple, df.collect()))
+    assert len(got) == len(expected) and all(x == pytest.approx(y, abs=2e-6) for x, y in zip(got, expected))
+    plans = [df._jdf.queryExecution().toString()] if name not in ("boundary_loops", "smooth_n") else plans_of(monkeypatch, iteration if name == "boundary_loops" else graphs, lambda: QUERIES[name](spark, sf_dir))
+    tasks = [int(n) for p in plans for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", p)]
+    assert tasks and max(tasks) >= 10 > int(spark.conf.get("spark.sql.shuffle.partitions"))
