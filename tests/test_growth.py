@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tessellar import mesh
-from tessellar.operators import graphs, iteration
+from tessellar.operators import graphs, iteration, statistics
 from tessellar.plans import fixtures as fx
 from tessellar.plans.catalogue import QUERIES
 
@@ -36,3 +36,13 @@ def test_tasks_grow_with_the_mesh(spark, sf_dir, monkeypatch, name):
     plans = [df._jdf.queryExecution().toString()] if name not in ("boundary_loops", "smooth_n") else plans_of(monkeypatch, iteration if name == "boundary_loops" else graphs, lambda: QUERIES[name](spark, sf_dir))
     tasks = [int(n) for p in plans for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", p)]
     assert tasks and max(tasks) >= 10 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_decomposition_in_tasks_of_like_size(spark, sf_dir, monkeypatch):
+    """Every cell comes back, from more tasks than the session's shuffle has."""
+    monkeypatch.setattr(statistics, "SVD_CELLS", 2000)
+    df = QUERIES["svd_reconstruction"](spark, sf_dir)
+    got = {(r.i, r.pos): r.value for r in df.collect()}
+    expected = {(r.i, r.pos): r.value for r in fx.matrix(spark, sf_dir).collect()}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k], abs=2e-6) for k in expected)
+    assert "hashpartitioning(i" in df._jdf.queryExecution().toString() and ", 16), REPARTITION_BY_NUM" in df._jdf.queryExecution().toString()
