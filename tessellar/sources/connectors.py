@@ -10,6 +10,7 @@ mesh meet in the task that writes its file, never on the driver.
 from __future__ import annotations
 
 import struct
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -245,17 +246,77 @@ class _MapWriter(_FileWriter):
         return formats.write_morph(maps[0])
 
 
+class _Spool:
+    """The rows of one part of a file, in a file of the task: ids, and values beside them."""
+
+    def __init__(self, folder: str, name: str, dtype: type):
+        self.ids, self.values = f"{folder}/{name}-ids", f"{folder}/{name}-values"
+        self.dtype, self.width, self.count, self.last = np.dtype(dtype), 0, 0, None
+        self.sorted = self.dense = True
+
+    def add(self, ids: np.ndarray, values: np.ndarray) -> None:
+        if not len(ids):
+            return
+        if self.width not in (0, values.shape[1]):
+            raise ValueError("faces of a file have the same number of corners")
+        self.sorted &= bool((ids[1:] >= ids[:-1]).all()) and (self.last is None or self.last <= ids[0])
+        self.dense &= bool((ids == np.arange(self.count, self.count + len(ids))).all())
+        self.width, self.count, self.last = values.shape[1], self.count + len(ids), ids[-1]
+        for path, x in ((self.ids, ids), (self.values, values)):
+            with open(path, "ab") as f:
+                f.write(np.ascontiguousarray(x).tobytes())
+
+    def order(self) -> np.ndarray | None:
+        """Places of the rows in order of their ids, where they came in another."""
+        return None if self.sorted else np.argsort(np.fromfile(self.ids, np.int64), kind="stable")
+
+    def sorted_ids(self) -> np.ndarray | None:
+        """Ids in order; None if they are 0 to n - 1 in order."""
+        return None if self.dense else np.sort(np.fromfile(self.ids, np.int64))
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        """Values in order of the ids, a batch of rows at a time."""
+        order = self.order()
+        for first in range(0, self.count, formats.BATCH):
+            if order is None:
+                n = min(formats.BATCH, self.count - first) * self.width
+                yield np.fromfile(self.values, self.dtype, n, offset=first * self.width * self.dtype.itemsize).reshape(-1, self.width)
+            else:
+                whole = np.memmap(self.values, self.dtype, "r", shape=(self.count, self.width))
+                yield whole[order[first : first + formats.BATCH]]
+
+
 class _SurfaceWriter(_FileWriter):
-    def encode(self, name: str, table: pa.Table) -> bytes:
-        part = np.array(table.column("part").to_pylist())
-        ids = _column(table, "id")
-        v, f = np.flatnonzero(part == "v"), np.flatnonzero(part == "f")
-        v, f = v[np.argsort(ids[v], kind="stable")], f[np.argsort(ids[f], kind="stable")]
-        xyz = np.stack([_column(table, k)[v] for k in "xyz"], 1).astype(float)
-        corners = [table.column(k).to_numpy()[f] for k in "abcd"]
-        corners = [c.astype(float) for c in corners if len(f) and not np.isnan(c.astype(float)).all()]
-        faces = np.searchsorted(ids[v], np.stack(corners, 1).astype(np.int64)) if corners else np.zeros((0, 3), np.int64)
-        return formats.WRITERS[self.kind or formats.extension(name)](xyz, faces)
+    """Rows are spooled to the task's disk and encoded from there in pieces, whatever their number and order."""
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        done, spools = [], {}
+        with tempfile.TemporaryDirectory() as own:
+            for batch in iterator:
+                for name in pc.unique(batch.column("path")).to_pylist():
+                    if name not in spools:
+                        spools[name] = (_Spool(own, f"{len(spools)}-v", np.float64), _Spool(own, f"{len(spools)}-f", np.int64))
+                    for part, spool in zip("vf", spools[name]):
+                        rows = batch.filter(pc.and_(pc.equal(batch.column("path"), name), pc.equal(batch.column("part"), part)))
+                        columns = [rows.column(k) for k in ("xyz" if part == "v" else "abcd")]
+                        columns = [c for c in columns if part == "v" or c.null_count < len(c)]
+                        if rows.num_rows:
+                            spool.add(rows.column("id").to_numpy(), np.stack([c.to_numpy(zero_copy_only=False) for c in columns], 1).astype(spool.dtype))
+            for name in sorted(spools):
+                temporary = f"{self.folder}/_{self.run}-{uuid.uuid4().hex}"
+                where, inner = located(temporary)
+                where.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(inner) as out:
+                    for piece in self.pieces(name, *spools[name]):
+                        out.write(piece)
+                done.append((temporary, f"{self.folder}/{name}"))
+        return _Written(done)
+
+    def pieces(self, name: str, vertices: _Spool, faces: _Spool) -> Iterator[bytes]:
+        ids = vertices.sorted_ids()
+        numbered = faces.blocks() if ids is None else (np.searchsorted(ids, f) for f in faces.blocks())
+        layout = formats.LAYOUTS[self.kind or formats.extension(name)]
+        return layout.pieces(vertices.count, faces.count, faces.width or 3, vertices.blocks(), numbered)
 
 
 class SurfaceSource(DataSource):
@@ -308,8 +369,8 @@ def mesh_rows(mesh, name: str) -> DataFrame:
 
 
 def write_meshes(rows: DataFrame, folder: str, kind: str | None = None, mode: str = "append") -> None:
-    """A file per `path` of rows of formats.SURFACE."""
-    out = rows.repartition("path").write.format("surface").mode(mode)
+    """A file per `path` of rows of formats.SURFACE, which a task gets in order of id, so that it holds none of them."""
+    out = rows.repartition("path").sortWithinPartitions("path", "part", "id").write.format("surface").mode(mode)
     (out.option("kind", kind) if kind else out).save(folder)
 
 

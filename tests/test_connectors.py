@@ -89,3 +89,31 @@ def test_failures_leave_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="each once"):
         connectors.write_maps(_maps(spark, 4, 1).where("v_id <> 2"), str(tmp_path / "y"))
     assert os.listdir(folder) == ["m0.curv"]
+
+
+def test_surfaces_in_pieces(spark, sf_dir, tmp_path, monkeypatch):
+    """A writer's task holds no file as a whole, and rows may come in any order and with any ids."""
+    monkeypatch.setattr(formats, "BATCH", 7)
+    mesh = fx.torus(spark, sf_dir)
+    shifted = type(mesh)(mesh.vertices.withColumn("v_id", F.col("v_id") * 3 + 5), mesh.faces.select("f_id", *[(F.col(k) * 3 + 5).alias(k) for k in "abc"]))
+    rows = connectors.mesh_rows(shifted, "x.gii").orderBy(F.xxhash64("part", "id")).toArrow()
+    xyz, faces = (np.stack([mesh_rows.column(k).to_numpy() for k in names], 1) for mesh_rows, names in ((mesh.vertices.orderBy("v_id").toArrow(), "xyz"), (mesh.faces.orderBy("f_id").toArrow(), "abc")))
+    for kind in formats.LAYOUTS:
+        sizes, layout = [], formats.LAYOUTS[kind]
+        monkeypatch.setitem(formats.LAYOUTS, kind, formats.Layout(layout.frame, lambda v, f=layout.vertices: sizes.append(len(v)) or f(v), lambda v, f=layout.faces: sizes.append(len(v)) or f(v), layout.packed))
+        writer = connectors._SurfaceWriter({"path": str(tmp_path / kind), "kind": kind}, False)
+        writer.commit([writer.write(iter(rows.to_batches(max_chunksize=11)))])
+        assert sum(sizes) == len(xyz) + len(faces) and max(sizes) == 7
+        data = (tmp_path / kind / "x.gii").read_bytes()
+        assert kind == "gii" or data == formats.WRITERS[kind](xyz, faces)
+        back = formats.read_surface_bytes(data, "x", kind)
+        assert np.allclose(back[0], xyz, atol=1e-5) and (back[1] == faces).all()
+
+
+def test_surface_rows_come_in_batches(monkeypatch):
+    monkeypatch.setattr(formats, "BATCH", 7)
+    batches = list(formats._rows("x", np.arange(60.0).reshape(20, 3), np.arange(36).reshape(9, 4)))
+    assert [b.num_rows for b in batches] == [7, 7, 6, 7, 2]
+    ids = [b.column("id").to_pylist() for b in batches]
+    assert sum(ids[:3], []) == list(range(20)) and sum(ids[3:], []) == list(range(9))
+    assert batches[4].to_pylist()[1] == {"path": "x", "part": "f", "id": 8, "x": None, "y": None, "z": None, "a": 32, "b": 33, "c": 34, "d": 35}
