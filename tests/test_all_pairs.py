@@ -22,3 +22,9 @@ def test_every_pair(spark, tmp_path, name):
         pairs = [(i, j) for i in range(0, 12, 2) for j in range(1, 12, 2)] if "cross" in name else [(i, j) for i in range(12) for j in range(i + 1, 12)]
         expected = {p: r[p] for p in pairs}
     assert got.keys() == expected.keys() and all(got[p] == pytest.approx(expected[p], abs=2e-6) for p in expected)
+
+
+def test_distances_of_all_vertices(spark, sf_dir):
+    """No parcel is left out."""
+    n = QUERIES["vertex_degrees"](spark, sf_dir).count()
+    assert QUERIES["euclidean_distmat"](spark, sf_dir).count() == n * (n - 1) // 2
