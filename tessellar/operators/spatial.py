@@ -6,23 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cells(points: DataFrame, size: float) -> DataFrame:
-    return points.select("*", *[F.floor(F.col(k) / size).alias(f"c{k}") for k in "xyz"])
-
-
-def _shells(reach: int) -> list[tuple[int, int, int]]:
-    r = range(-reach, reach + 1)
-    return [(a, b, c) for a in r for b in r for c in r]
-
-
 def within(points: DataFrame, reference: DataFrame, radius: float) -> DataFrame:
-    """(v_id, ref_id, distance) of all pairs at most `radius` apart: an equi-join on the 27 cells around each point."""
-    offsets = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{k}") for k, v in zip("xyz", o)]) for o in _shells(1)]))
-    p = _cells(points.select("v_id", "x", "y", "z"), radius).withColumn("o", offsets)
-    p = p.select("v_id", "x", "y", "z", *[(F.col(f"c{k}") + F.col(f"o.o{k}")).alias(f"c{k}") for k in "xyz"])
-    q = _cells(reference.select(F.col("v_id").alias("ref_id"), *[F.col(k) for k in "xyz"]), radius).select("ref_id", *[F.col(k).alias(f"r{k}") for k in "xyz"], "cx", "cy", "cz")
+    """(v_id, ref_id, distance) of all pairs at most `radius` apart: an equi-join on grid cells.
+
+    Cells are a little wider than the diameter, so that a point's surroundings
+    lie in its own cell and the one beside it on the nearer side, eight in all.
+    """
+    size = 2 * radius * (1 + 1e-6)
+    at = {k: F.col(k) / size for k in "xyz"}
+    near = {k: F.array(F.floor(v), F.floor(v) + F.when(v - F.floor(v) < 0.5, -1).otherwise(1)) for k, v in at.items()}
+    p = points.select("v_id", "x", "y", "z", near["x"].alias("nx"), near["y"].alias("ny"), near["z"].alias("nz"))
+    for k in "xyz":
+        p = p.withColumn(f"c{k}", F.explode(f"n{k}")).drop(f"n{k}")
+    q = reference.select(F.col("v_id").alias("ref_id"), *[F.col(k).alias(f"r{k}") for k in "xyz"], *[F.floor(at[k]).alias(f"c{k}") for k in "xyz"])
     d = F.sqrt((F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2 + (F.col("z") - F.col("rz")) ** 2)
-    return p.join(q, ["cx", "cy", "cz"]).select("v_id", "ref_id", d.alias("distance")).where(F.col("distance") <= radius)
+    # neither side grows in the estimates as its rows do, and either would be broadcast through the driver
+    return p.join(q.hint("merge"), ["cx", "cy", "cz"]).select("v_id", "ref_id", d.alias("distance")).where(F.col("distance") <= radius)
 
 
 def nearest_neighbor(points: DataFrame, reference: DataFrame, *, exclude_self: bool = False, max_rounds: int = 64) -> DataFrame:
@@ -49,7 +48,7 @@ def nearest_neighbor(points: DataFrame, reference: DataFrame, *, exclude_self: b
             pairs = pairs.where("v_id <> ref_id")
         best = cut(pairs.groupBy("v_id").agg(F.min(F.struct("distance", "ref_id")).alias("b")).select("v_id", "b.ref_id", "b.distance"))
         found = best if found is None else found.unionByName(best)
-        pending = cut(pending.join(best, "v_id", "left_anti"))
+        pending = cut(pending.join(best.hint("merge"), "v_id", "left_anti"))
         if pending.isEmpty() or (exclude_self and box.n < 2):
             return found
         radius *= 2
